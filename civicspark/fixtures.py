@@ -7,6 +7,7 @@ queries and their check. Every relation covers the whole of its source tables.
 from __future__ import annotations
 
 import re
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -187,7 +188,9 @@ def with_fixtures(sql: str, extra: dict[str, str] | None = None) -> str:
     return "WITH " + ",\n".join(f"{n} AS ({b})" for n, b in done.items()) + "\n" + sql
 
 
+@cache
 def base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One table of the driver. Cached, as every ``read.parquet`` lists the files and reads a footer again."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
