@@ -11,21 +11,27 @@ No operator here pairs every query with every point, nor all members of one grid
 
 Inside and outside are decided by evaluating the caller's own predicate on the bounding box that the cell's points
 really have, so the answers equal those of the plain theta join bit for bit.
+
+Frames of queries have (qlat, qlon); frames of points have (latitude, longitude) and any payload. Orders are SQL
+texts such as ``"ts DESC"``. Expressions are SQL texts too: one call to the JVM each, instead of one per operator.
 """
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import planar
+from .staging import written
 
 LEVEL_BITS = 3  # each level splits a cell side in 8
 CELL_LIMIT = 64  # distinct spots an edge cell may hold before it is refined
+MAX_LEVELS = 4  # the finest cells of a box search are radius / 1024 wide
 START_CELLS = 8  # cells per axis of the first level of an unbounded search: at most 9 x 9 aggregates
+_BOX_COLUMNS = ["lat_lo", "lat_hi", "lon_lo", "lon_hi"]
 
 
 @dataclass(frozen=True)
@@ -35,16 +41,29 @@ class Box:
     radius: float
     strict: bool = True
 
-    def axis(self, q: Column, p: Column) -> Column:
-        r = F.lit(self.radius)
-        return F.abs(q - p) < r if self.strict else (p >= q - r) & (p <= q + r)
+    @property
+    def r(self) -> str:
+        return f"{self.radius!r}D"
+
+    @property
+    def reach(self) -> str:
+        """A shade more than the radius, for choosing cells; the exact predicate follows."""
+        return f"{self.radius * 1.000001!r}D"
 
-    def misses(self, q: Column, low: Column, high: Column) -> Column:
+    def axis(self, q: str, p: str) -> str:
+        if self.strict:
+            return f"abs({q} - {p}) < {self.r}"
+        return f"({p} >= {q} - {self.r} AND {p} <= {q} + {self.r})"
+
+    def misses(self, q: str, low: str, high: str) -> str:
         """Every point of [low, high] lies on one side of the box."""
-        r = F.lit(self.radius)
         if self.strict:
-            return ((q - high) >= r) | ((low - q) >= r)
-        return (high < q - r) | (low > q + r)
+            return f"({q} - {high} >= {self.r} OR {low} - {q} >= {self.r})"
+        return f"({high} < {q} - {self.r} OR {low} > {q} + {self.r})"
+
+    @property
+    def hit(self) -> str:
+        return f"{self.axis('qlat', 'plat')} AND {self.axis('qlon', 'plon')}"
 
 
 @dataclass(frozen=True)
@@ -55,261 +74,235 @@ class Grid:
     levels: int
 
     @staticmethod
-    def around(radius: float, levels: int) -> "Grid":
-        return Grid(radius / 2 / 2 ** (LEVEL_BITS * (levels - 1)), levels)
+    def around(radius: float) -> "Grid":
+        return Grid(radius / 2 / 2 ** (LEVEL_BITS * (MAX_LEVELS - 1)), MAX_LEVELS)
 
-    def fine(self, x: Column) -> Column:
-        return F.floor(x / F.lit(self.side)).cast("bigint")
+    def fine(self, x: str) -> str:
+        return f"CAST(floor(({x}) / {self.side!r}D) AS BIGINT)"
 
-    def up(self, fine: Column, level: int) -> Column:
-        return F.shiftright(fine, LEVEL_BITS * (self.levels - 1 - level)).cast("bigint")
+    def up(self, fine: str, level: int) -> str:
+        return f"shiftright({fine}, {LEVEL_BITS * (self.levels - 1 - level)})"
+
+    def cell(self, x: str, level: int) -> str:
+        return self.up(self.fine(x), level)
 
 
 def distinct_spots(df: DataFrame, lat: str = "latitude", lon: str = "longitude") -> DataFrame:
     """Distinct usable coordinates as (qlat, qlon)."""
-    spots = df.select(F.col(lat).alias("qlat"), F.col(lon).alias("qlon"))
-    return spots.where(F.col("qlat").isNotNull() & F.col("qlon").isNotNull()).distinct()
+    spots = df.selectExpr(f"{lat} AS qlat", f"{lon} AS qlon").where("qlat IS NOT NULL AND qlon IS NOT NULL")
+    return spots.distinct()
+
+
+def _top(df: DataFrame, keys: str, order: list[str], k: int, rank: str = "rn") -> DataFrame:
+    """First k rows per key. Spark limits each map task's groups before the shuffle, so hot keys stay small."""
+    ranked = df.selectExpr("*", f"row_number() OVER (PARTITION BY {keys} ORDER BY {', '.join(order)}) AS {rank}")
+    return ranked.where(f"{rank} <= {k}")
 
 
-def _with_fine(points: DataFrame, grid: Grid) -> DataFrame:
-    return points.withColumns({"fi": grid.fine(F.col("plat")), "fj": grid.fine(F.col("plon"))})
+def _best_spots(points: DataFrame, grid: Grid | None, order: list[str], k: int, payload: list[str]) -> DataFrame:
+    """At most k rows per distinct coordinate: no other row can be among the first k of any query."""
+    rows = points.where("latitude IS NOT NULL AND longitude IS NOT NULL")
+    rows = _top(rows.selectExpr("latitude AS plat", "longitude AS plon", *payload), "plat, plon", order, k).drop("rn")
+    return rows if grid is None else _with_fine(rows, grid)
 
 
-def _cells(points: DataFrame, grid: Grid, level: int, weight: Column) -> DataFrame:
+def _with_fine(spots: DataFrame, grid: Grid) -> DataFrame:
+    return spots.selectExpr("*", f"{grid.fine('plat')} AS fi", f"{grid.fine('plon')} AS fj")
+
+
+def _at(spots: DataFrame, grid: Grid, level: int, *columns: str) -> DataFrame:
+    return spots.selectExpr(f"{grid.up('fi', level)} AS ci", f"{grid.up('fj', level)} AS cj", *columns)
+
+
+def _cells(spots: DataFrame, grid: Grid, level: int, weight: str = "1") -> DataFrame:
     """Aggregate per non-empty cell: rows, weight and the bounding box of its points."""
-    return (
-        points.groupBy(grid.up(F.col("fi"), level).alias("ci"), grid.up(F.col("fj"), level).alias("cj"))
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.sum(weight).alias("w"),
-            F.min("plat").alias("lat_lo"),
-            F.max("plat").alias("lat_hi"),
-            F.min("plon").alias("lon_lo"),
-            F.max("plon").alias("lon_hi"),
-        )
+    return _at(spots, grid, level, "plat", "plon", f"{weight} AS pw").groupBy("ci", "cj").agg(
+        F.expr("count(1) AS n"), F.expr("sum(pw) AS w"), F.expr("min(plat) AS lat_lo"), F.expr("max(plat) AS lat_hi"),
+        F.expr("min(plon) AS lon_lo"), F.expr("max(plon) AS lon_hi"),
     )
 
 
-def _touched(queries: DataFrame, grid: Grid, box: Box) -> DataFrame:
-    """Level-0 cells that the box of each query may touch (a shade wider, emptiness is sorted out by the join)."""
-    reach = F.lit(box.radius * 1.000001)
+def _depth(spots: DataFrame, grid: Grid) -> int:
+    """Levels needed until no cell holds more than CELL_LIMIT rows; one number is read per level."""
+    for level in range(grid.levels):
+        fullest = _at(spots, grid, level).groupBy("ci", "cj").count().agg(F.max("count")).first()[0]
+        if (fullest or 0) <= CELL_LIMIT:
+            return level + 1
+    return grid.levels
+
+
+def _touched(queries: DataFrame, grid: Grid, box: Box, *extra: str) -> DataFrame:
+    """Level-0 cells that the box of each query may touch (emptiness is sorted out by the join)."""
 
-    def span(x: Column) -> Column:
-        return F.sequence(grid.up(grid.fine(x - reach), 0), grid.up(grid.fine(x + reach), 0))
+    def span(x: str) -> str:
+        return f"sequence({grid.cell(f'{x} - {box.reach}', 0)}, {grid.cell(f'{x} + {box.reach}', 0)})"
 
-    rows = queries.withColumn("ci", F.explode(span(F.col("qlat"))))
-    return rows.withColumn("cj", F.explode(span(F.col("qlon"))))
+    rows = queries.selectExpr("qlat", "qlon", *extra, f"explode({span('qlat')}) AS ci")
+    return rows.selectExpr("*", f"explode({span('qlon')}) AS cj")
 
 
-def _children(frontier: DataFrame, box: Box | None, grid: Grid, level: int) -> DataFrame:
+def _children(frontier: DataFrame, box: Box, grid: Grid, level: int, *extra: str) -> DataFrame:
     """Cells of ``level + 1`` under the given cells, cut to the box."""
-    reach = None if box is None else F.lit(box.radius * 1.000001)
 
-    def span(x: Column, cell: Column) -> Column:
-        first = F.shiftleft(cell, LEVEL_BITS)
-        last = first + F.lit(2**LEVEL_BITS - 1)
-        if reach is not None:
-            first = F.greatest(first, grid.up(grid.fine(x - reach), level + 1))
-            last = F.least(last, grid.up(grid.fine(x + reach), level + 1))
-        return F.when(first <= last, F.sequence(first, last))
+    def span(x: str, cell: str) -> str:
+        first = f"greatest(shiftleft({cell}, {LEVEL_BITS}), {grid.cell(f'{x} - {box.reach}', level + 1)})"
+        last = f"least(shiftleft({cell}, {LEVEL_BITS}) + {2**LEVEL_BITS - 1}, {grid.cell(f'{x} + {box.reach}', level + 1)})"
+        return f"CASE WHEN {first} <= {last} THEN sequence({first}, {last}) END"
 
-    rows = frontier.withColumn("ci", F.explode(span(F.col("qlat"), F.col("ci"))))
-    return rows.withColumn("cj", F.explode(span(F.col("qlon"), F.col("cj"))))
+    rows = frontier.selectExpr("qlat", "qlon", *extra, f"explode({span('qlat', 'ci')}) AS ki", "cj")
+    return rows.selectExpr("qlat", "qlon", *extra, "ki AS ci", f"explode({span('qlon', 'cj')}) AS kj").selectExpr(
+        "qlat", "qlon", *extra, "ci", "kj AS cj"
+    )
 
 
 def _classify(frontier: DataFrame, cells: DataFrame, box: Box, last: bool) -> DataFrame:
     """Join with the cell aggregates; kind 0 = inside, 1 = open the cell, 2 = refine it."""
-    qlat, qlon = F.col("qlat"), F.col("qlon")
-    inside = (
-        box.axis(qlat, F.col("lat_lo")) & box.axis(qlat, F.col("lat_hi"))
-        & box.axis(qlon, F.col("lon_lo")) & box.axis(qlon, F.col("lon_hi"))
+    inside = " AND ".join(
+        [box.axis("qlat", "lat_lo"), box.axis("qlat", "lat_hi"), box.axis("qlon", "lon_lo"), box.axis("qlon", "lon_hi")]
     )
-    outside = box.misses(qlat, F.col("lat_lo"), F.col("lat_hi")) | box.misses(qlon, F.col("lon_lo"), F.col("lon_hi"))
-    open_it = F.lit(1) if last else F.when(F.col("n") <= CELL_LIMIT, 1).otherwise(2)
-    return frontier.join(cells, ["ci", "cj"]).where(~outside).withColumn("kind", F.when(inside, 0).otherwise(open_it))
+    outside = f"{box.misses('qlat', 'lat_lo', 'lat_hi')} OR {box.misses('qlon', 'lon_lo', 'lon_hi')}"
+    edge = "1" if last else f"CASE WHEN n <= {CELL_LIMIT} THEN 1 ELSE 2 END"
+    met = frontier.join(cells, ["ci", "cj"]).where(f"NOT ({outside})")
+    return met.selectExpr("*", f"CASE WHEN {inside} THEN 0 ELSE {edge} END AS kind")
 
 
-def _hit(box: Box) -> Column:
-    return box.axis(F.col("qlat"), F.col("plat")) & box.axis(F.col("qlon"), F.col("plon"))
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-def count_within(queries: DataFrame, points: DataFrame, box: Box, levels: int = 2) -> DataFrame:
+def count_within(queries: DataFrame, points: DataFrame, box: Box) -> DataFrame:
     """Points in the box of each distinct query spot: (qlat, qlon, n), spots without a hit are absent.
 
-    ``queries`` has (qlat, qlon); ``points`` has (latitude, longitude). Equal to counting the theta join.
+    Equal to counting the theta join.
     """
-    grid = Grid.around(box.radius, levels)
+    grid = Grid.around(box.radius)
     spots = (
-        points.where(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
-        .groupBy(F.col("latitude").alias("plat"), F.col("longitude").alias("plon"))
-        .agg(F.count(F.lit(1)).alias("pw"))
+        points.where("latitude IS NOT NULL AND longitude IS NOT NULL")
+        .selectExpr("latitude AS plat", "longitude AS plon").groupBy("plat", "plon").agg(F.expr("count(1) AS pw"))
     )
-    spots = _with_fine(spots, grid)
+    spots = written(_with_fine(spots, grid), "spots")
     parts = []
-    frontier = _touched(queries.select("qlat", "qlon"), grid, box)
+    levels = _depth(spots, grid)
+    frontier = _touched(queries, grid, box)
     for level in range(levels):
         last = level == levels - 1
-        met = _classify(frontier, _cells(spots, grid, level, F.col("pw")), box, last)
-        opened = spots.select(
-            grid.up(F.col("fi"), level).alias("ci"), grid.up(F.col("fj"), level).alias("cj"),
-            F.lit(1).alias("kind"), "plat", "plon", "pw",
-        )
-        answered = met.where(F.col("kind") < 2).select("qlat", "qlon", "ci", "cj", "kind", "w")
+        met = _classify(frontier, _cells(spots, grid, level, "pw"), box, last)
         # Inside rows (kind 0) find no partner and keep the cell's weight; opened cells are checked spot by spot.
+        opened = _at(spots, grid, level, "1 AS kind", "plat", "plon", "pw")
+        answered = met.where("kind < 2").select("qlat", "qlon", "ci", "cj", "kind", "w")
         parts.append(
-            answered.join(opened, ["ci", "cj", "kind"], "left")
-            .where((F.col("kind") == 0) | _hit(box))
-            .select("qlat", "qlon", F.when(F.col("kind") == 0, F.col("w")).otherwise(F.col("pw")).alias("w"))
+            answered.join(opened, ["ci", "cj", "kind"], "left").where(f"kind = 0 OR ({box.hit})")
+            .selectExpr("qlat", "qlon", "CASE WHEN kind = 0 THEN w ELSE pw END AS w")
         )
         if not last:
-            frontier = _children(met.where(F.col("kind") == 2).select("qlat", "qlon", "ci", "cj"), box, grid, level)
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.groupBy("qlat", "qlon").agg(F.sum("w").alias("n"))
+            frontier = _children(met.where("kind = 2"), box, grid, level)
+    return _union(parts).groupBy("qlat", "qlon").agg(F.expr("sum(w) AS n"))
 
 
-def _top(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "_rk") -> DataFrame:
-    """First k rows per key. Spark limits each map task's groups before the shuffle, so hot keys stay small."""
-    return df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(rank) <= k)
-
-
-def latest_within(
-    queries: DataFrame, points: DataFrame, box: Box, k: int, order: list[Column], payload: list[str], levels: int = 2
-) -> DataFrame:
+def latest_within(queries: DataFrame, points: DataFrame, box: Box, k: int, order: list[str], payload: list[str]) -> DataFrame:
     """First k points by ``order`` in the box of each distinct query spot: (qlat, qlon, rn, payload...).
 
     Only k rows per spot and k rows per cell can ever be among the first k, so each is cut to k before any join.
     """
-    grid = Grid.around(box.radius, levels)
-    rows = points.where(F.col("latitude").isNotNull() & F.col("longitude").isNotNull()).select(
-        F.col("latitude").alias("plat"), F.col("longitude").alias("plon"), *payload
-    )
-    spots = _with_fine(_top(rows, ["plat", "plon"], order, k).drop("_rk"), grid)
+    grid = Grid.around(box.radius)
+    spots = written(_best_spots(points, grid, order, k, payload), "spots")
     parts = []
-    frontier = _touched(queries.select("qlat", "qlon"), grid, box)
+    levels = _depth(spots, grid)
+    frontier = _touched(queries, grid, box)
     for level in range(levels):
         last = level == levels - 1
-        met = _classify(frontier, _cells(spots, grid, level, F.lit(1)), box, last)
-        celled = spots.withColumns({"ci": grid.up(F.col("fi"), level), "cj": grid.up(F.col("fj"), level)})
-        whole = _top(celled, ["ci", "cj"], order, k).drop("_rk").withColumn("kind", F.lit(0))
-        sides = whole.unionByName(celled.withColumn("kind", F.lit(1)))
+        met = _classify(frontier, _cells(spots, grid, level), box, last)
+        celled = _at(spots, grid, level, "plat", "plon", *payload)
+        whole = _top(celled, "ci, cj", order, k).drop("rn").selectExpr("*", "0 AS kind")
+        sides = whole.unionByName(celled.selectExpr("*", "1 AS kind"))
         parts.append(
-            met.where(F.col("kind") < 2).select("qlat", "qlon", "ci", "cj", "kind")
-            .join(sides, ["ci", "cj", "kind"])
-            .where((F.col("kind") == 0) | _hit(box))
-            .select("qlat", "qlon", *payload)
+            met.where("kind < 2").select("qlat", "qlon", "ci", "cj", "kind").join(sides, ["ci", "cj", "kind"])
+            .where(f"kind = 0 OR ({box.hit})").select("qlat", "qlon", *payload)
         )
         if not last:
-            frontier = _children(met.where(F.col("kind") == 2).select("qlat", "qlon", "ci", "cj"), box, grid, level)
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return _top(out, ["qlat", "qlon"], order, k, "rn")
+            frontier = _children(met.where("kind = 2"), box, grid, level)
+    return _top(_union(parts), "qlat, qlon", order, k)
+
 
+def _length(dlat: str, dlon: str, scale: tuple[float, float]) -> str:
+    return f"sqrt(pow(({dlat}) * {scale[0]!r}D, 2) + pow(({dlon}) * {scale[1]!r}D, 2))"
 
-def _near(q: str, lo: str, hi: str) -> Column:
-    """Gap on one axis between a query and an interval."""
-    return F.greatest(F.col(lo) - F.col(q), F.col(q) - F.col(hi), F.lit(0.0))
 
+def _near(scale: tuple[float, float], c: str = "") -> str:
+    """Distance from the query to the nearest point of a cell's bounding box."""
+    gap = "greatest({c}{a}_lo - q{a}, q{a} - {c}{a}_hi, 0D)"
+    return _length(gap.format(a="lat", c=c), gap.format(a="lon", c=c), scale)
 
-def _far(q: str, lo: str, hi: str) -> Column:
-    return F.greatest(F.abs(F.col(q) - F.col(lo)), F.abs(F.col(q) - F.col(hi)))
 
+def _far(scale: tuple[float, float], c: str = "") -> str:
+    """Distance from the query to the farthest corner of a cell's bounding box."""
+    gap = "greatest(abs(q{a} - {c}{a}_lo), abs(q{a} - {c}{a}_hi))"
+    return _length(gap.format(a="lat", c=c), gap.format(a="lon", c=c), scale)
 
-def _length(dlat: Column, dlon: Column, scale: tuple[float, float]) -> Column:
-    return F.sqrt(F.pow(dlat * F.lit(scale[0]), F.lit(2)) + F.pow(dlon * F.lit(scale[1]), F.lit(2)))
 
+_KEEP = "near_d <= bound * 1.000001D + 1e-9D"
 
-def _prune(met: DataFrame, k: int, scale: tuple[float, float], sure: Column) -> DataFrame:
+
+def _prune(met: DataFrame, k: int, scale: tuple[float, float], sure: str) -> DataFrame:
     """Drop cells that cannot hold one of the k nearest.
 
     ``bound`` is a distance within which k points are known to lie: cells sorted by their far corner, rows summed
     until k are reached. A query meets a bounded number of cells, so the window partition is bounded too.
     """
-    met = met.withColumns({
-        "near_d": _length(_near("qlat", "lat_lo", "lat_hi"), _near("qlon", "lon_lo", "lon_hi"), scale),
-        "far_d": F.when(sure, _length(_far("qlat", "lat_lo", "lat_hi"), _far("qlon", "lon_lo", "lon_hi"), scale))
-                  .otherwise(F.lit(float("inf"))),
-    })
-    per_query = Window.partitionBy("qlat", "qlon")
-    running = F.sum("n").over(per_query.orderBy("far_d").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    met = met.withColumn("_cum", running)
-    reached = F.min(F.when(F.col("_cum") >= k, F.col("far_d"))).over(per_query)
-    met = met.withColumn("bound", F.least(F.col("bound"), F.coalesce(reached, F.lit(float("inf")))))
-    return met.where(F.col("near_d") <= F.col("bound") * F.lit(1.000001) + F.lit(1e-9)).drop("_cum")
-
-
-def _site_spots(sites: DataFrame, k: int, order: list[Column], payload: list[str]) -> DataFrame:
-    usable = sites.where(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
-    rows = usable.select(F.col("latitude").alias("plat"), F.col("longitude").alias("plon"), *payload)
-    return _top(rows, ["plat", "plon"], order, k).drop("_rk")
+    inf = "double('infinity')"
+    met = met.selectExpr("*", f"{_near(scale)} AS near_d", f"CASE WHEN {sure} THEN {_far(scale)} ELSE {inf} END AS far_d")
+    met = met.selectExpr("*", "sum(n) OVER (PARTITION BY qlat, qlon ORDER BY far_d ROWS UNBOUNDED PRECEDING) AS cum")
+    reached = f"min(CASE WHEN cum >= {k} THEN far_d ELSE {inf} END) OVER (PARTITION BY qlat, qlon)"
+    met = met.selectExpr("* EXCEPT (bound, cum)", f"least(bound, {reached}) AS bound")
+    return met.where(_KEEP)
 
 
 def nearest_within(
-    queries: DataFrame, sites: DataFrame, box: Box, k: int, order: list[Column], payload: list[str],
-    scale: tuple[float, float], levels: int = 2,
+    queries: DataFrame, sites: DataFrame, box: Box, k: int, order: list[str], payload: list[str], scale: tuple[float, float]
 ) -> DataFrame:
     """The k nearest sites inside the box of each distinct query spot: (qlat, qlon, rn, dist, payload...).
 
     ``order`` breaks ties of equal distance. Cells are opened only if no k nearer sites are already certain.
     """
-    grid = Grid.around(box.radius, levels)
-    spots = _with_fine(_site_spots(sites, k, order, payload), grid)
-    qlat, qlon = F.col("qlat"), F.col("qlon")
+    grid = Grid.around(box.radius)
+    spots = written(_best_spots(sites, grid, order, k, payload), "sites")
     parts = []
-    frontier = _touched(queries.select("qlat", "qlon").withColumn("bound", F.lit(float("inf"))), grid, box)
+    levels = _depth(spots, grid)
+    dist = _length("plat - qlat", "plon - qlon", scale)
+    frontier = _touched(queries, grid, box, "double('infinity') AS bound")
     for level in range(levels):
         last = level == levels - 1
-        met = _classify(frontier, _cells(spots, grid, level, F.lit(1)), box, last)
-        met = _prune(met, k, scale, F.col("kind") == 0)
-        small = F.lit(True) if last else F.col("n") <= CELL_LIMIT
-        celled = spots.withColumns({"ci": grid.up(F.col("fi"), level), "cj": grid.up(F.col("fj"), level)})
+        met = _prune(_classify(frontier, _cells(spots, grid, level), box, last), k, scale, "kind = 0")
+        small = "true" if last else f"n <= {CELL_LIMIT}"
         parts.append(
-            met.where(small).select("qlat", "qlon", "ci", "cj").join(celled, ["ci", "cj"]).where(_hit(box))
-            .withColumn("dist", planar(F.col("plat"), F.col("plon"), qlat, qlon, scale))
-            .select("qlat", "qlon", "dist", *payload)
+            met.where(small).select("qlat", "qlon", "ci", "cj")
+            .join(_at(spots, grid, level, "plat", "plon", *payload), ["ci", "cj"]).where(box.hit)
+            .selectExpr("qlat", "qlon", f"{dist} AS dist", *payload)
         )
         if not last:
-            frontier = _children(met.where(~small).select("qlat", "qlon", "bound", "ci", "cj"), box, grid, level)
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return _top(out, ["qlat", "qlon"], [F.col("dist"), *order], k, "rn")
+            frontier = _children(met.where(f"NOT ({small})"), box, grid, level, "bound")
+    return _top(_union(parts), "qlat, qlon", ["dist", *order], k)
 
 
 def _start(queries: DataFrame, start: list, k: int, scale: tuple[float, float]) -> DataFrame:
     """Pair each query with the start cells that may hold one of its k nearest, by array functions in its own row."""
-    names = ["ci", "cj", "n", "lat_lo", "lat_hi", "lon_lo", "lon_hi"]
-    table = F.arrays_zip(*[F.lit([r[c] for r in start]).alias(c) for c in names])
-
-    def measured(s: Column) -> Column:
-        lat, lon = F.col("qlat"), F.col("qlon")
-        near = _length(F.greatest(s["lat_lo"] - lat, lat - s["lat_hi"], F.lit(0.0)),
-                       F.greatest(s["lon_lo"] - lon, lon - s["lon_hi"], F.lit(0.0)), scale)
-        far = _length(F.greatest(F.abs(lat - s["lat_lo"]), F.abs(lat - s["lat_hi"])),
-                      F.greatest(F.abs(lon - s["lon_lo"]), F.abs(lon - s["lon_hi"])), scale)
-        return F.struct(far.alias("far_d"), near.alias("near_d"), s["n"].alias("n"), s["ci"].alias("ci"), s["cj"].alias("cj"))
-
-    rows = queries.withColumn("_all", F.transform(table, measured))
-    if k == 1:
-        bound = F.array_min(F.transform("_all", lambda c: c["far_d"]))
-    else:
-        nothing = F.struct(F.lit(0).cast("bigint").alias("seen"), F.lit(float("inf")).alias("d"))
-        reach = F.aggregate(
-            F.array_sort("_all"), nothing,
-            lambda acc, c: F.when(acc["seen"] < k, F.struct((acc["seen"] + c["n"]).alias("seen"), c["far_d"].alias("d")))
-            .otherwise(acc),
-        )
-        bound = F.when(reach["seen"] >= k, reach["d"]).otherwise(F.lit(float("inf")))
-    rows = rows.withColumn("bound", bound)
-    keep = F.filter("_all", lambda c: c["near_d"] <= F.col("bound") * F.lit(1.000001) + F.lit(1e-9))
-    rows = rows.withColumn("cell", F.explode(keep))
-    return rows.select("qlat", "qlon", "bound", "cell.ci", "cell.cj", "cell.n")
+    rows = ", ".join(
+        f"struct({r.ci}L AS ci, {r.cj}L AS cj, {r.n}L AS n, "
+        + ", ".join(f"{getattr(r, c)!r}D AS {c}" for c in _BOX_COLUMNS) + ")"
+        for r in start
+    )
+    measured = f"struct({_far(scale, 's.')} AS far_d, {_near(scale, 's.')} AS near_d, s.n AS n, s.ci AS ci, s.cj AS cj)"
+    met = queries.selectExpr("qlat", "qlon", f"transform(array({rows}), s -> {measured}) AS cells")
+    bound = f"""aggregate(array_sort(cells), struct(0L AS seen, 0D AS d),
+        (acc, c) -> CASE WHEN acc.seen < {k} THEN struct(acc.seen + c.n AS seen, c.far_d AS d) ELSE acc END,
+        acc -> CASE WHEN acc.seen >= {k} THEN acc.d ELSE double('infinity') END)"""
+    met = met.selectExpr("*", f"{bound} AS bound")
+    met = met.selectExpr("qlat", "qlon", "bound", f"explode(filter(cells, c -> c.{_KEEP})) AS c")
+    return met.selectExpr("qlat", "qlon", "bound", "c.ci", "c.cj", "c.n")
 
 
 def nearest_anywhere(
-    queries: DataFrame, sites: DataFrame, k: int, order: list[Column], payload: list[str], scale: tuple[float, float],
+    queries: DataFrame, sites: DataFrame, k: int, order: list[str], payload: list[str], scale: tuple[float, float]
 ) -> DataFrame:
     """The k nearest sites of each distinct query spot, however far: (qlat, qlon, rn, dist, payload...).
 
@@ -317,39 +310,36 @@ def nearest_anywhere(
     row per start cell (at most 9 x 9 by construction), which become constants of the plan and are pruned inside each
     query row. Deeper levels are equi-joins on the parent cell.
     """
-    spots = _site_spots(sites, k, order, payload)
-    extent = spots.agg(
-        F.count(F.lit(1)).alias("n"), F.min("plat").alias("a"), F.max("plat").alias("b"),
-        F.min("plon").alias("c"), F.max("plon").alias("d"),
+    spots = written(_best_spots(sites, None, order, k, payload), "sites")
+    extent = spots.selectExpr(
+        "count(1) AS n", "min(plat) AS a", "max(plat) AS b", "min(plon) AS c", "max(plon) AS d"
     ).first()
-    dist = planar(F.col("plat"), F.col("plon"), F.col("qlat"), F.col("qlon"), scale)
-    if extent.n == 0:
-        empty = spots.select(F.col("plat").alias("qlat"), F.col("plon").alias("qlon"), F.lit(0.0).alias("dist"), *payload)
-        return empty.withColumn("rn", F.lit(1))
+    if not extent.n:
+        none = spots.selectExpr("plat AS qlat", "plon AS qlon", "0D AS dist", *payload, "1 AS rn")
+        return none.limit(0)
     side = max(extent.b - extent.a, extent.d - extent.c, 1e-6) / START_CELLS
     extra = max(0, math.ceil(math.log(max(1.0, extent.n / CELL_LIMIT), 4**LEVEL_BITS)))
     grid = Grid(side / 2 ** (LEVEL_BITS * extra), extra + 1)
     spots = _with_fine(spots, grid)
-    start = _cells(spots, grid, 0, F.lit(1)).drop("w").collect()  # <= (START_CELLS + 1)^2 rows
-    met = _start(queries.select("qlat", "qlon"), start, k, scale)
+    start = _cells(spots, grid, 0).collect()  # <= (START_CELLS + 1)^2 rows
+    levels = 1 if max(r.n for r in start) <= CELL_LIMIT else grid.levels
+    dist = _length("plat - qlat", "plon - qlon", scale)
+    met = _start(queries, start, k, scale)
     parts = []
-    for level in range(grid.levels):
-        last = level == grid.levels - 1
+    for level in range(levels):
+        last = level == levels - 1
         if level:
-            met = _prune(met, k, scale, F.lit(True))
-        small = F.lit(True) if last else F.col("n") <= CELL_LIMIT
-        celled = spots.withColumns({"ci": grid.up(F.col("fi"), level), "cj": grid.up(F.col("fj"), level)})
+            met = _prune(met, k, scale, "true")
+        small = "true" if last else f"n <= {CELL_LIMIT}"
         parts.append(
-            met.where(small).select("qlat", "qlon", "ci", "cj").join(celled, ["ci", "cj"])
-            .withColumn("dist", dist).select("qlat", "qlon", "dist", *payload)
+            met.where(small).select("qlat", "qlon", "ci", "cj")
+            .join(_at(spots, grid, level, "plat", "plon", *payload), ["ci", "cj"])
+            .selectExpr("qlat", "qlon", f"{dist} AS dist", *payload)
         )
         if not last:
-            finer = _cells(spots, grid, level + 1, F.lit(1)).drop("w").withColumns({
-                "pi": F.shiftright("ci", LEVEL_BITS).cast("bigint"), "pj": F.shiftright("cj", LEVEL_BITS).cast("bigint"),
-            })
-            above = met.where(~small).select("qlat", "qlon", "bound", F.col("ci").alias("pi"), F.col("cj").alias("pj"))
+            finer = _cells(spots, grid, level + 1).selectExpr(
+                "* EXCEPT (w)", f"shiftright(ci, {LEVEL_BITS}) AS pi", f"shiftright(cj, {LEVEL_BITS}) AS pj"
+            )
+            above = met.where(f"NOT ({small})").selectExpr("qlat", "qlon", "bound", "ci AS pi", "cj AS pj")
             met = above.join(finer, ["pi", "pj"]).drop("pi", "pj")
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return _top(out, ["qlat", "qlon"], [F.col("dist"), *order], k, "rn")
+    return _top(_union(parts), "qlat, qlon", ["dist", *order], k)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -12,6 +12,7 @@ from ..functions import codes
 from ..functions.scalars import FEET, MILES
 from ..operators import spatial as sp
 from ..operators.joins import left_spread, merge_measures
+from ..operators.staging import written
 from .portfolio import open_status
 
 # Weight of each counted component, and the two flat additions.
@@ -134,7 +135,7 @@ def velocity_by_bbl(buildings: DataFrame, requests: DataFrame, as_of: str) -> Da
 
 def nearest_hydrants(spots: DataFrame, hydrants: DataFrame) -> DataFrame:
     sites = hydrants.select("latitude", "longitude", F.lit(0).alias("_o"))
-    near = sp.nearest_within(spots, sites, HYDRANT_BOX, 1, [F.col("_o")], ["_o"], FEET)
+    near = sp.nearest_within(spots, sites, HYDRANT_BOX, 1, ["_o"], ["_o"], FEET)
     return near.select("qlat", "qlon", F.col("dist").alias("nearest_hydrant_ft"))
 
 
@@ -142,8 +143,8 @@ def nearest_hospitals(spots: DataFrame, hospitals: DataFrame) -> list[DataFrame]
     """Nearest named hospital, and nearest distance to any; an unnamed one counts for the distance only."""
     named = hospitals.where(F.col("facility_name").isNotNull())
     unnamed = hospitals.where(F.col("facility_name").isNull())
-    best = sp.nearest_anywhere(spots, named, 1, [F.col("facility_name")], ["facility_name"], MILES)
-    bare = sp.nearest_anywhere(spots, unnamed, 1, [F.col("facility_name")], ["facility_name"], MILES)
+    best = sp.nearest_anywhere(spots, named, 1, ["facility_name"], ["facility_name"], MILES)
+    bare = sp.nearest_anywhere(spots, unnamed, 1, ["facility_name"], ["facility_name"], MILES)
     pick = F.struct(F.col("dist").alias("d"), F.col("facility_name").alias("name"))
     return [
         best.select("qlat", "qlon", pick.alias("hospital"), F.col("dist").alias("nearest_hospital_mi")),
@@ -185,7 +186,12 @@ def composite() -> Column:
 
 
 def risk_scores(f: Facts, as_of: str) -> DataFrame:
-    """One row per building row: bbl, bin, overall_risk_score and the stored components."""
+    """One row per building row: bbl, bin, overall_risk_score and the stored components.
+
+    The buildings feed eight branches, so they are written once and read from there.
+    """
+    f = replace(f, buildings=written(f.buildings.select("bbl", "bin", "address", "latitude", "longitude"), "buildings"))
+    spots = written(sp.distinct_spots(f.buildings), "spots")
     by_bin = merge_measures(
         [
             *violations_by_bin(f.dob, f.ecb, f.hpd), *equipment_by_bin(f.inspections, f.elevators),
@@ -197,7 +203,7 @@ def risk_scores(f: Facts, as_of: str) -> DataFrame:
         "prior_ems_incidents": "sum", "nearby_nypd_incidents": "sum", "nearest_hydrant_ft": "min", "hospital": "min",
         "nearest_hospital_mi": "min",
     }
-    near = near_by_bbl(f.buildings, near_by_spot(f, sp.distinct_spots(f.buildings)), near_how)
+    near = near_by_bbl(f.buildings, near_by_spot(f, spots), near_how)
     by_bbl = merge_measures(
         [near, velocity_by_bbl(f.buildings, f.requests, as_of)], ["bbl"],
         {**near_how, "complaint_velocity_30d": "sum", "complaint_velocity_90d": "sum"},

@@ -43,7 +43,7 @@ def frames(spark):
 
 
 def hits(theta, box):
-    return theta.where(box.axis(F.col("qlat"), F.col("latitude")) & box.axis(F.col("qlon"), F.col("longitude")))
+    return theta.where(f"{box.axis('qlat', 'latitude')} AND {box.axis('qlon', 'longitude')}")
 
 
 def as_set(df, *cols):
@@ -51,19 +51,18 @@ def as_set(df, *cols):
 
 
 @pytest.mark.parametrize("box", SQUARES)
-@pytest.mark.parametrize("levels", [1, 2, 3])
-def test_count_equals_theta_join(frames, box, levels):
+def test_count_equals_theta_join(frames, box):
     spots, points, theta = frames
     want = hits(theta, box).groupBy("qlat", "qlon").agg(F.count("*").alias("n"))
-    assert as_set(sp.count_within(spots, points, box, levels), "qlat", "qlon", "n") == as_set(want, "qlat", "qlon", "n")
+    assert as_set(sp.count_within(spots, points, box), "qlat", "qlon", "n") == as_set(want, "qlat", "qlon", "n")
 
 
 @pytest.mark.parametrize("box", SQUARES)
 def test_latest_equals_theta_join(frames, box):
     spots, points, theta = frames
-    order = [F.col("day").desc(), F.col("id")]
+    order = ["day DESC", "id"]
     got = sp.latest_within(spots, points, box, 4, order, ["day", "id"])
-    want = sp._top(hits(theta, box), ["qlat", "qlon"], order, 4, "rn")
+    want = sp._top(hits(theta, box), "qlat, qlon", order, 4)
     assert as_set(got, "qlat", "qlon", "rn", "id") == as_set(want, "qlat", "qlon", "rn", "id")
 
 
@@ -71,26 +70,26 @@ def test_latest_equals_theta_join(frames, box):
 @pytest.mark.parametrize("k", [1, 3])
 def test_nearest_in_box_equals_theta_join(frames, box, k):
     spots, points, theta = frames
-    got = sp.nearest_within(spots, points, box, k, [F.col("id")], ["id"], FEET)
+    got = sp.nearest_within(spots, points, box, k, ["id"], ["id"], FEET)
     dist = planar(F.col("latitude"), F.col("longitude"), F.col("qlat"), F.col("qlon"), FEET)
-    want = sp._top(hits(theta, box).withColumn("dist", dist), ["qlat", "qlon"], [F.col("dist"), F.col("id")], k, "rn")
+    want = sp._top(hits(theta, box).withColumn("dist", dist), "qlat, qlon", ["dist", "id"], k)
     assert as_set(got, "qlat", "qlon", "rn", "id", "dist") == as_set(want, "qlat", "qlon", "rn", "id", "dist")
 
 
 @pytest.mark.parametrize("k", [1, 5])
 def test_nearest_anywhere_equals_cross_join(frames, k):
     spots, points, theta = frames
-    got = sp.nearest_anywhere(spots, points, k, [F.col("id")], ["id"], MILES)
+    got = sp.nearest_anywhere(spots, points, k, ["id"], ["id"], MILES)
     dist = planar(F.col("latitude"), F.col("longitude"), F.col("qlat"), F.col("qlon"), MILES)
-    want = sp._top(theta.withColumn("dist", dist), ["qlat", "qlon"], [F.col("dist"), F.col("id")], k, "rn")
+    want = sp._top(theta.withColumn("dist", dist), "qlat, qlon", ["dist", "id"], k)
     assert as_set(got, "qlat", "qlon", "rn", "id", "dist") == as_set(want, "qlat", "qlon", "rn", "id", "dist")
 
 
 def test_nearest_anywhere_with_few_or_no_sites(spark, frames):
     spots, points, _ = frames
     few = points.where("id = 5")
-    assert sp.nearest_anywhere(spots, few, 3, [F.col("id")], ["id"], MILES).count() == spots.count()
-    assert sp.nearest_anywhere(spots, points.where("id < 0"), 3, [F.col("id")], ["id"], MILES).count() == 0
+    assert sp.nearest_anywhere(spots, few, 3, ["id"], ["id"], MILES).count() == spots.count()
+    assert sp.nearest_anywhere(spots, points.where("id < 0"), 3, ["id"], ["id"], MILES).count() == 0
 
 
 def test_no_cross_join_in_plans(frames):
@@ -98,9 +97,9 @@ def test_no_cross_join_in_plans(frames):
     box = SQUARES[0]
     for df in (
         sp.count_within(spots, points, box),
-        sp.latest_within(spots, points, box, 3, [F.col("id")], ["id"]),
-        sp.nearest_within(spots, points, box, 3, [F.col("id")], ["id"], FEET),
-        sp.nearest_anywhere(spots, points, 3, [F.col("id")], ["id"], FEET),
+        sp.latest_within(spots, points, box, 3, ["id"], ["id"]),
+        sp.nearest_within(spots, points, box, 3, ["id"], ["id"], FEET),
+        sp.nearest_anywhere(spots, points, 3, ["id"], ["id"], FEET),
     ):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoop" not in plan and "CartesianProduct" not in plan
