@@ -165,6 +165,54 @@ RELATIONS: dict[str, str] = {
                     WHEN 2 THEN 'Gas smell near door ' WHEN 3 THEN 'Loud party at ' WHEN 4 THEN 'Pipe burst in room '
                     ELSE 'Something odd at ' END || CAST(c_custkey AS VARCHAR(20)) AS text
         FROM customer""",
+    "fx_coded": """
+        SELECT event_id, CAST(event_id % 21 AS INT) AS complaint_type, CAST(event_id % 6 AS INT) AS borough,
+               CAST(COALESCE(latitude, 0e0) AS FLOAT) AS lat, CAST(COALESCE(longitude, 0e0) AS FLOAT) AS lon
+        FROM fx_points""",
+    "fx_names": """
+        SELECT c_custkey,
+               CASE c_custkey % 11 WHEN 0 THEN ' Manhattan ' WHEN 1 THEN 'NEW YORK' WHEN 2 THEN '"kings"' WHEN 3 THEN 'Queens'
+                    WHEN 4 THEN 'bronx' WHEN 5 THEN 'Richmond' WHEN 6 THEN '5' WHEN 7 THEN NULL WHEN 8 THEN ''
+                    WHEN 9 THEN 'nan' ELSE c_mktsegment END AS place,
+               CASE c_custkey % 13 WHEN 0 THEN 'Noise - Commercial' WHEN 1 THEN ' heating ' WHEN 2 THEN 'Structure Fire'
+                    WHEN 3 THEN 'WATER SYSTEM' WHEN 4 THEN 'Sewer Problems' WHEN 5 THEN 'medical call' WHEN 6 THEN 'Assault 3'
+                    WHEN 7 THEN 'Noise - Helicopter' WHEN 8 THEN NULL WHEN 9 THEN 'APPLIANCE' WHEN 10 THEN '"Rodent"'
+                    ELSE c_mktsegment END AS kind
+        FROM customer""",
+    "fx_date_texts": """
+        SELECT o_orderkey, o_orderkey % 40 AS gap, y, mo, dd, h,
+               CASE o_orderkey % 8
+                    WHEN 0 THEN mo || '/' || dd || '/' || y || ' ' || h || ':05:09 PM'
+                    WHEN 1 THEN '0' || CAST(o_orderkey % 9 + 1 AS VARCHAR(20)) || '/' || dd || '/' || y || ' 1' || CAST(o_orderkey % 10 AS VARCHAR(20)) || ':05:09'
+                    WHEN 2 THEN y || '-11-0' || CAST(o_orderkey % 9 + 1 AS VARCHAR(20)) || 'T08:09:10.000'
+                    WHEN 3 THEN ' ' || mo || '/' || dd || '/' || y || ' '
+                    WHEN 4 THEN 'unknown' WHEN 5 THEN '' WHEN 6 THEN NULL
+                    ELSE '"' || mo || '/' || dd || '/' || y || ' ' || h || ':59:00 AM"' END AS created_text,
+               CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE '12/31/' || y || ' 23:59:59' END AS closed_text
+        FROM (SELECT o_orderkey, CAST(EXTRACT(YEAR FROM o_orderdate) AS VARCHAR(20)) AS y,
+                     CAST(EXTRACT(MONTH FROM o_orderdate) AS VARCHAR(20)) AS mo,
+                     CAST(EXTRACT(DAY FROM o_orderdate) AS VARCHAR(20)) AS dd,
+                     CAST(o_orderkey % 12 + 1 AS VARCHAR(20)) AS h FROM orders) t""",
+    "fx_replies": """
+        SELECT doc_id, text,
+               CASE doc_id % 7
+                    WHEN 0 THEN '{"category": "Kind ' || lang || '", "severity": 3, "agency": "EMS", "send": "unit", "summary": "from ' || source || '", "confidence": 0.75}'
+                    WHEN 1 THEN '```json' || chr(10) || '{"category": "Fenced ' || source || '", "severity": 2, "agency": "FDNY", "send": "unit", "summary": "s", "confidence": 0.5}' || chr(10) || '```'
+                    WHEN 2 THEN 'Sure, here it is: {"category": "Inside ' || lang || '", "severity": 5, "agency": "NYPD", "send": "unit", "summary": "t", "confidence": 0.25} Bye.'
+                    WHEN 3 THEN '{"category": "Broken ' || lang || '", "severity": '
+                    WHEN 4 THEN NULL WHEN 5 THEN 'no braces at all'
+                    ELSE '' END AS reply
+        FROM documents""",
+    "fx_responses": """
+        SELECT event_id AS scenario_id, CAST(event_id % 7 AS INT) AS severity,
+               CASE event_id % 5 WHEN 0 THEN 'NYPD' WHEN 1 THEN 'FDNY' WHEN 2 THEN 'Police' WHEN 3 THEN NULL ELSE 'Multi' END AS agency,
+               CASE WHEN event_id % 3 = 0 THEN 'short' ELSE 'a long enough summary of event ' || CAST(event_id AS VARCHAR(20)) END AS summary,
+               CAST(event_id % 4 AS DOUBLE) / 4e0 AS confidence, CAST(event_id % 6 AS INT) AS similar_count,
+               CAST(floor(value) AS INT) * 30 AS total_ms,
+               CAST(event_id % 4 + 1 AS INT) AS expected_severity,
+               CASE WHEN event_id % 9 = 0 THEN NULL WHEN event_id % 2 = 0 THEN 'NYPD' ELSE 'FDNY' END AS expected_agency,
+               event_type, value AS latency_ms, event_id % 10 != 0 AS ok
+        FROM events""",
 }
 
 

@@ -117,14 +117,3 @@ def grouped(c: Column) -> Column:
 
 def all_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions, F.lit(True))
-
-
-def like_anywhere(text: Column, pattern: Column) -> Column:
-    """``text LIKE '%pattern%'`` where % and _ of the pattern stay wildcards; plain patterns take the fast path."""
-    wild = pattern.contains("%") | pattern.contains("_")
-    loose = F.like(text, F.concat(F.lit("%"), pattern, F.lit("%")), F.lit("\u0001"))
-    return F.when(wild, loose).otherwise(text.contains(pattern))
-
-
-def strict_like(text: Column, pattern: Column) -> Column:
-    return text.contains(pattern)

@@ -15,6 +15,12 @@ def left_spread(left: DataFrame, right: DataFrame, keys: list[str], spread_by: s
     return salted.join(right.withColumn("_s", F.lit(0).cast("bigint")), [*keys, "_s"], "left").drop("_s")
 
 
+def join_same(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which NULL keys meet NULL keys. Spark still hashes or sorts it."""
+    other = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    return left.join(other, F.expr(" AND ".join(f"{k} <=> _r_{k}" for k in keys)), how).drop(*[f"_r_{k}" for k in keys])
+
+
 def merge_measures(parts: list[DataFrame], keys: list[str], how: dict[str, str]) -> DataFrame:
     """Fold several frames with the same keys and different measures into one row per key, in a single shuffle.
 

@@ -2,7 +2,7 @@
 
 The value at a 0-based rank is found by narrowing: values are counted per distinct value, spread over ``BINS`` equal
 bins between the group's extremes, and only the bin that holds the wanted rank is looked into, twice over. No group
-is ever sorted as a whole, and copies of a value cost one row.
+with more than ``SMALL`` distinct values is ever sorted as a whole, and copies of a value cost one row.
 """
 
 from __future__ import annotations
@@ -10,7 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import join_same
+from .staging import written
+
 BINS = 1024
+SMALL = 100_000  # distinct values a group may have before it is narrowed
 
 
 def weigh(df: DataFrame, groups: list[str], value: str) -> DataFrame:
@@ -23,7 +27,7 @@ def _narrow(values: DataFrame, keys: list[str]) -> DataFrame:
     limits = values.groupBy(*keys).agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
     width = (F.col("hi") - F.col("lo")) / F.lit(BINS)
     slot = F.when(width > 0, F.least(F.floor((F.col("v") - F.col("lo")) / width), F.lit(BINS - 1))).otherwise(F.lit(0))
-    binned = values.join(limits, keys).withColumn("bin", slot.cast("int")).drop("lo", "hi")
+    binned = join_same(values, limits, keys).withColumn("bin", slot.cast("int")).drop("lo", "hi")
     sums = binned.groupBy(*keys, "rank", "bin").agg(F.sum("m").alias("size"))
     upto = F.sum("size").over(Window.partitionBy(*keys).orderBy("bin"))  # at most BINS rows per key
     wanted = (
@@ -31,20 +35,23 @@ def _narrow(values: DataFrame, keys: list[str]) -> DataFrame:
         .where((F.col("below") <= F.col("rank")) & (F.col("rank") < F.col("below") + F.col("size")))
         .select(*keys, "bin", "below")
     )
-    return binned.join(wanted, [*keys, "bin"]).withColumn("rank", F.col("rank") - F.col("below")).drop("bin", "below")
+    return join_same(binned, wanted, [*keys, "bin"]).withColumn("rank", F.col("rank") - F.col("below")).drop("bin", "below")
 
 
-def values_at(df: DataFrame, groups: list[str], value: str, ranks: dict[str, Column], rounds: int = 2) -> DataFrame:
+def values_at(df: DataFrame, groups: list[str], value: str, ranks: dict[str, Column]) -> DataFrame:
     """(groups..., pick, v): for each entry of ``ranks`` the value at that 0-based rank in ascending order.
 
     A rank is an expression over ``n``, the number of values in the group.
     """
-    values = weigh(df, groups, value)
+    values = written(weigh(df, groups, value), "values")
+    widest = values.groupBy(*groups).count().agg(F.max("count")).first()[0] or 0
+    rounds = 0 if widest <= SMALL else 2
     sizes = values.groupBy(*groups).agg(F.sum("m").alias("n"))
     wanted = F.array(*[F.struct(F.lit(name).alias("pick"), rank.cast("bigint").alias("rank")) for name, rank in ranks.items()])
     goals = sizes.select(*groups, F.explode(wanted).alias("g")).select(*groups, "g.pick", "g.rank")
     keys = [*groups, "pick"]
-    left = values.withColumn("pick", F.explode(F.array(*[F.lit(p) for p in ranks]))).join(goals, keys)
+    picked = values.withColumn("pick", F.explode(F.array(*[F.lit(p) for p in ranks])))
+    left = join_same(picked, goals, keys)
     for _ in range(rounds):
         left = _narrow(left, keys)
     upto = F.sum("m").over(Window.partitionBy(*keys).orderBy("v"))

@@ -1,29 +1,20 @@
-"""First rows per key, keyed lookups and surrogate ids."""
+"""First rows per key, keyed lookups and surrogate ids. Orders are SQL texts such as ``"ts DESC NULLS LAST"``."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def first_per_key(df: DataFrame, keys: list[str], order: list[Column], k: int = 1, rank: str = "rn") -> DataFrame:
+def first_per_key(df: DataFrame, keys: list[str], order: list[str], k: int = 1, rank: str = "rn") -> DataFrame:
     """First k rows per key. Each map task keeps k rows per key before the shuffle (WindowGroupLimit)."""
-    window = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= k)
+    window = f"row_number() OVER (PARTITION BY {', '.join(keys)} ORDER BY {', '.join(order)}) AS {rank}"
+    return df.selectExpr("*", window).where(f"{rank} <= {k}")
 
 
 def latest_per_key(df: DataFrame, keys: list[str], when: str, *ties: str) -> DataFrame:
     """Newest row per key; rows without a time come last."""
-    order = [F.col(when).desc_nulls_last(), *[F.col(t) for t in ties]]
-    return first_per_key(df, keys, order).drop("rn")
-
-
-def recent_per_key(facts: DataFrame, keys: DataFrame, key: str, order: list[Column], k: int) -> DataFrame:
-    """First k facts of each requested key, cut per key before they meet the requests.
-
-    ``keys`` holds the requested keys once each. The semi join drops other facts early.
-    """
-    return first_per_key(facts.join(keys, key, "left_semi"), [key], order, k)
+    return first_per_key(df, keys, [f"{when} DESC NULLS LAST", *ties]).drop("rn")
 
 
 def with_row_id(df: DataFrame, name: str = "id") -> DataFrame:
@@ -31,5 +22,5 @@ def with_row_id(df: DataFrame, name: str = "id") -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
-def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0) -> DataFrame:
-    return df.orderBy(*order).offset(offset).limit(limit)
+def page(df: DataFrame, order: list[str], limit: int, offset: int = 0) -> DataFrame:
+    return df.orderBy(*[F.expr(o) for o in order]).offset(offset).limit(limit)

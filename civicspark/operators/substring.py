@@ -2,34 +2,30 @@
 
 A text that contains a search text also contains every q-gram of it. Each search text is therefore looked up under
 its rarest q-gram only, and the few candidates found there are checked exactly. % and _ inside a search text stay
-LIKE wildcards, so grams never run across them.
+LIKE wildcards, so grams never run across them. A search text without any literal character is looked up under the
+empty gram, which every entry has.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import like_anywhere
+from .staging import written
 
 GRAM = 4
 
-
-def _grams(text: Column, size: int) -> Column:
-    starts = F.sequence(F.lit(1), F.length(text) - F.lit(size - 1))
-    return F.when(F.length(text) >= size, F.transform(starts, lambda i: F.substring(text, i, F.lit(size))))
-
-
-def _pattern_grams(pattern: Column) -> Column:
-    """Grams of the longest possible size up to GRAM; '' when the text has no literal character."""
-    pieces = F.filter(F.split(pattern, "[%_]"), lambda p: F.length(p) > 0)
-    longest = F.coalesce(F.array_max(F.transform(pieces, lambda p: F.length(p))), F.lit(0))
-    out = F.array(F.lit(""))
-    for size in range(1, GRAM + 1):
-        found = F.flatten(F.transform(pieces, lambda p, n=size: F.coalesce(_grams(p, n), F.array().cast("array<string>"))))
-        enough = longest == size if size < GRAM else longest >= size
-        out = F.when(enough, F.array_distinct(found)).otherwise(out)
-    return out
+_ENTRY_GRAMS = f"""CASE WHEN entry = '' THEN array('') ELSE concat(array(''), array_distinct(flatten(transform(
+    sequence(1, least({GRAM}, length(entry))),
+    n -> transform(sequence(1, length(entry) - n + 1), i -> substring(entry, i, n)))))) END"""
+_PIECES = "filter(split(pattern, '[%_]'), p -> length(p) > 0)"
+_SIZE = f"least({GRAM}, coalesce(array_max(transform(pieces, p -> length(p))), 0))"
+_PATTERN_GRAMS = """CASE WHEN size = 0 THEN array('') ELSE array_distinct(flatten(transform(
+    filter(pieces, p -> length(p) >= size),
+    p -> transform(sequence(1, length(p) - size + 1), i -> substring(p, i, size))))) END"""
+# Plain search texts take the fast path. \\u0001 stands in as escape character, so a backslash is an ordinary one.
+_MATCH = """CASE WHEN contains(pattern, '%') OR contains(pattern, '_') THEN entry LIKE concat('%', pattern, '%') ESCAPE '\\u0001'
+    ELSE contains(entry, pattern) END"""
 
 
 def containing(patterns: DataFrame, dictionary: DataFrame) -> DataFrame:
@@ -37,25 +33,15 @@ def containing(patterns: DataFrame, dictionary: DataFrame) -> DataFrame:
 
     ``patterns`` has a distinct column ``pattern``, ``dictionary`` a distinct column ``entry``; both may be large.
     """
-    grams = patterns.select("pattern", F.explode(_pattern_grams(F.col("pattern"))).alias("gram"))
-    wanted = grams.select("gram").distinct()
-    sizes = [
-        dictionary.select("entry", F.explode(F.array_distinct(_grams(F.col("entry"), size))).alias("gram"))
-        for size in range(1, GRAM + 1)
-    ]
-    postings = dictionary.select("entry", F.lit("").alias("gram"))
-    for part in sizes:
-        postings = postings.unionByName(part)
+    pieces = patterns.where("pattern IS NOT NULL").selectExpr("pattern", f"{_PIECES} AS pieces")
+    grams = pieces.selectExpr("pattern", "pieces", f"{_SIZE} AS size").selectExpr("pattern", f"explode({_PATTERN_GRAMS}) AS gram")
     # Only grams that some search text uses survive, so the index is never built for the rest.
-    postings = postings.join(wanted, "gram", "left_semi")
-    weight = postings.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    # A gram without postings proves that the search text has no match, so the inner join may drop the others.
+    postings = dictionary.where("entry IS NOT NULL").selectExpr("entry", f"explode({_ENTRY_GRAMS}) AS gram")
+    postings = written(postings.join(grams.select("gram").distinct(), "gram", "left_semi"), "postings")
+    weight = postings.groupBy("gram").agg(F.expr("count(1) AS df"))
+    # A gram without postings proves that its search text has no match.
     rarest = (
-        grams.join(weight, "gram", "left")
-        .groupBy("pattern")
-        .agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram")).alias("best"))
-        .where(F.col("best.df") > 0)
-        .select("pattern", F.col("best.gram").alias("gram"))
+        grams.join(weight, "gram", "left").groupBy("pattern")
+        .agg(F.expr("min(struct(coalesce(df, 0L) AS df, gram)) AS best")).where("best.df > 0").selectExpr("pattern", "best.gram AS gram")
     )
-    pairs = rarest.join(postings, "gram")
-    return pairs.where(like_anywhere(F.col("entry"), F.col("pattern"))).select("pattern", "entry")
+    return rarest.join(postings, "gram").where(_MATCH).select("pattern", "entry")

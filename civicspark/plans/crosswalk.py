@@ -23,7 +23,7 @@ def candidates(source: DataFrame, priority: int) -> DataFrame:
 def crosswalk(sources: list[tuple[DataFrame, int]]) -> DataFrame:
     """(bbl, bin): lowest priority number first, then the most frequent pair, then the smaller bin."""
     pairs = reduce(lambda a, b: a.unionByName(b), [candidates(df, p) for df, p in sources])
-    best = first_per_key(pairs, ["bbl"], [F.col("src_pri"), F.col("cnt").desc(), F.col("bin")])
+    best = first_per_key(pairs, ["bbl"], ["src_pri", "cnt DESC", "bin"])
     return best.select("bbl", "bin")
 
 

@@ -8,6 +8,7 @@ from typing import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def replace_table(df: DataFrame, path: str, sort_by: str | None = None) -> None:
@@ -41,7 +42,7 @@ def register(tables: dict[str, DataFrame]) -> None:
 
 def encode_documents(docs: DataFrame, encoder: Callable[[pd.Series], list], text: str = "document") -> DataFrame:
     """Add an embedding column with a pluggable batch encoder; one call per Arrow batch."""
-    schema = docs.schema.add("embedding", "array<float>")
+    schema = T.StructType([*docs.schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType()))])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
