@@ -524,7 +524,7 @@ SQL.update({
         _near("facilities", "fx_facilities", "facname", ("364000", "288200"), "0.01e0", 5, 0)]),
     "building_report_counts": _REPORT,
     "building_report_ecb": """
-        SELECT request_id, rn, ecb_violation_number, CAST(issue_date AS VARCHAR) AS issue_date, ROUND(balance_due, 2) AS balance_due FROM (
+        SELECT request_id, rn, ecb_violation_number, CAST(issue_date AS VARCHAR) AS issue_date, balance_due FROM (
             SELECT l.request_id, e.*, ROW_NUMBER() OVER (PARTITION BY l.request_id ORDER BY e.issue_date DESC NULLS LAST, e.ecb_violation_number) AS rn
             FROM px_located_report l JOIN px_ecb e ON e.bin = l.bin) WHERE rn <= 30""",
     "triage_rules": f"SELECT doc_id, {_TRIAGE_COLUMNS} FROM documents",

@@ -578,7 +578,7 @@ def building_report_counts(spark, d):
 @query
 def building_report_ecb(spark, d):
     _, parts = _report(spark, d)
-    return text_dates(parts["ecb_violations"].select("request_id", "rn", "ecb_violation_number", "issue_date", F.round("balance_due", 2).alias("balance_due")))
+    return text_dates(parts["ecb_violations"].select("request_id", "rn", "ecb_violation_number", "issue_date", "balance_due"))
 
 
 # ---- text, triage, validation ----------------------------------------------------------------------------------
