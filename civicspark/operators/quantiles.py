@@ -48,7 +48,7 @@ def values_at(df: DataFrame, groups: list[str], value: str, ranks: dict[str, Col
     rounds = 0 if widest <= SMALL else 2
     sizes = values.groupBy(*groups).agg(F.sum("m").alias("n"))
     wanted = F.array(*[F.struct(F.lit(name).alias("pick"), rank.cast("bigint").alias("rank")) for name, rank in ranks.items()])
-    goals = sizes.select(*groups, F.explode(wanted).alias("g")).select(*groups, "g.pick", "g.rank")
+    goals = sizes.select(*groups, F.explode(wanted).alias("_goal")).select(*groups, "_goal.pick", "_goal.rank")
     keys = [*groups, "pick"]
     picked = values.withColumn("pick", F.explode(F.array(*[F.lit(p) for p in ranks])))
     left = join_same(picked, goals, keys)

@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
+from typing import Callable, TypeVar
 
-from pyspark.sql import DataFrame
+from pyspark import inheritable_thread_target
+from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ensure_checkpoint_dir
 
+T = TypeVar("T")
+
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write a frame to the shared checkpoint folder and read it back.
@@ -19,3 +24,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{ensure_checkpoint_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def together(*steps: Callable[[], T]) -> list[T]:
+    """Run independent steps at the same time, so that their jobs share the cluster instead of queueing."""
+    if len(steps) < 2:
+        return [step() for step in steps]
+    inherit = inheritable_thread_target(SparkSession.active())
+    with ThreadPoolExecutor(len(steps)) as pool:
+        return [f.result() for f in [pool.submit(inherit(step)) for step in steps]]

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import FEET, MILES
 from ..operators import spatial as sp
 from ..operators.ranking import first_per_key
+from ..operators.staging import together
 from ..operators.substring import containing
 
 # Rows shown per source, and half width of each source's box in degrees.
@@ -98,33 +99,43 @@ def history(located: DataFrame, t: Tables) -> DataFrame:
     Entries of a request are shown by source in the order of SOURCE_RANK, newest first within a source.
     """
     lim = HISTORY_LIMITS
-    parts = []
-    if t.requests_311 is not None:
+    none = "CAST(NULL AS STRING)"
+
+    def from_311() -> DataFrame:
         cols = ["complaint_type", "descriptor", "status", "created_date", "unique_key"]
         rows = requests_311(located, t.requests_311, ["created_date DESC NULLS LAST", "unique_key"], lim["311"], cols)
-        parts.append(_entries(rows, "311", "complaint_type", "descriptor", "created_date", "status"))
-    if t.hpd is not None:
-        order = ["inspection_date DESC NULLS LAST", *nulls_last("violation_id", "nov_description", "violation_class", "current_status")]
-        rows = by_key(located, t.hpd, "bin", order, lim["HPD Violation"],
+        return _entries(rows, "311", "complaint_type", "descriptor", "created_date", "status")
+
+    def from_hpd() -> DataFrame:
+        ties = nulls_last("violation_id", "nov_description", "violation_class", "current_status")
+        rows = by_key(located, t.hpd, "bin", ["inspection_date DESC NULLS LAST", *ties], lim["HPD Violation"],
                       ["violation_class", "nov_description", "current_status", "inspection_date", "violation_id"])
-        parts.append(_entries(rows, "HPD Violation", "concat('Class ', violation_class)", "nov_description", "inspection_date", "current_status"))
-    if t.dob is not None:
-        order = ["issue_date DESC NULLS LAST", *nulls_last("id", "description", "violation_type", "is_active")]
-        rows = by_key(located, t.dob, "bin", order, lim["DOB Violation"], ["violation_type", "description", "is_active", "issue_date", "id"])
-        parts.append(_entries(rows, "DOB Violation", "violation_type", "description", "issue_date",
-                              "CASE WHEN is_active THEN 'ACTIVE' ELSE 'Resolved' END"))
-    if t.fire is not None:
+        return _entries(rows, "HPD Violation", "concat('Class ', violation_class)", "nov_description", "inspection_date", "current_status")
+
+    def from_dob() -> DataFrame:
+        ties = nulls_last("id", "description", "violation_type", "is_active")
+        rows = by_key(located, t.dob, "bin", ["issue_date DESC NULLS LAST", *ties], lim["DOB Violation"],
+                      ["violation_type", "description", "is_active", "issue_date", "id"])
+        return _entries(rows, "DOB Violation", "violation_type", "description", "issue_date",
+                        "CASE WHEN is_active THEN 'ACTIVE' ELSE 'Resolved' END")
+
+    def from_fire() -> DataFrame:
         rows = by_box(located, t.fire, FIRE_BOX, ["incident_datetime DESC NULLS LAST", "incident_id"], lim["FDNY"],
                       ["incident_type_desc", "incident_classification", "incident_datetime", "incident_id"])
-        parts.append(_entries(rows, "FDNY", "incident_type_desc", "incident_classification", "incident_datetime", "CAST(NULL AS STRING)"))
-    if t.ems is not None:
+        return _entries(rows, "FDNY", "incident_type_desc", "incident_classification", "incident_datetime", none)
+
+    def from_ems() -> DataFrame:
         rows = by_box(located, t.ems, EMS_BOX, ["incident_datetime DESC NULLS LAST", "cad_incident_id"], lim["EMS"],
                       ["initial_call_type", "initial_severity_level", "incident_datetime", "cad_incident_id"])
-        parts.append(_entries(rows, "EMS", "initial_call_type", "concat('Severity: ', initial_severity_level)", "incident_datetime", "CAST(NULL AS STRING)"))
-    if t.nypd is not None:
+        return _entries(rows, "EMS", "initial_call_type", "concat('Severity: ', initial_severity_level)", "incident_datetime", none)
+
+    def from_nypd() -> DataFrame:
         rows = by_box(located, t.nypd, NYPD_BOX, ["complaint_date DESC NULLS LAST", "complaint_number"], lim["NYPD"],
                       ["offense_description", "law_category", "complaint_date", "complaint_number"])
-        parts.append(_entries(rows, "NYPD", "offense_description", "law_category", "complaint_date", "CAST(NULL AS STRING)"))
+        return _entries(rows, "NYPD", "offense_description", "law_category", "complaint_date", none)
+
+    sources = [(t.requests_311, from_311), (t.hpd, from_hpd), (t.dob, from_dob), (t.fire, from_fire), (t.ems, from_ems), (t.nypd, from_nypd)]
+    parts = together(*[step for table, step in sources if table is not None])
     return reduce(lambda a, b: a.unionByName(b), parts).select(*_ENTRY)
 
 
@@ -151,14 +162,20 @@ def nearby(located: DataFrame, hospitals: DataFrame | None, hydrants: DataFrame
     """
     spots = located.where("latitude != 0 AND longitude != 0").selectExpr("latitude AS qlat", "longitude AS qlon").distinct()
     usable = "latitude IS NOT NULL AND latitude != 0"
-    parts = []
+    steps = []
     if hospitals is not None:
-        near = sp.nearest_anywhere(spots, hospitals.where(usable), NEAREST["hospitals"], ["facility_name"], ["facility_name"], MILES)
-        parts.append(_nearest(located, near, "hospitals", "facility_name", 2))
+        def hospital_rows() -> DataFrame:
+            near = sp.nearest_anywhere(spots, hospitals.where(usable), NEAREST["hospitals"], ["facility_name"], ["facility_name"], MILES)
+            return _nearest(located, near, "hospitals", "facility_name", 2)
+        steps.append(hospital_rows)
     if hydrants is not None:
-        near = sp.nearest_within(spots, hydrants.where(usable), HYDRANT_BOX, NEAREST["hydrants"], ["unitid"], ["unitid"], FEET)
-        parts.append(_nearest(located, near, "hydrants", "unitid", 0))
+        def hydrant_rows() -> DataFrame:
+            near = sp.nearest_within(spots, hydrants.where(usable), HYDRANT_BOX, NEAREST["hydrants"], ["unitid"], ["unitid"], FEET)
+            return _nearest(located, near, "hydrants", "unitid", 0)
+        steps.append(hydrant_rows)
     if facilities is not None:
-        near = sp.nearest_within(spots, facilities.where(usable), FACILITY_BOX, NEAREST["facilities"], ["facname"], ["facname"], FEET)
-        parts.append(_nearest(located, near, "facilities", "facname", 0))
-    return reduce(lambda a, b: a.unionByName(b), parts)
+        def facility_rows() -> DataFrame:
+            near = sp.nearest_within(spots, facilities.where(usable), FACILITY_BOX, NEAREST["facilities"], ["facname"], ["facname"], FEET)
+            return _nearest(located, near, "facilities", "facname", 0)
+        steps.append(facility_rows)
+    return reduce(lambda a, b: a.unionByName(b), together(*steps))

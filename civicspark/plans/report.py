@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import partial, reduce
+from typing import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.staging import together
 from . import history as h
 
 # Rows shown per section. Elevators are shown whole.
@@ -78,7 +80,7 @@ def sections(located: DataFrame, tables: dict[str, DataFrame], ties: dict[str, s
     ``tables`` add one row per request each; ``hospitals``, ``hydrants`` and ``facilities`` add the nearby section.
     """
     ties = ties or {}
-    out: dict[str, DataFrame] = {}
+    steps: dict[str, Callable[[], DataFrame]] = {}
     for name, (date, columns) in BIN_SECTIONS.items():
         if name in tables:
             df = tables[name]
@@ -86,24 +88,25 @@ def sections(located: DataFrame, tables: dict[str, DataFrame], ties: dict[str, s
             tie = ties.get(name)
             payload = list(dict.fromkeys([*show, *([tie] if tie else [])]))
             if date is None:
-                out[name] = h.by_key(located, df, "bin", [], None, payload)
+                steps[name] = partial(h.by_key, located, df, "bin", [], None, payload)
             else:
-                out[name] = h.by_key(located, df, "bin", _order(df, date, columns, tie), SECTION_LIMITS[name], payload)
+                steps[name] = partial(h.by_key, located, df, "bin", _order(df, date, columns, tie), SECTION_LIMITS[name], payload)
     if "service_requests_311" in tables:
         df = tables["service_requests_311"]
         tie = ties.get("service_requests_311")
         payload = list(dict.fromkeys([*_shown(df, SECTION_311), *([tie] if tie else [])]))
         order = _order(df, "created_date", SECTION_311, tie)
-        out["service_requests_311"] = h.requests_311(located, df, order, SECTION_LIMITS["service_requests_311"], payload)
+        steps["service_requests_311"] = partial(h.requests_311, located, df, order, SECTION_LIMITS["service_requests_311"], payload)
     for name, (box, date, columns) in BOX_SECTIONS.items():
         if name in tables:
             df = tables[name]
             tie = ties.get(name)
             payload = list(dict.fromkeys([*_shown(df, columns), *([tie] if tie else [])]))
-            out[name] = h.by_box(located, df, box, _order(df, date, columns, tie), SECTION_LIMITS[name], payload)
+            steps[name] = partial(h.by_box, located, df, box, _order(df, date, columns, tie), SECTION_LIMITS[name], payload)
     places = {n: tables.get(n) for n in ("hospitals", "hydrants", "facilities")}
     if any(p is not None for p in places.values()):
-        out["nearby"] = h.nearby(located, **places)
+        steps["nearby"] = partial(h.nearby, located, **places)
+    out = dict(zip(steps, together(*steps.values())))
     if "risk_scores" in tables:
         out["risk_score"] = located.select("request_id", "bbl").join(tables["risk_scores"], "bbl")
     if "owner_portfolio" in tables:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import FEET
 from ..operators import spatial as sp
 from ..operators.ranking import first_per_key
+from ..operators.staging import together
 from ..operators.substring import containing
 
 NEAR_BOX = sp.Box(500 / 364000.0, strict=False)
@@ -43,24 +44,24 @@ def resolve(requests: DataFrame, buildings: DataFrame, columns: list[str]) -> Da
     by_address = per_key("addr", ["bbl"])
     patterns = req.selectExpr("r_addr AS pattern").where("pattern IS NOT NULL AND pattern != ''").distinct()
     open_patterns = patterns.join(by_address.selectExpr("k AS pattern"), "pattern", "left_anti")
-    pairs = containing(open_patterns, by_address.selectExpr("k AS entry"))
+    placed = req.where("qlat != 0 AND qlon != 0").select("request_id", "qlat", "qlon")
+    sites = rows.where("latitude IS NOT NULL AND latitude != 0").select("latitude", "longitude", "b")
+    pairs, near = together(
+        lambda: containing(open_patterns, by_address.selectExpr("k AS entry")),
+        lambda: sp.nearest_within(placed.select("qlat", "qlon").distinct(), sites, NEAR_BOX, 1, ["b.bbl"], ["b"], FEET),
+    )
     # Equal addresses share their length, so the smallest bbl per address is enough to break ties.
     best = pairs.join(by_address, pairs["entry"] == by_address["k"]).selectExpr(
         "pattern", "struct(length(b.address) AS l, b.bbl AS i) AS o", "b"
     )
     by_part = best.groupBy("pattern").agg(F.expr("min_by(b, o) AS b")).selectExpr("pattern AS k", "b")
 
-    placed = req.where("qlat != 0 AND qlon != 0").select("request_id", "qlat", "qlon")
-    sites = rows.where("latitude IS NOT NULL AND latitude != 0").select("latitude", "longitude", "b")
-    near = sp.nearest_within(
-        placed.select("qlat", "qlon").distinct(), sites, NEAR_BOX, 1, ["b.bbl"], ["b"], FEET
-    ).select("qlat", "qlon", "b")
     stages = [
         equal(1, "r_bbl", per_key("bbl", ["bin"])),
         equal(2, "r_bin", per_key("bin", ["bbl"])),
         equal(3, "r_addr", by_address),
         equal(4, "r_addr", by_part),
-        placed.join(near, ["qlat", "qlon"]).selectExpr("request_id", "5 AS stage", "b"),
+        placed.join(near.select("qlat", "qlon", "b"), ["qlat", "qlon"]).selectExpr("request_id", "5 AS stage", "b"),
     ]
     hits = reduce(lambda a, b: a.unionByName(b), stages)
     won = hits.groupBy("request_id").agg(F.expr("min_by(b, stage) AS b"), F.expr("min(stage) AS stage"))

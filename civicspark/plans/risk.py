@@ -12,7 +12,7 @@ from ..functions import codes
 from ..functions.scalars import FEET, MILES
 from ..operators import spatial as sp
 from ..operators.joins import left_spread, merge_measures
-from ..operators.staging import written
+from ..operators.staging import together, written
 from .portfolio import open_status
 
 # Weight of each counted component, and the two flat additions.
@@ -143,8 +143,10 @@ def nearest_hospitals(spots: DataFrame, hospitals: DataFrame) -> list[DataFrame]
     """Nearest named hospital, and nearest distance to any; an unnamed one counts for the distance only."""
     named = hospitals.where(F.col("facility_name").isNotNull())
     unnamed = hospitals.where(F.col("facility_name").isNull())
-    best = sp.nearest_anywhere(spots, named, 1, ["facility_name"], ["facility_name"], MILES)
-    bare = sp.nearest_anywhere(spots, unnamed, 1, ["facility_name"], ["facility_name"], MILES)
+    best, bare = together(
+        lambda: sp.nearest_anywhere(spots, named, 1, ["facility_name"], ["facility_name"], MILES),
+        lambda: sp.nearest_anywhere(spots, unnamed, 1, ["facility_name"], ["facility_name"], MILES),
+    )
     pick = F.struct(F.col("dist").alias("d"), F.col("facility_name").alias("name"))
     return [
         best.select("qlat", "qlon", pick.alias("hospital"), F.col("dist").alias("nearest_hospital_mi")),
@@ -154,13 +156,14 @@ def nearest_hospitals(spots: DataFrame, hospitals: DataFrame) -> list[DataFrame]
 
 def near_by_spot(f: Facts, spots: DataFrame) -> DataFrame:
     """All distance components per distinct building spot, folded into one frame."""
+    ems, nypd, hydrants, hospitals = together(
+        lambda: sp.count_within(spots, f.ems, EMS_BOX).withColumnRenamed("n", "prior_ems_incidents"),
+        lambda: sp.count_within(spots, f.nypd, NYPD_BOX).withColumnRenamed("n", "nearby_nypd_incidents"),
+        lambda: nearest_hydrants(spots, f.hydrants),
+        lambda: nearest_hospitals(spots, f.hospitals),
+    )
     return merge_measures(
-        [
-            sp.count_within(spots, f.ems, EMS_BOX).withColumnRenamed("n", "prior_ems_incidents"),
-            sp.count_within(spots, f.nypd, NYPD_BOX).withColumnRenamed("n", "nearby_nypd_incidents"),
-            nearest_hydrants(spots, f.hydrants),
-            *nearest_hospitals(spots, f.hospitals),
-        ],
+        [ems, nypd, hydrants, *hospitals],
         ["qlat", "qlon"],
         {
             "prior_ems_incidents": "sum", "nearby_nypd_incidents": "sum", "nearest_hydrant_ft": "min",
@@ -192,18 +195,16 @@ def risk_scores(f: Facts, as_of: str) -> DataFrame:
     """
     f = replace(f, buildings=written(f.buildings.select("bbl", "bin", "address", "latitude", "longitude"), "buildings"))
     spots = written(sp.distinct_spots(f.buildings), "spots")
+    fires, by_spot = together(lambda: fires_by_bin(f.buildings, f.fire), lambda: near_by_spot(f, spots))
     by_bin = merge_measures(
-        [
-            *violations_by_bin(f.dob, f.ecb, f.hpd), *equipment_by_bin(f.inspections, f.elevators),
-            fires_by_bin(f.buildings, f.fire),
-        ],
+        [*violations_by_bin(f.dob, f.ecb, f.hpd), *equipment_by_bin(f.inspections, f.elevators), fires],
         ["bin"], {**VIOLATION_SUMS, **EQUIPMENT_SUMS, "prior_fire_incidents": "sum"},
     )
     near_how = {
         "prior_ems_incidents": "sum", "nearby_nypd_incidents": "sum", "nearest_hydrant_ft": "min", "hospital": "min",
         "nearest_hospital_mi": "min",
     }
-    near = near_by_bbl(f.buildings, near_by_spot(f, spots), near_how)
+    near = near_by_bbl(f.buildings, by_spot, near_how)
     by_bbl = merge_measures(
         [near, velocity_by_bbl(f.buildings, f.requests, as_of)], ["bbl"],
         {**near_how, "complaint_velocity_30d": "sum", "complaint_velocity_90d": "sum"},
