@@ -32,6 +32,7 @@ def main() -> None:
         **{
             "spark.sql.shuffle.partitions": cpus, "spark.ui.enabled": "false", "spark.driver.memory": "16g",
             "spark.ui.showConsoleProgress": "false", "spark.python.sql.dataFrameDebugging.enabled": "false",
+            "spark.sql.codegen.cache.maxEntries": "2000",
         },
     )
     spark.sparkContext.setLogLevel("ERROR")

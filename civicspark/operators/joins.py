@@ -8,11 +8,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def left_spread(left: DataFrame, right: DataFrame, keys: list[str], spread_by: str) -> DataFrame:
-    """Left join that spreads rows with a NULL key over all tasks instead of hashing them onto one."""
-    no_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
-    salted = left.withColumn("_s", F.when(no_key, F.xxhash64(spread_by)).otherwise(F.lit(0).cast("bigint")))
-    return salted.join(right.withColumn("_s", F.lit(0).cast("bigint")), [*keys, "_s"], "left").drop("_s")
+def left_spread(left: DataFrame, right: DataFrame, key: str, spread_by: str) -> DataFrame:
+    """Left join on a text key that spreads rows without a key over all tasks instead of hashing them onto one.
+
+    Such rows get a key of their own that nothing can match. (A constant salt column would not do: the optimizer
+    folds a constant key away.)
+    """
+    own = left.withColumn("_k", F.expr(f"coalesce({key}, concat('\\0', CAST({spread_by} AS STRING)))"))
+    other = right.where(f"{key} IS NOT NULL").withColumnRenamed(key, "_k")
+    return own.join(other, "_k", "left").drop("_k")
 
 
 def join_same(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:

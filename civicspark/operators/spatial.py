@@ -187,13 +187,11 @@ def count_within(queries: DataFrame, points: DataFrame, box: Box) -> DataFrame:
     for level in range(levels):
         last = level == levels - 1
         met = _classify(frontier, _cells(spots, grid, level, "pw"), box, last)
-        # Inside rows (kind 0) find no partner and keep the cell's weight; opened cells are checked spot by spot.
-        opened = _at(spots, grid, level, "1 AS kind", "plat", "plon", "pw")
-        answered = met.where("kind < 2").select("qlat", "qlon", "ci", "cj", "kind", "w")
-        parts.append(
-            answered.join(opened, ["ci", "cj", "kind"], "left").where(f"kind = 0 OR ({box.hit})")
-            .selectExpr("qlat", "qlon", "CASE WHEN kind = 0 THEN w ELSE pw END AS w")
-        )
+        # Two branches, not one outer join: an inside cell must not meet its own spots, however many they are.
+        parts.append(met.where("kind = 0").select("qlat", "qlon", "w"))
+        opened = met.where("kind = 1").select("qlat", "qlon", "ci", "cj")
+        opened = opened.join(_at(spots, grid, level, "plat", "plon", "pw"), ["ci", "cj"])
+        parts.append(opened.where(box.hit).selectExpr("qlat", "qlon", "pw AS w"))
         if not last:
             frontier = _children(met.where("kind = 2"), box, grid, level)
     return _union(parts).groupBy("qlat", "qlon").agg(F.expr("sum(w) AS n"))

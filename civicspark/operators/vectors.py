@@ -38,8 +38,9 @@ def cosine_top_n(
     only rows of equal value are compared.
     """
     tag = filter_column or "_all"
-    q = queries if filter_column else queries.withColumn(tag, F.lit(0))
-    c = corpus if filter_column else corpus.withColumn(tag, F.lit(0))
+    # Without a filter every row has tag 0, written so that the optimizer cannot fold the join key away.
+    q = queries if filter_column else queries.withColumn(tag, F.expr("int(isnull(query_id))"))
+    c = corpus if filter_column else corpus.withColumn(tag, F.expr("int(isnull(corpus_id))"))
     q = q.where(F.col("vector").isNotNull()).select("query_id", "vector", F.col(tag).alias("tag"))
     c = c.where(F.col("vector").isNotNull()).select("corpus_id", "vector", F.col(tag).alias("tag"))
     tag_type = c.schema["tag"].dataType.simpleString()

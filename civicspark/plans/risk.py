@@ -209,7 +209,7 @@ def risk_scores(f: Facts, as_of: str) -> DataFrame:
         [near, velocity_by_bbl(f.buildings, f.requests, as_of)], ["bbl"],
         {**near_how, "complaint_velocity_30d": "sum", "complaint_velocity_90d": "sum"},
     )
-    rows = left_spread(f.buildings.select("bbl", "bin"), by_bin, ["bin"], "bbl").join(by_bbl, "bbl", "left")
+    rows = left_spread(f.buildings.select("bbl", "bin"), by_bin, "bin", "bbl").join(by_bbl, "bbl", "left")
     rows = rows.withColumn("nearest_hospital", F.col("hospital.name"))
     return rows.select("bbl", "bin", composite().alias("overall_risk_score"), *STORED)
 

@@ -142,7 +142,7 @@ def registrations_members(spark, d):
 
 
 def _portfolio(spark, d, balance):
-    out = pf.owner_portfolio(buildings(spark, d), dob(spark, d), fx.relation(spark, d, "fx_hpd_violations"), ecb(spark, d), balance)
+    out = pf.owner_portfolio(stored_buildings(spark, d), dob(spark, d), fx.relation(spark, d, "fx_hpd_violations"), ecb(spark, d), balance)
     return out.withColumns({
         "total_ecb_balance_due": F.round("total_ecb_balance_due", 1),
         "avg_violations_per_building": F.round("avg_violations_per_building", 4),
@@ -185,7 +185,7 @@ def risk_by_bin(spark, d):
 
 @query
 def risk_fire_or_join(spark, d):
-    return risk.fires_by_bin(buildings(spark, d), fire(spark, d))
+    return risk.fires_by_bin(stored_buildings(spark, d), fire(spark, d))
 
 
 def _near(spark, d, points, box, name):

@@ -89,7 +89,18 @@ def test_portfolio_compat_equals_full_join(spark):
 def test_left_spread_keeps_rows_without_key(spark):
     left = spark.createDataFrame([(1, "a"), (2, None), (3, "z")], "i int, k string")
     right = spark.createDataFrame([("a", 10), (None, 99)], "k string, v int")
-    assert sorted((r.i, r.v) for r in left_spread(left, right, ["k"], "i").collect()) == [(1, 10), (2, None), (3, None)]
+    assert sorted((r.i, r.v) for r in left_spread(left, right, "k", "i").collect()) == [(1, 10), (2, None), (3, None)]
+
+
+def test_plans_keep_their_hash_keys(spark):
+    """No nested loop anywhere, and the spread key of rows without a bin is not folded away."""
+    df = spark.createDataFrame([(i,) for i in range(50)], "id bigint").selectExpr("id", "array(CAST(id AS DOUBLE), 1D) AS vector")
+    top = vectors.cosine_top_n(df.withColumnRenamed("id", "query_id"), df.withColumnRenamed("id", "corpus_id"), 2)
+    plan = top._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+    left = spark.range(50).selectExpr("id AS i", "CASE WHEN id % 3 = 0 THEN CAST(id AS STRING) END AS k")
+    plan = left_spread(left, left.selectExpr("k", "i AS v"), "k", "i")._jdf.queryExecution().executedPlan().toString()
+    assert "coalesce" in plan
 
 
 def test_score_steps(spark):
