@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.staging import written
 from ..sources.specs import OWNER_ROLES
 
 # Limits above which an owner counts as neglectful.
@@ -88,11 +89,20 @@ def owner_portfolio(buildings: DataFrame, dob: DataFrame, hpd: DataFrame, ecb: D
     owned = buildings.where(F.col("owner_name").isNotNull())
     lots = owned.groupBy("owner_name").agg(F.countDistinct("bbl").alias("total_buildings"))
     bins = owned.where(F.col("bin").isNotNull()).groupBy("owner_name", "bin").agg(F.count(F.lit(1)).alias("lots"))
+    bins = written(bins, "owner-bins")  # read by five branches
 
     def distinct_ids(facts: DataFrame, key: str, name: str) -> DataFrame:
-        # Distinct (owner, id) spreads by id; the count per owner is combined before its shuffle.
-        pairs = bins.select("owner_name", "bin").join(facts.select("bin", F.col(key).alias("_id")), "bin")
-        return pairs.where(F.col("_id").isNotNull()).groupBy("owner_name").agg(F.countDistinct("_id").alias(name))
+        # An id that occurs in one bin only is counted there, and owners add up the counts of their bins. Only the
+        # ids found in several bins are followed to the owner one by one. So a crowded bin with many owners never
+        # multiplies its rows.
+        rows = facts.where(f"{key} IS NOT NULL AND bin IS NOT NULL").selectExpr(f"{key} AS _id", "bin")
+        seen = rows.groupBy("_id").agg(F.expr("min(bin) AS lo"), F.expr("max(bin) AS hi"))
+        plain = seen.where("lo = hi").groupBy(F.col("lo").alias("bin")).agg(F.expr("count(1) AS n"))
+        spread = rows.join(seen.where("lo != hi").select("_id"), "_id", "left_semi")
+        counts = bins.join(plain, "bin").select("owner_name", "n").unionByName(
+            bins.join(spread, "bin").groupBy("owner_name").agg(F.countDistinct("_id").alias("n"))
+        )
+        return counts.groupBy("owner_name").agg(F.sum("n").alias(name))
 
     open_dob = distinct_ids(dob.where("is_active"), "id", "open_n")
     open_c = distinct_ids(
