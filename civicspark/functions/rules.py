@@ -89,17 +89,24 @@ def _answer(rule: Rule, text: str, length: int) -> str:
     )
 
 
+def _bound(value: str, name: str, body: str) -> str:
+    """``body`` with ``value`` computed once per row and called ``name`` (a text is lower-cased once, not per word)."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def triage_sql(text: str) -> str:
+    cases = " ".join(f"WHEN {_any(r.words, 'low')} THEN {_answer(r, text, RULE_TEXT)}" for r in TRIAGE_RULES)
+    return _bound(f"lower({text})", "low", f"CASE {cases} ELSE {_answer(OTHER, text, OTHER_TEXT)} END")
+
+
 def triage(text: str) -> Column:
     """Struct column with the answer of the first rule whose words occur anywhere in the lower-cased text."""
-    low = f"lower({text})"
-    cases = " ".join(f"WHEN {_any(r.words, low)} THEN {_answer(r, text, RULE_TEXT)}" for r in TRIAGE_RULES)
-    return F.expr(f"CASE {cases} ELSE {_answer(OTHER, text, OTHER_TEXT)} END")
+    return F.expr(triage_sql(text))
 
 
 def scenario(text: str) -> Column:
-    low = f"lower({text})"
-    cases = " ".join(f"WHEN {_any(words, low)} THEN {_quote(name)}" for name, words in SCENARIO_RULES)
-    return F.expr(f"CASE {cases} ELSE {_quote(SCENARIO_OTHER)} END")
+    cases = " ".join(f"WHEN {_any(words, 'low')} THEN {_quote(name)}" for name, words in SCENARIO_RULES)
+    return F.expr(_bound(f"lower({text})", "low", f"CASE {cases} ELSE {_quote(SCENARIO_OTHER)} END"))
 
 
 def parse_reply(reply: str, text: str) -> Column:
@@ -108,16 +115,12 @@ def parse_reply(reply: str, text: str) -> Column:
     Code fences are stripped; then the whole reply is tried as JSON, then its outermost braces, then the rules.
     """
     bare = f"regexp_replace(regexp_replace(trim(BOTH ' \\t\\r\\n' FROM {reply}), '^```(json)?\\\\s*', ''), '\\\\s*```$', '')"
-    inner = f"regexp_extract({bare}, '(?s)\\\\{{.*\\\\}}', 0)"
     schema = _quote(RESULT_SCHEMA)
-    whole = f"CASE WHEN {bare} RLIKE '^\\\\s*\\\\{{' THEN from_json({bare}, {schema}, map('mode', 'PERMISSIVE')) END"
-    part = f"CASE WHEN {inner} != '' THEN from_json({inner}, {schema}, map('mode', 'PERMISSIVE')) END"
-
-    def usable(parsed: str) -> Column:
-        value = F.expr(parsed)
-        return F.when(value["category"].isNotNull() | value["severity"].isNotNull() | value["agency"].isNotNull(), value)
-
-    return F.coalesce(usable(whole), usable(part), triage(text))
+    whole = f"from_json(CASE WHEN startswith(bare, '{{') THEN bare END, {schema}, map('mode', 'PERMISSIVE'))"
+    part = f"from_json(nullif(regexp_extract(bare, '(?s)\\\\{{.*\\\\}}', 0), ''), {schema}, map('mode', 'PERMISSIVE'))"
+    usable = "x -> x.category IS NOT NULL OR x.severity IS NOT NULL OR x.agency IS NOT NULL"
+    parsed = _bound(bare, "bare", f"get(filter(array({whole}, {part}), {usable}), 0)")
+    return F.expr(f"coalesce({parsed}, {triage_sql(text)})")
 
 
 def severity_scale(spark: SparkSession) -> DataFrame:

@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 
 from .staging import written
 
-LEVEL_BITS = 3  # each level splits a cell side in 8
+LEVEL_BITS = 2  # each level splits a cell side in 4
 CELL_LIMIT = 64  # distinct spots an edge cell may hold before it is refined
-MAX_LEVELS = 4  # the finest cells of a box search are radius / 1024 wide
+MAX_LEVELS = 6  # the finest cells of a box search are radius / 2048 wide
 START_CELLS = 8  # cells per axis of the first level of an unbounded search: at most 9 x 9 aggregates
 _BOX_COLUMNS = ["lat_lo", "lat_hi", "lon_lo", "lon_hi"]
 

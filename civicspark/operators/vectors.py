@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .staging import written
+
 PIVOTS = 32
 BLOCK = 2048
 SLACK = 1e-6
@@ -46,7 +48,9 @@ def cosine_top_n(
     tag_type = c.schema["tag"].dataType.simpleString()
     vec_type = c.schema["vector"].dataType.simpleString()
 
-    chosen = c.select("vector").orderBy(F.xxhash64("corpus_id"), "corpus_id").limit(PIVOTS).collect()  # <= PIVOTS rows
+    # One pivot per block of corpus rows: a corpus of a block or less needs no pruning.
+    wanted = max(1, min(PIVOTS, -(-c.count() // BLOCK)))
+    chosen = c.select("vector").orderBy(F.xxhash64("corpus_id"), "corpus_id").limit(wanted).collect()  # <= PIVOTS rows
     if not chosen:
         return q.limit(0).select(
             "query_id", F.lit(None).cast(id_type).alias("corpus_id"), F.lit(0.0).alias("cosine"), F.lit(1).alias("rn")
@@ -63,6 +67,7 @@ def cosine_top_n(
 
     c = c.mapInPandas(assign, f"corpus_id {id_type}, vector {vec_type}, tag {tag_type}, cell int, angle double")
     cells = c.groupBy("tag", "cell").agg(F.count(F.lit(1)).alias("size"), F.max("angle").alias("spread"))
+    cells = written(cells, "cells")
     blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
     # At most PIVOTS cells per tag value, kept as one array so that a query row can weigh them on the spot.
     by_tag = cells.groupBy("tag").agg(F.collect_list(F.struct("cell", "size", "spread", blocks.alias("parts"))).alias("cells"))
@@ -90,7 +95,7 @@ def cosine_top_n(
     probes = q.join(by_tag, "tag").select("query_id", "vector", "tag", "cells").mapInPandas(
         reachable, f"query_id {q_type}, vector {vec_type}, tag {tag_type}, cells array<struct<cell:int,parts:int>>"
     )
-    probes = probes.select("query_id", "vector", "tag", F.explode("cells").alias("x")).select(
+    probes = written(probes, "probes").select("query_id", "vector", "tag", F.explode("cells").alias("x")).select(
         "query_id", "vector", "tag", "x.cell", F.explode(F.sequence(F.lit(0), F.col("x.parts") - 1)).alias("part")
     )
     load = probes.groupBy("tag", "cell", "part").agg(F.count(F.lit(1)).alias("asked"))
