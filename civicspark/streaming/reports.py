@@ -8,6 +8,8 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions import rules
+from ..plans import history as h
+from ..plans import triage as tr
 from ..session import ensure_checkpoint_dir
 
 
@@ -51,6 +53,18 @@ def start(
     return writer.start()
 
 
+def triage_enrichment(
+    buildings: DataFrame, tables: h.Tables, hospitals: DataFrame | None = None, hydrants: DataFrame | None = None,
+    facilities: DataFrame | None = None,
+) -> Callable[[DataFrame], dict[str, DataFrame]]:
+    """Enrichment for :func:`start`: resolution, history, context and nearest resources of each micro-batch.
+
+    Reports need request_id, text, address, latitude and longitude. Ranking is not possible on a stream itself, so it
+    runs on the micro-batch as an ordinary frame.
+    """
+    return lambda batch: tr.batch_triage(batch, buildings, tables, hospitals, hydrants, facilities)
+
+
 def triage_once(spark: SparkSession, path: str, schema: str, key: str) -> DataFrame:
     """Everything now in ``path`` through the stream, read back as one frame."""
     root = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"

@@ -157,3 +157,24 @@ def test_stream_equals_batch_and_drops_resends(spark, tmp_path):
     assert sorted(map(tuple, got.select("report_id", "category").collect())) == sorted(map(tuple, want.collect()))
     assert spark.read.parquet(str(tmp_path / "out" / "urgent")).count() == 20
     shutil.rmtree(tmp_path / "state", ignore_errors=True)
+
+
+def test_stream_enrichment_equals_batch(spark, tmp_path):
+    from civicspark import fixtures as fx
+    from civicspark import queries as qs
+    from civicspark.plans import triage as tr
+
+    requests = fx.relation(spark, SF, "fx_requests")
+    requests.repartition(2).write.parquet(str(tmp_path / "in"))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in requests.schema)
+    b, tables = qs.triage_buildings(spark, SF), qs.history_tables(spark, SF)
+    hydrants = fx.relation(spark, SF, "fx_hydrants")
+    enrich = reports.triage_enrichment(b, tables, hydrants=hydrants)
+    stream = reports.read_reports(spark, str(tmp_path / "in"), schema, files_per_trigger=1)
+    run = reports.start(stream, enrich, str(tmp_path / "out"), str(tmp_path / "state"), once=True)
+    run.awaitTermination()
+    assert run.exception() is None
+    want = tr.batch_triage(requests, b, tables, hydrants=hydrants)
+    for name in ("result", "history", "nearby"):
+        got = spark.read.parquet(str(tmp_path / "out" / name)).select(*want[name].columns)
+        assert got.count() == want[name].count() and got.exceptAll(want[name]).isEmpty()
