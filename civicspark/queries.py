@@ -216,8 +216,8 @@ def risk_inspection(spark, d):
 
 @query
 def risk_elevator(spark, d):
-    parts = risk.equipment_by_bin(inspections(spark, d).limit(0), elevators(spark, d))
-    return merge_measures(parts, ["bin"], risk.EQUIPMENT_SUMS).drop("last_fdny_inspection_pass")
+    _, lifts = risk.equipment_by_bin(inspections(spark, d), elevators(spark, d))
+    return merge_measures([lifts], ["bin"], {c: risk.EQUIPMENT_SUMS[c] for c in lifts.columns if c != "bin"})
 
 
 @query
