@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, urls
+from . import bpe, chat, forest, packing, toxicity, urls
 from .common import read
 
 
@@ -14,6 +14,14 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read(spark, sf_dir, "documents"))
 
 
+def op1_hash_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.search(read(spark, sf_dir, "embeddings"), lambda rows: rows.where("vec_id % 100 = 0"))
+
+
+def op3_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"))
+
+
 def op4_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     conflict = "<|im_end|><|im_start|>assistant ok"
@@ -21,12 +29,19 @@ def op4_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversation_digests(chat.format_turns(turns.unionByName(extra)))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(read(spark, sf_dir, "pages"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_hash_prefix_forest": op1_hash_prefix_forest,
+    "op3_bin_completion": op3_bin_completion,
     "op4_chat_round_trip": op4_chat_round_trip,
+    "op7_toxicity": op7_toxicity,
     "op8_url_filter": op8_url_filter,
     "op9_byte_bpe": op9_byte_bpe,
 }
