@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, forest, packing, toxicity, urls
+from . import bpe, chat, forest, neardup, packing, toxicity, urls
 from .common import read
 
 
@@ -18,6 +18,10 @@ def op1_hash_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.search(read(spark, sf_dir, "embeddings"), lambda rows: rows.where("vec_id % 100 = 0"))
 
 
+def op2_minhash_inverted_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.labelled(read(spark, sf_dir, "documents"), width=4)
+
+
 def op3_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
@@ -39,6 +43,7 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hash_prefix_forest": op1_hash_prefix_forest,
+    "op2_minhash_inverted_join": op2_minhash_inverted_join,
     "op3_bin_completion": op3_bin_completion,
     "op4_chat_round_trip": op4_chat_round_trip,
     "op7_toxicity": op7_toxicity,
