@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, forest, neardup, packing, toxicity, urls
+from . import bpe, chat, forest, neardup, packing, suffixes, toxicity, urls
 from .common import read
 
 
@@ -33,6 +33,10 @@ def op4_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversation_digests(chat.format_turns(turns.unionByName(extra)))
 
 
+def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.removal_digests(read(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -46,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash_inverted_join": op2_minhash_inverted_join,
     "op3_bin_completion": op3_bin_completion,
     "op4_chat_round_trip": op4_chat_round_trip,
+    "op5_suffix_array": op5_suffix_array,
     "op7_toxicity": op7_toxicity,
     "op8_url_filter": op8_url_filter,
     "op9_byte_bpe": op9_byte_bpe,
