@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, forest, neardup, packing, suffixes, toxicity, urls
+from . import bpe, chat, fingerprints, forest, neardup, packing, suffixes, toxicity, urls
 from .common import read
 
 
@@ -37,6 +37,10 @@ def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.removal_digests(read(spark, sf_dir, "documents"))
 
 
+def op6_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_likeness(read(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -51,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bin_completion": op3_bin_completion,
     "op4_chat_round_trip": op4_chat_round_trip,
     "op5_suffix_array": op5_suffix_array,
+    "op6_closed_syncmers": op6_closed_syncmers,
     "op7_toxicity": op7_toxicity,
     "op8_url_filter": op8_url_filter,
     "op9_byte_bpe": op9_byte_bpe,
