@@ -405,3 +405,36 @@ def removal_digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         F.when(F.col("copy"), 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(F.col("copy"), F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
     )
+
+
+def whole_characters(raw: bytes, starts: list[int], ends: list[int]) -> tuple[list[int], list[int]]:
+    """The runs drawn in to the edges of UTF-8 characters; a run inside one character goes."""
+    out: tuple[list[int], list[int]] = ([], [])
+    for s, e in zip(starts, ends, strict=True):
+        while s < e and raw[s] & 0xC0 == 0x80:
+            s += 1
+        while e > s and e < len(raw) and raw[e] & 0xC0 == 0x80:
+            e -= 1
+        if s < e:
+            out[0].append(s)
+            out[1].append(e)
+    return out
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", count: str = "n_chars") -> DataFrame:
+    """``docs`` with the repeated strings cut out of ``text`` (whole characters only) and, if there is such a column,
+    ``count`` taken anew. A later copy of a whole text becomes empty; no row is dropped. See ``removals``."""
+    marked, cut = removals(docs.withColumnRenamed(text, "text"), length)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rest = [kept_bytes(raw, *whole_characters(raw, s, e)).decode() for raw, s, e in zip(utf8(batch.column("text")), batch.column("starts").to_pylist(), batch.column("ends").to_pylist(), strict=True)]
+            yield pa.record_batch([batch.column("doc_id"), batch.column("sha"), pa.array(rest, pa.string())], ["_id", "_sha", "_rest"])
+
+    changed = cut.where(F.size("starts") > 0).mapInArrow(run, "_id long, _sha string, _rest string").dropDuplicates(["_id", "_sha"])
+    copies = marked.where("copy").select(F.col("doc_id").alias("_id"), F.col("sha").alias("_sha"), F.lit("").alias("_rest")).distinct()
+    own = (F.col("doc_id").cast("long") == F.col("_id")) & (F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary"), 256) == F.col("_sha"))
+    out = docs.join(changed.union(copies), own, "left").withColumn(text, F.coalesce("_rest", F.col(text)))
+    if count in docs.columns:
+        out = out.withColumn(count, F.when(F.col("_rest").isNull(), F.col(count)).otherwise(F.length("_rest")).cast(dict(docs.dtypes)[count]))
+    return out.select(*docs.columns)

@@ -148,16 +148,17 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
     """``keep`` columns of ``docs`` (doc_id by default) with ``toxicity`` of each whole text; null is empty."""
     keep = keep or ["doc_id"]
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = ", ".join(f"`{c}` {t}" for c, t in docs.select(*keep).dtypes)
+    inner = docs.select(*keep, *([] if "text" in keep else ["text"]))
+    schema = ", ".join(f"`{c}` {t}" for c, t in inner.select(*keep).dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for whole in batches:
-            for batch in slices(whole, "_text"):
-                scores = [own.score(x or "") for x in batch.column("_text").to_pylist()]
+            for batch in slices(whole, "text"):
+                scores = [own.score(x or "") for x in batch.column("text").to_pylist()]
                 yield pa.record_batch([*(batch.column(c) for c in keep), pa.array(scores, pa.float64())], [*keep, "toxicity"])
 
-    return docs.select(*keep, F.col("text").cast("string").alias("_text")).mapInArrow(run, f"{schema}, toxicity double")
+    return inner.mapInArrow(run, f"{schema}, toxicity double")
 
 
 def locate(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
