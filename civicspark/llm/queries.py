@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, fingerprints, forest, neardup, packing, suffixes, toxicity, urls
+from . import bpe, chat, fingerprints, forest, licenses, neardup, packing, suffixes, toxicity, urls
 from .common import read
 
 
@@ -49,6 +49,10 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(read(spark, sf_dir, "pages"))
 
 
+def op10_license_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hash_prefix_forest": op1_hash_prefix_forest,
     "op2_minhash_inverted_join": op2_minhash_inverted_join,
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_toxicity": op7_toxicity,
     "op8_url_filter": op8_url_filter,
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_license_classifier": op10_license_classifier,
 }
 
 STATEMENTS: dict[str, str] = {
