@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators.staging import written
 
-__all__ = ["read", "written", "slices", "tokenizer_file", "buckets_for", "utf8"]
+__all__ = ["read", "written", "slices", "tokenizer_file", "buckets_for", "utf8", "fresh", "held_out"]
 
 SLICE_BYTES = 4 << 20
 
@@ -47,6 +47,13 @@ def buckets_for(rows: int, per_bucket: int) -> int:
     return max(1, -(-rows // per_bucket))
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """``name``, with marks added until no column has it."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows on which labels are never learned: crc32 of the id as text, modulo 5, is 0."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buckets_for, slices, utf8, written
+from .common import buckets_for, fresh, slices, utf8, written
 
 LENGTH = 100
 K = 32
@@ -424,7 +424,7 @@ def whole_characters(raw: bytes, starts: list[int], ends: list[int]) -> tuple[li
 def without_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", count: str = "n_chars") -> DataFrame:
     """``docs`` with the repeated strings cut out of ``text`` (whole characters only) and, if there is such a column,
     ``count`` taken anew. A later copy of a whole text becomes empty; no row is dropped. See ``removals``."""
-    marked, cut = removals(docs.withColumnRenamed(text, "text"), length)
+    marked, cut = removals(docs.select("doc_id", F.col(text).alias("text")), length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -433,8 +433,10 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", c
 
     changed = cut.where(F.size("starts") > 0).mapInArrow(run, "_id long, _sha string, _rest string").dropDuplicates(["_id", "_sha"])
     copies = marked.where("copy").select(F.col("doc_id").alias("_id"), F.col("sha").alias("_sha"), F.lit("").alias("_rest")).distinct()
-    own = (F.col("doc_id").cast("long") == F.col("_id")) & (F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary"), 256) == F.col("_sha"))
-    out = docs.join(changed.union(copies), own, "left").withColumn(text, F.coalesce("_rest", F.col(text)))
+    key, digest, rest = (fresh(c, docs.columns) for c in ("_id", "_sha", "_rest"))
+    new = changed.union(copies).toDF(key, digest, rest)
+    own = (F.col("doc_id").cast("long") == F.col(key)) & (F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary"), 256) == F.col(digest))
+    out = docs.join(new, own, "left").withColumn(text, F.coalesce(rest, F.col(text)))
     if count in docs.columns:
-        out = out.withColumn(count, F.when(F.col("_rest").isNull(), F.col(count)).otherwise(F.length("_rest")).cast(dict(docs.dtypes)[count]))
+        out = out.withColumn(count, F.when(F.col(rest).isNull(), F.col(count)).otherwise(F.length(rest)).cast(dict(docs.dtypes)[count]))
     return out.select(*docs.columns)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from civicspark.llm import neardup, packing, suffixes, toxicity
-from civicspark.llm.common import read, written
+from civicspark.llm.common import fresh, read, written
 
 REJECT = 0.5
 
@@ -18,14 +18,15 @@ REJECT = 0.5
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity, learned from the labels of documents not held out, is below REJECT."""
     model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs, model, docs.columns)
-    return scored.where(F.col("toxicity") < REJECT).select(*docs.columns)
+    score = fresh("score", docs.columns)
+    return toxicity.score(docs, model, docs.columns, score).where(F.col(score) < REJECT).select(*docs.columns)
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group linked by five-word shingles at a similarity of 0.8."""
-    dropped = neardup.labelled(docs).where("NOT kept").select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(dropped, F.col("doc_id").cast("long") == F.col("_dropped"), "left_anti").select(*docs.columns)
+    dropped = fresh("dropped", docs.columns)
+    copies = neardup.labelled(docs).where("NOT kept").select(F.col("doc_id").alias(dropped)).distinct()
+    return docs.join(copies, F.col("doc_id").cast("long") == F.col(dropped), "left_anti")
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
