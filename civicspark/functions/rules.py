@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -50,24 +51,19 @@ SCENARIO_RULES = [
 ]
 SCENARIO_OTHER = "noise"
 
-# Agencies a result may name, and what the seven routed ones handle.
+# Agencies a result may name.
 AGENCIES = ["NYPD", "FDNY", "EMS", "Sanitation", "Buildings", "Housing", "Multi", "311"]
-SEVERITY_MEANING = {
-    1: "noise, graffiti, missed pickup, minor parking",
-    2: "non-emergency housing, streetlight out, pothole, dumping",
-    3: "water main break, gas smell without fire, aggressive animal, risky code violation",
-    4: "medical emergency, vehicle accident with injuries, structural damage, assault in progress",
-    5: "active fire, shooting or stabbing, collapse, cardiac arrest, bomb threat, hazmat spill",
-}
-ROUTING = {
-    "NYPD": "crime, assault, theft, suspicious activity, domestic violence, trespassing",
-    "FDNY": "fire, gas leak, smoke, carbon monoxide, collapse, explosion",
-    "EMS": "medical emergency, cardiac, breathing difficulty, overdose, fall with injury",
-    "Sanitation": "trash, recycling, street cleaning, dead animal",
-    "Buildings": "construction hazard, scaffold, code violation, elevator malfunction",
-    "Housing": "tenant complaint, heat or hot water, pests, mold",
-    "Multi": "incidents that need several agencies",
-}
+
+
+def _categories(of: Callable[[Rule], object]) -> dict[object, str]:
+    """Categories of the rules, in their order, for each value of ``of``."""
+    out: dict[object, list[str]] = {}
+    for rule in [*TRIAGE_RULES, OTHER]:
+        names = out.setdefault(of(rule), [])
+        if rule.category not in names:
+            names.append(rule.category)
+    return {key: ", ".join(names) for key, names in out.items()}
+
 
 RESULT_SCHEMA = "category STRING, severity INT, agency STRING, send STRING, summary STRING, confidence DOUBLE"
 
@@ -124,16 +120,18 @@ def parse_reply(reply: str, text: str) -> Column:
 
 
 def severity_scale(spark: SparkSession) -> DataFrame:
-    rows = [(k, codes.SEVERITY_LABELS[k], v) for k, v in SEVERITY_MEANING.items()]
+    meaning = _categories(lambda r: r.severity)
+    rows = [(k, label, meaning.get(k)) for k, label in codes.SEVERITY_LABELS.items()]
     return spark.createDataFrame(rows, "severity int, label string, meaning string")
 
 
 def agency_routing(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(ROUTING.items()), "agency string, handles string")
+    handled = _categories(lambda r: r.agency)
+    return spark.createDataFrame([(a, handled.get(a)) for a in AGENCIES if a != OTHER.agency], "agency string, handles string")
 
 
 def label_results(results: DataFrame) -> DataFrame:
     """Join results with the two small dimensions: severity label and meaning, agency routing."""
     spark = results.sparkSession
-    out = results.join(F.broadcast(severity_scale(spark)), "severity", "left")  # five rows
-    return out.join(F.broadcast(agency_routing(spark)), "agency", "left")  # seven rows
+    out = results.join(F.broadcast(severity_scale(spark)), "severity", "left")  # one row per severity
+    return out.join(F.broadcast(agency_routing(spark)), "agency", "left")  # one row per agency

@@ -1,8 +1,9 @@
 """Exact order statistics per group, for groups of any size.
 
 The value at a 0-based rank is found by narrowing: values are counted per distinct value, spread over ``BINS`` equal
-bins between the group's extremes, and only the bin that holds the wanted rank is looked into, twice over. No group
-with more than ``SMALL`` distinct values is ever sorted as a whole, and copies of a value cost one row.
+bins between the group's extremes, and only the bin that holds the wanted rank is looked into, again and again until
+it holds at most ``SMALL`` distinct values. So no more than that are ever sorted as a whole, whatever their
+distribution, and copies of a value cost one row. Bins at the limit of the number format hold one value each.
 """
 
 from __future__ import annotations
@@ -45,15 +46,15 @@ def values_at(df: DataFrame, groups: list[str], value: str, ranks: dict[str, Col
     """
     values = written(weigh(df, groups, value), "values")
     widest = values.groupBy(*groups).count().agg(F.max("count")).first()[0] or 0
-    rounds = 0 if widest <= SMALL else 2
     sizes = values.groupBy(*groups).agg(F.sum("m").alias("n"))
     wanted = F.array(*[F.struct(F.lit(name).alias("pick"), rank.cast("bigint").alias("rank")) for name, rank in ranks.items()])
     goals = sizes.select(*groups, F.explode(wanted).alias("_goal")).select(*groups, "_goal.pick", "_goal.rank")
     keys = [*groups, "pick"]
     picked = values.withColumn("pick", F.explode(F.array(*[F.lit(p) for p in ranks])))
     left = join_same(picked, goals, keys)
-    for _ in range(rounds):
-        left = _narrow(left, keys)
+    while widest > SMALL:
+        left = written(_narrow(left, keys), "narrowed")
+        widest = left.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
     upto = F.sum("m").over(Window.partitionBy(*keys).orderBy("v"))
     found = left.withColumn("upto", upto).where(F.col("upto") > F.col("rank"))
     return found.groupBy(*keys).agg(F.min("v").alias("v"))

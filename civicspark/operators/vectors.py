@@ -18,6 +18,7 @@ from .staging import written
 PIVOTS = 32
 BLOCK = 2048
 SLACK = 1e-6
+PLACES = 12  # products of equal vectors may differ in the last bits from block to block
 
 
 def _unit(column: pd.Series) -> np.ndarray:
@@ -115,7 +116,7 @@ def cosine_top_n(
         if qs.empty or cs.empty:
             return pd.DataFrame({"query_id": [], "corpus_id": [], "cosine": []})
         cs = cs.sort_values("corpus_id")
-        sims = _unit(qs["vector"]) @ _unit(cs["vector"]).T
+        sims = np.round(_unit(qs["vector"]) @ _unit(cs["vector"]).T, PLACES)
         k = min(need, sims.shape[1])
         top = np.argsort(-sims, axis=1, kind="stable")[:, :k]
         rows = np.arange(sims.shape[0])[:, None]

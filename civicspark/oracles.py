@@ -310,11 +310,11 @@ _CONTEXT = f"""
 _CORPUS = f"""
     SELECT unique_key AS id, complaint_type, descriptor, borough, agency, CAST(created_date AS VARCHAR) AS created_date,
            CAST(DATE_DIFF('day', created_date, closed_date) AS INT) AS resolution_days, 'SR311' AS source
-    FROM fx_service_requests_311 WHERE created_date >= DATE '2024-01-01'
+    FROM fx_service_requests_311
     UNION ALL SELECT incident_id, incident_type_desc, incident_classification, incident_borough, 'FDNY', CAST(incident_datetime AS VARCHAR), -1, 'FIRE'
-    FROM px_fire WHERE incident_datetime >= TIMESTAMP '2024-01-01 00:00:00'
+    FROM px_fire
     UNION ALL SELECT complaint_number, offense_description, law_category, borough, 'NYPD', CAST(complaint_date AS VARCHAR), -1, 'NYPD'
-    FROM fx_nypd_complaints WHERE complaint_date >= DATE '2024-01-01'"""
+    FROM fx_nypd_complaints"""
 
 _DOCS = """
     SELECT DISTINCT SUBSTRING(md5(source || '_' || id), 1, 16) AS doc_id,
@@ -563,10 +563,10 @@ SQL.update({
                    'INCIDENT REPORT:' || chr(10) || r.text || chr(10) || chr(10) || 'Return ONLY the JSON.') AS prompt
         FROM fx_requests r LEFT JOIN px_resolved_text b ON r.request_id = b.request_id LEFT JOIN px_context c ON c.request_id = r.request_id""",
     "corpus_docs": "SELECT * FROM px_docs",
-    "corpus_capped": """
-        SELECT source, COUNT(*) AS n, MIN(SUBSTRING(md5(source || '_' || id), 1, 16)) AS first_id
-        FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY source ORDER BY created_date DESC, id) AS rn FROM px_corpus)
-        WHERE rn <= CASE source WHEN 'SR311' THEN 30000 WHEN 'FIRE' THEN 20000 ELSE 10000 END GROUP BY source""",
+    "corpus_sources": """
+        SELECT source, COUNT(*) AS n, MIN(first_id) AS first_id FROM (
+            SELECT source, SUBSTRING(md5(source || '_' || id), 1, 16) AS first_id FROM px_corpus GROUP BY 1, 2)
+        GROUP BY source""",
     "structured_search": """
         SELECT * FROM px_corpus WHERE borough = 'QUEENS' AND complaint_type ILIKE '%heat%' ORDER BY created_date DESC, source, id LIMIT 25""",
     "resolution_stats": f"SELECT source, complaint_type, {_STATS} FROM px_corpus GROUP BY 1, 2",

@@ -15,16 +15,13 @@ from ..operators import vectors
 from ..operators.joins import join_same
 from ..operators.ranking import first_per_key
 
-# First date taken, and the row caps that the sources can be given.
-SINCE = "2024-01-01"
-SOURCE_CAPS = {"SR311": 30000, "FIRE": 20000, "NYPD": 10000}
 NO_FILTER = ("ALL", "UNKNOWN", "")
 
 
-def incidents(requests: DataFrame, fire: DataFrame, nypd: DataFrame, caps: dict[str, int] | None = None) -> DataFrame:
+def incidents(requests: DataFrame, fire: DataFrame, nypd: DataFrame, since: str | None = None) -> DataFrame:
     """(id, complaint_type, descriptor, borough, agency, created_date, resolution_days, source).
 
-    Whole sources by default. ``caps`` keeps the newest rows per source, ties by id.
+    Whole sources; rows without a date or before ``since`` are left out only if that date is given.
     """
     parts = {
         "SR311": (requests, "created_date", "unique_key", "complaint_type", "descriptor", "borough", "agency",
@@ -35,9 +32,7 @@ def incidents(requests: DataFrame, fire: DataFrame, nypd: DataFrame, caps: dict[
     }
     out = None
     for source, (df, date, key, kind, detail, borough, agency, days) in parts.items():
-        rows = df.where(f"{date} >= DATE'{SINCE}'")
-        if caps is not None and source in caps:
-            rows = rows.orderBy(F.col(date).desc(), F.col(key)).limit(caps[source])
+        rows = df if since is None else df.where(F.col(date) >= F.lit(since).cast("date"))
         rows = rows.selectExpr(
             f"CAST({key} AS STRING) AS id", f"{kind} AS complaint_type", f"{detail} AS descriptor", f"{borough} AS borough",
             f"{agency} AS agency", f"CAST({date} AS STRING) AS created_date", f"CAST({days} AS INT) AS resolution_days",

@@ -647,9 +647,9 @@ def batch_triage(spark, d):
 # ---- corpus and retrieval --------------------------------------------------------------------------------------
 
 
-def corpus_rows(spark, d, caps=None):
+def corpus_rows(spark, d, since=None):
     rel = {n: fx.relation(spark, d, f"fx_{n}") for n in ("service_requests_311", "nypd_complaints")}
-    return cp.incidents(rel["service_requests_311"], fire(spark, d), rel["nypd_complaints"], caps)
+    return cp.incidents(rel["service_requests_311"], fire(spark, d), rel["nypd_complaints"], since)
 
 
 @query
@@ -658,8 +658,8 @@ def corpus_docs(spark, d):
 
 
 @query
-def corpus_capped(spark, d):
-    return cp.documents(corpus_rows(spark, d, cp.SOURCE_CAPS)).groupBy("source").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"))
+def corpus_sources(spark, d):
+    return cp.documents(corpus_rows(spark, d)).groupBy("source").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"))
 
 
 @query
@@ -730,4 +730,4 @@ def search_prompts(spark, d):
 @query
 def streamed_triage(spark, d):
     """All documents as a stream of reports: duplicates dropped, rules applied, written per micro-batch."""
-    return st.triage_once(spark, f"{d}/documents*.parquet", "doc_id BIGINT, text STRING", "doc_id").select("doc_id", "category", "severity")
+    return st.triage_once(spark, f"{d}/documents*.parquet", "doc_id BIGINT, text STRING").select("doc_id", "category", "severity")

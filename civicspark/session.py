@@ -26,11 +26,13 @@ def build_session(app: str = "civicspark", master: str | None = None, **conf: st
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Folder for ``DataFrame.checkpoint``: the cluster's shared one, or a temporary one when none is named."""
+    """Folder for intermediate tables: the cluster's shared one. Only a local session may do without a named one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     target = named or tempfile.mkdtemp(prefix="civicspark-ckpt-")
     spark.sparkContext.setCheckpointDir(target)
     return target

@@ -157,7 +157,7 @@ def conform(df: DataFrame, name: str, lenient_dates: bool = False) -> DataFrame:
     out, keep = RULES[name](raw, out)
     table = df.where(keep).select(*[c.alias(n) for n, c in out.items()])
     if name == "fire_incidents":
-        table = latest_per_key(table, ["incident_id"], "incident_datetime")
+        table = latest_per_key(table, ["incident_id"], "incident_datetime", *[c for c in table.columns if c not in ("incident_id", "incident_datetime")])
     return with_row_id(table) if name in ROW_ID else table
 
 
@@ -167,13 +167,13 @@ def load(spark: SparkSession, name: str, dirs: list[str], lenient_dates: bool =
     return None if path is None else conform(read_table(spark, path, multi_line), name, lenient_dates)
 
 
-def fetch_filter(df: DataFrame, name: str, limit: int | None = None) -> DataFrame:
-    """The row filter and cap that the published source is asked for."""
+def fetch_filter(df: DataFrame, name: str) -> DataFrame:
+    """The row filter that the published source is asked for."""
     spec = SPECS[name]
     if spec.source_filter is None:
-        return df if limit is None else df.limit(limit)
+        return df
     column, values = spec.source_filter
-    return filtered(df, column, list(values), limit)
+    return filtered(df, column, list(values))
 
 
 def hospitals_from_facilities(facilities: DataFrame) -> DataFrame:

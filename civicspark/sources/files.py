@@ -59,8 +59,6 @@ def is_present(available: dict[str, str], *candidates: str) -> bool:
     return any(c.lower() in available for c in candidates)
 
 
-def filtered(df: DataFrame, column: str, values: list[str] | None = None, limit: int | None = None) -> DataFrame:
-    """Source-side row filter and cap; on Parquet the filter is pushed into the scan."""
-    if values is not None:
-        df = df.where(F.col(column).isin(values))
-    return df if limit is None else df.limit(limit)
+def filtered(df: DataFrame, column: str, values: list[str]) -> DataFrame:
+    """Source-side row filter; on Parquet it is pushed into the scan."""
+    return df.where(F.col(column).isin(values))

@@ -340,14 +340,3 @@ address text
 latitude double
 longitude double
 """)
-
-# Order in which each table lists its columns, where it differs from the fields above.
-TARGETS: dict[str, str] = {
-    "owner_portfolio": "owner_name string, total_buildings int, total_open_violations int, total_class_c_violations int, "
-    "total_ecb_balance_due double, avg_violations_per_building double, bins string",
-    "building_risk_scores": "bbl string, bin string, overall_risk_score double, active_dob_violations int, "
-    "active_ecb_violations int, active_hpd_class_c int, active_hpd_class_b int, prior_fire_incidents int, "
-    "prior_ems_incidents int, nearby_nypd_incidents int, complaint_velocity_30d int, complaint_velocity_90d int, "
-    "last_fdny_inspection_pass boolean, elevator_count int, elevator_out_of_service int, nearest_hydrant_ft double, "
-    "nearest_hospital string, nearest_hospital_mi double",
-}

@@ -65,10 +65,14 @@ def triage_enrichment(
     return lambda batch: tr.batch_triage(batch, buildings, tables, hospitals, hydrants, facilities)
 
 
-def triage_once(spark: SparkSession, path: str, schema: str, key: str) -> DataFrame:
-    """Everything now in ``path`` through the stream, read back as one frame."""
+def triage_once(spark: SparkSession, path: str, schema: str, key: str | None = None, time: str | None = None, delay: str = "1 hour") -> DataFrame:
+    """Everything now in ``path`` through the stream, read back as one frame.
+
+    Reports sent again within ``delay`` are dropped if a key and a time column are given; else no state is kept.
+    """
     root = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
-    stream = classify(read_reports(spark, path, schema).dropDuplicates([key]))
+    reports = read_reports(spark, path, schema)
+    stream = classify(reports if key is None or time is None else without_resends(reports, key, time, delay))
     run = start(stream, lambda batch: {"result": batch}, f"{root}/out", f"{root}/state", once=True)
     run.awaitTermination()
     if run.exception() is not None:

@@ -65,13 +65,13 @@ def test_bbl_and_truncation(spark):
     assert values(spark, ["abcdef", "abc"], lambda c: s.truncated(c, 3, "...")) == ["abc...", "abc"]
 
 
-# The five demonstration reports and what they are expected to be.
+# One own report per kind and what the rules make of it.
 SCENARIOS = [
-    ("Extremely loud music from apartment 4B at 2:30 AM", 1, "NYPD", "noise"),
-    ("Man collapsed on sidewalk, not breathing, lips turning blue", 4, "EMS", "medical"),
-    ("Thick black smoke pouring out of third floor windows, flames visible", 5, "FDNY", "fire"),
-    ("Vehicle flipped over near the exit, driver trapped", 2, "311", "traffic"),
-    ("Unattended package next to the subway entrance", 2, "311", "suspicious"),
+    ("Neighbours play drums with loud noise all night", 1, "NYPD", "noise"),
+    ("Runner is unconscious and not breathing by the lake", 4, "EMS", "medical"),
+    ("There is a fire in the bakery", 5, "FDNY", "fire"),
+    ("Two cars met in a crash at the bridge", 2, "311", "traffic"),
+    ("A suspicious bag lies on platform two", 2, "311", "suspicious"),
 ]
 
 
