@@ -13,6 +13,7 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from civicspark.operators.staging import forget  # noqa: E402
 from civicspark.queries import QUERIES  # noqa: E402
 from civicspark.session import build_session  # noqa: E402
 
@@ -43,6 +44,7 @@ def main() -> None:
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - start, 3)
         print(f"{name}: {times[name]}", file=sys.stderr, flush=True)
+        forget(spark)
     print(json.dumps({
         "metric": "total_seconds", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times,
         "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"),

@@ -14,14 +14,26 @@ from ..session import ensure_checkpoint_dir
 T = TypeVar("T")
 
 
+def _home(spark: SparkSession) -> str:
+    return f"{ensure_checkpoint_dir(spark)}/{spark.sparkContext.applicationId}"
+
+
+def forget(spark: SparkSession) -> bool:
+    """Delete what this session has written so far; False if there was nothing. Frames built on it end with it."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(_home(spark))
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write a frame to the shared checkpoint folder and read it back.
 
     This ends the lineage (a lost executor costs a re-read, not a re-run), keeps the plans that use it small, and
-    gives the planner true sizes. Used only for frames already reduced, such as distinct spots.
+    gives the planner true sizes. Some frames are as large as the table they come from (best spots with payload, word
+    postings), so call :func:`forget` when a query's result has been used.
     """
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = f"{_home(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

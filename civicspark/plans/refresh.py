@@ -41,14 +41,14 @@ class Store:
         return self.spark.read.parquet(f"{self.root}/{name}")
 
 
-def _scan(spark: SparkSession, name: str, dirs: list[str]) -> DataFrame | None:
+def _scan(spark: SparkSession, name: str, dirs: list[str], multi_line: bool = False) -> DataFrame | None:
     path = find_file(spark, dirs, list(SPECS[name].files))
-    return None if path is None else read_table(spark, path)
+    return None if path is None else read_table(spark, path, multi_line)
 
 
-def load(spark: SparkSession, dirs: list[str], store: Store, lenient_dates: bool = False) -> list[str]:
+def load(spark: SparkSession, dirs: list[str], store: Store, lenient_dates: bool = False, multi_line: bool = False) -> list[str]:
     """Conform every data set that has a file; the names of the tables written."""
-    raw = {name: _scan(spark, name, dirs) for name in SPECS}
+    raw = {name: _scan(spark, name, dirs, multi_line) for name in SPECS}
     found = {name: df for name, df in raw.items() if df is not None}
     steps: dict[str, Callable[[], DataFrame]] = {}
     for name, df in found.items():
@@ -88,7 +88,7 @@ def compute_portfolio(store: Store, balance: str = "compat") -> None:
     b = store.read("buildings")
     store.write("owner_portfolio", portfolio.owner_portfolio(
         b, store.read("dob_violations"), store.read("hpd_violations"), store.read("dob_ecb_violations"), balance))
-    store.write("owner_bins", portfolio.owner_bins(b))
+    store.write("owner_bins", portfolio.owner_bins(b))  # bins as rows; with_bin_text adds them as text on request
 
 
 def compute_risk(store: Store, as_of: str) -> None:
@@ -102,15 +102,16 @@ def compute_risk(store: Store, as_of: str) -> None:
     store.write("buildings_scored", risk.push_scores(facts.buildings, store.read("building_risk_scores")))
 
 
-def compute_corpus(store: Store, encoder=None, caps: dict[str, int] | None = None) -> None:
-    rows = corpus.incidents(store.read("service_requests_311"), store.read("fire_incidents"), store.read("nypd_complaints"), caps)
+def compute_corpus(store: Store, encoder=None, since: str | None = None) -> None:
+    rows = corpus.incidents(store.read("service_requests_311"), store.read("fire_incidents"), store.read("nypd_complaints"), since)
     sinks.write_vectors(corpus.documents(rows), encoder or corpus.bag_of_words(), f"{store.root}/incident_corpus")
 
 
-def run(spark: SparkSession, dirs: list[str], out: str, phases: list[str], as_of: str | None, lenient_dates: bool = False) -> None:
+def run(spark: SparkSession, dirs: list[str], out: str, phases: list[str], as_of: str | None, lenient_dates: bool = False,
+        multi_line: bool = False) -> None:
     store = Store(spark, out)
     if "load" in phases:
-        load(spark, dirs, store, lenient_dates)
+        load(spark, dirs, store, lenient_dates, multi_line)
     if "portfolio" in phases:
         compute_portfolio(store)
     if "risk" in phases:
@@ -127,11 +128,12 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--out-dir", required=True)
     parser.add_argument("--as-of")
     parser.add_argument("--lenient-dates", action="store_true")
+    parser.add_argument("--multi-line", action="store_true", help="quoted fields hold line breaks; each file is then one task")
     args = parser.parse_args(argv)
     phases = [p for p in ("load", "portfolio", "risk", "embed") if args.all or getattr(args, p)]
     if not phases:
         parser.error("choose at least one phase")
-    run(build_session("refresh"), args.data_dir, args.out_dir, phases, args.as_of, args.lenient_dates)
+    run(build_session("refresh"), args.data_dir, args.out_dir, phases, args.as_of, args.lenient_dates, args.multi_line)
 
 
 if __name__ == "__main__":

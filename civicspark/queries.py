@@ -470,7 +470,7 @@ def coded_incidents(spark, d):
                           "concat('note, \"', c_custkey, '\"\\nsecond line') AS Note")
     path = f"{ensure_checkpoint_dir(spark)}/coded-{uuid.uuid4().hex}"
     csv.write.option("header", True).option("escape", '"').csv(path)
-    coded = load_coded(spark, path)
+    coded = load_coded(spark, path, multi_line=True)
     return coded.groupBy("complaint_type", "borough").agg(
         F.count("*").alias("n"), F.sum("created_date").alias("created"), F.round(F.sum(F.col("resolution_days").cast("double")), 1).alias("days"),
         F.round(F.sum(F.col("lat").cast("double")), 2).alias("lat"))

@@ -34,7 +34,7 @@ def code_incidents(df: DataFrame) -> DataFrame:
     )
 
 
-def load_coded(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def load_coded(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     return code_incidents(read_table(spark, path, multi_line))
 
 

@@ -161,7 +161,7 @@ def conform(df: DataFrame, name: str, lenient_dates: bool = False) -> DataFrame:
     return with_row_id(table) if name in ROW_ID else table
 
 
-def load(spark: SparkSession, name: str, dirs: list[str], lenient_dates: bool = False, multi_line: bool = True) -> DataFrame | None:
+def load(spark: SparkSession, name: str, dirs: list[str], lenient_dates: bool = False, multi_line: bool = False) -> DataFrame | None:
     """Find, scan and conform one data set; None when no candidate file exists."""
     path = find_file(spark, dirs, list(SPECS[name].files))
     return None if path is None else conform(read_table(spark, path, multi_line), name, lenient_dates)

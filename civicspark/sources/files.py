@@ -6,11 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def read_table(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def read_table(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """Parquet, or CSV with a header where every column is text and rows of the wrong length are dropped.
 
-    ``multi_line`` lets quoted fields hold line breaks but makes a CSV file one task; switch it off for huge files
-    that have none, so that Spark can split them.
+    Files are split among tasks. ``multi_line`` lets quoted fields hold line breaks, but makes each CSV file one task.
     """
     if path.lower().rstrip("/").endswith(".parquet"):
         return spark.read.parquet(path)

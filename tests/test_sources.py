@@ -28,9 +28,9 @@ def test_catalogue():
 
 def test_csv_rows_kept_and_dropped(spark, tmp_path):
     path = put(tmp_path / "a.csv", 'x,y\n1,"a, ""q"" b"\n2,"two\nlines"\n3\n4,5,6\n,\n7,last')
-    rows = [tuple(r) for r in files.read_table(spark, path).collect()]
+    rows = [tuple(r) for r in files.read_table(spark, path, True).collect()]
     assert ("1", 'a, "q" b') in rows and ("2", "two\nlines") in rows and ("7", "last") in rows
-    assert files.read_table(spark, path).count() == len(rows) == files.read_table(spark, path).select("x").count()
+    assert files.read_table(spark, path, True).count() == len(rows) == files.read_table(spark, path, True).select("x").count()
 
 
 def test_find_file_order(spark, tmp_path):
