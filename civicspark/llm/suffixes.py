@@ -19,11 +19,12 @@ from __future__ import annotations
 
 import hashlib
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -151,9 +152,11 @@ def repeated_grams(rows: DataFrame) -> DataFrame:
 
 
 def flagged_texts(docs: DataFrame, flags: DataFrame, firsts: DataFrame, length: int) -> DataFrame:
-    """(doc_id, text, blob): place, gram and hash of the surroundings of each anchor whose gram is repeated."""
+    """(doc_id, sha, packed, blob): the text, compressed, and place, gram and hash of the surroundings of each anchor
+    whose gram is repeated."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=1).compress
         for whole in batches:
             for batch in slices(whole, "text"):
                 texts, blobs = utf8(batch.column("text")), []
@@ -165,11 +168,17 @@ def flagged_texts(docs: DataFrame, flags: DataFrame, firsts: DataFrame, length:
                     p, g = place[own][keep], h[own][keep]
                     around = np.array([surroundings(raw, x, length) for x in p.tolist()], np.uint64)
                     blobs.append(pack(p, g, around))
-                yield pa.record_batch([batch.column("doc_id"), batch.column("text"), pa.array(blobs, pa.binary())], ["doc_id", "text", "blob"])
+                columns = [batch.column("doc_id"), batch.column("sha"), pa.array([squeeze(t) for t in texts], pa.binary()), pa.array(blobs, pa.binary())]
+                yield pa.record_batch(columns, ["doc_id", "sha", "packed", "blob"])
 
     grams = flags.groupBy("doc_id").agg(F.collect_list("gram").alias("grams")).join(firsts.select(F.col("first").alias("doc_id"), "sha"), "doc_id")
     joined = docs.select("doc_id", "text").join(grams, "doc_id").where(F.sha2(F.col("text").cast("binary"), 256) == F.col("sha"))
-    return joined.select("doc_id", "text", "grams").mapInArrow(run, "doc_id long, text string, blob binary")
+    return joined.select("doc_id", "sha", "text", "grams").mapInArrow(run, "doc_id long, sha string, packed binary, blob binary")
+
+
+def raw_texts(column: pa.Array) -> list[bytes]:
+    expand = zstandard.ZstdDecompressor().decompress
+    return [expand(x) for x in column.to_pylist()]
 
 
 def surroundings(raw: bytes, place: int, length: int) -> int:
@@ -215,9 +224,9 @@ def context_rows(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "packed"):
                 row, place, left, context = [], [], [], []
-                for i, (raw, places) in enumerate(zip(utf8(batch.column("text")), batch.column("places").to_pylist(), strict=True)):
+                for i, (raw, places) in enumerate(zip(raw_texts(batch.column("packed")), batch.column("places").to_pylist(), strict=True)):
                     for p in places:
                         before = min(p, length - K)
                         row.append(i)
@@ -227,18 +236,20 @@ def context_rows(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                 yield pa.record_batch([batch.column("doc_id").take(pa.array(row, pa.int64())), pa.array(place, pa.int64()), pa.array(left, pa.int32()), pa.array(context, pa.binary())], ["doc_id", "place", "left", "context"])
 
     places = wanted.groupBy("doc_id").agg(F.collect_list("place").alias("places"))
-    return texts.select("doc_id", "text").join(places, "doc_id").mapInArrow(run, "doc_id long, place long, left int, context binary")
-
-
-def equal_strings(word: list[np.ndarray]) -> np.ndarray:
-    """Class of each suffix among those equal in all words, -1 for one without an equal, by multikey quicksort: sort by
-    one word, go on only inside ties."""
-    n = len(word[0])
-    rank, live = np.zeros(n, np.int64), np.arange(n)
-    for column in word:
-        order = np.lexsort((column[live], rank[live]))
-        live = live[order]
-        w, r = column[live], rank[live]
+    return texts.select("doc_id", "packed").join(places, "doc_id").mapInArrow(run, "doc_id long, place long, left int, context binary")
+
+
+def equal_strings(words: np.ndarray, base: np.ndarray, length: int) -> np.ndarray:
+    """Class of each suffix among those equal in ``length`` bytes, -1 for one without an equal, by multikey quicksort:
+    sort by one word, go on only inside ties. ``words`` holds the eight bytes from each place, ``base`` the starts."""
+    rank, live = np.zeros(len(base), np.int64), np.arange(len(base))
+    for at in range(0, length, 8):
+        w = words[base[live] + at]
+        if at + 8 > length:
+            w = w >> np.uint64(8 * (at + 8 - length))
+        order = np.lexsort((w, rank[live]))
+        live, w = live[order], w[order]
+        r = rank[live]
         new = np.ones(len(live), bool)
         new[1:] = (w[1:] != w[:-1]) | (r[1:] != r[:-1])
         start, size = runs(np.cumsum(new))
@@ -259,21 +270,14 @@ def later_strings(doc: np.ndarray, place: np.ndarray, left: np.ndarray, contexts
     grid = np.zeros((len(contexts), reach + length + pad + 8), np.uint8)
     for i, c in enumerate(contexts):
         grid[i, reach - left[i] : reach - left[i] + len(c)] = np.frombuffer(c, np.uint8)
-    flat, found = grid.ravel(), []
+    words, found = np.zeros(grid.size, np.uint64), []
+    for b in range(8):
+        words = (words << np.uint64(8)) | np.roll(grid.ravel(), -b)
     step = max(1, STRINGS // max(1, len(contexts)))
     for low in range(0, reach + 1, step):  # equal strings stand at equal distances from their gram
         offset = np.arange(low, min(low + step, reach + 1))
         row, at = np.nonzero((offset >= reach - left[:, None]) & (offset + length <= reach - left[:, None] + size[:, None]))
-        base = row * grid.shape[1] + at + low
-        words = []
-        for c in range(0, length, 8):
-            w = np.zeros(len(row), np.uint64)
-            for b in range(8):
-                w = w << np.uint64(8)
-                if c + b < length:
-                    w |= flat[base + c + b]
-            words.append(w)
-        group = equal_strings(words)
+        group = equal_strings(words, row * grid.shape[1] + at + low, length)
         tied = np.flatnonzero(group >= 0)
         start = place[row] - reach + at + low
         order = tied[np.lexsort((start[tied], doc[row[tied]], group[tied]))]
@@ -340,9 +344,9 @@ def sorted_buckets(contexts: DataFrame, length: int) -> DataFrame:
     return placed.groupBy("bucket").applyInArrow(meet, "doc_id long, start long, end long")
 
 
-def removals(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
-    """Rows of ``docs`` (doc_id, n_bytes, sha, copy) and, for those with repeated strings, their text and what to
-    remove (doc_id, sha, text, starts, ends: sorted maximal runs of bytes).
+def removals(docs: DataFrame, length: int, finish: Callable[[bytes, list[int], list[int]], tuple], columns: dict[str, pa.DataType]) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``docs`` (doc_id, n_bytes, sha, copy) and, for those with repeated strings, what to
+    remove: doc_id, sha and the ``columns`` that ``finish`` makes of the bytes and the sorted maximal runs to remove.
 
     ``copy`` marks later copies of a whole text of at least ``length`` bytes: all of it is to be removed. Ids order the
     documents. Of different texts under one id, the one with the least digest takes part, the others are kept whole;
@@ -367,19 +371,21 @@ def removals(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFram
     both = covered.join(strings, "doc_id", "full_outer")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            starts, ends = [], []
-            for raw, places, found_ in zip(utf8(batch.column("text")), batch.column("places").to_pylist(), batch.column("strings").to_pylist(), strict=True):
-                pairs = [(max(0, p - length + K), min(len(raw), p + length)) for p in places or ()] + [(x["start"], x["end"]) for x in found_ or ()]
-                pairs = [p for p in pairs if p[1] - p[0] >= length]
-                s, e = np.array(pairs, np.int64).reshape(-1, 2).T
-                _, s, e = spans(np.zeros(len(pairs), np.int64), s, e)
-                starts.append(s)
-                ends.append(e)
-            yield pa.record_batch([batch.column("doc_id"), batch.column("text"), pa.array(starts, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64()))], ["doc_id", "text", "starts", "ends"])
-
-    cut = texts.select("doc_id", "text").join(both, "doc_id").select("doc_id", "text", "places", "strings").mapInArrow(run, "doc_id long, text string, starts array<long>, ends array<long>")
-    return marked, cut.withColumn("sha", F.sha2(F.col("text").cast("binary"), 256))
+        for whole in batches:
+            for batch in slices(whole, "packed"):
+                made = []
+                for raw, places, found_ in zip(raw_texts(batch.column("packed")), batch.column("places").to_pylist(), batch.column("strings").to_pylist(), strict=True):
+                    pairs = [(max(0, p - length + K), min(len(raw), p + length)) for p in places or ()] + [(x["start"], x["end"]) for x in found_ or ()]
+                    s, e = np.array([p for p in pairs if p[1] - p[0] >= length], np.int64).reshape(-1, 2).T
+                    _, s, e = spans(np.zeros(len(s), np.int64), s, e)
+                    made.append(finish(raw, s, e))
+                values = list(zip(*made, strict=True)) or [()] * len(columns)
+                arrays = [pa.array(v, t) for v, t in zip(values, columns.values(), strict=True)]
+                yield pa.record_batch([batch.column("doc_id"), batch.column("sha"), *arrays], ["doc_id", "sha", *columns])
+
+    ddl = ", ".join(f"{c} {'long' if t == pa.int64() else 'string'}" for c, t in columns.items())
+    done = texts.select("doc_id", "sha", "packed").join(both, "doc_id").mapInArrow(run, f"doc_id long, sha string, {ddl}")
+    return marked, done.dropDuplicates(["doc_id", "sha"])
 
 
 def kept_bytes(raw: bytes, starts: list[int], ends: list[int]) -> bytes:
@@ -388,17 +394,11 @@ def kept_bytes(raw: bytes, starts: list[int], ends: list[int]) -> bytes:
 
 def removal_digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """Per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (see ``removals``)."""
-    marked, cut = removals(docs, length)
+    def finish(raw: bytes, starts: list[int], ends: list[int]) -> tuple:
+        return sum(ends) - sum(starts), len(starts), hashlib.sha256(kept_bytes(raw, starts, ends)).hexdigest()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            starts, ends = batch.column("starts").to_pylist(), batch.column("ends").to_pylist()
-            digest = [hashlib.sha256(kept_bytes(raw, s, e)).hexdigest() for raw, s, e in zip(utf8(batch.column("text")), starts, ends, strict=True)]
-            removed = [sum(e) - sum(s) for s, e in zip(starts, ends, strict=True)]
-            yield pa.record_batch([batch.column("doc_id"), batch.column("sha"), pa.array(removed, pa.int64()), pa.array([len(s) for s in starts], pa.int64()), pa.array(digest, pa.string())], ["doc_id", "sha", "n_removed", "n_spans", "kept_sha256"])
-
-    done = cut.mapInArrow(run, "doc_id long, sha string, n_removed long, n_spans long, kept_sha256 string")
-    out = marked.join(done.dropDuplicates(["doc_id", "sha"]), ["doc_id", "sha"], "left")
+    marked, done = removals(docs, length, finish, {"n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string()})
+    out = marked.join(done, ["doc_id", "sha"], "left")
     return out.select(
         "doc_id", "n_bytes",
         F.when(F.col("copy"), F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
@@ -424,14 +424,10 @@ def whole_characters(raw: bytes, starts: list[int], ends: list[int]) -> tuple[li
 def without_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", count: str = "n_chars") -> DataFrame:
     """``docs`` with the repeated strings cut out of ``text`` (whole characters only) and, if there is such a column,
     ``count`` taken anew. A later copy of a whole text becomes empty; no row is dropped. See ``removals``."""
-    marked, cut = removals(docs.select("doc_id", F.col(text).alias("text")), length)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rest = [kept_bytes(raw, *whole_characters(raw, s, e)).decode() for raw, s, e in zip(utf8(batch.column("text")), batch.column("starts").to_pylist(), batch.column("ends").to_pylist(), strict=True)]
-            yield pa.record_batch([batch.column("doc_id"), batch.column("sha"), pa.array(rest, pa.string())], ["_id", "_sha", "_rest"])
+    def finish(raw: bytes, starts: list[int], ends: list[int]) -> tuple:
+        return (kept_bytes(raw, *whole_characters(raw, starts, ends)).decode(),)
 
-    changed = cut.where(F.size("starts") > 0).mapInArrow(run, "_id long, _sha string, _rest string").dropDuplicates(["_id", "_sha"])
+    marked, changed = removals(docs.select("doc_id", F.col(text).alias("text")), length, finish, {"rest": pa.string()})
     copies = marked.where("copy").select(F.col("doc_id").alias("_id"), F.col("sha").alias("_sha"), F.lit("").alias("_rest")).distinct()
     key, digest, rest = (fresh(c, docs.columns) for c in ("_id", "_sha", "_rest"))
     new = changed.union(copies).toDF(key, digest, rest)
