@@ -8,14 +8,16 @@ hashes of the chosen runs; the likeness of two is the share they have in common
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import buckets_for, written
+from .common import written
 
 K, S = 5, 2  # S-runs in a K-run: four
 SIZE = 64
-PER_BUCKET = 1_000_000
+RANGE_ROWS = 1000
 LEAST_ID = -(1 << 63)
 BLANKS = " \t\n\r\x0b\f"
 
@@ -79,7 +81,7 @@ def followers(keys: DataFrame) -> DataFrame:
     Rows are dealt to ranges at approximate quantiles; the last row of a range is followed by the first of the next, so
     only one row per range passes one task.
     """
-    ranges = buckets_for(keys.count(), PER_BUCKET)
+    ranges = max(1, math.isqrt(keys.count() // RANGE_ROWS))  # ranges and their sizes both grow with the root
     cuts = sorted(set(keys.stat.approxQuantile("id", [i / ranges for i in range(1, ranges)], 0.001))) if ranges > 1 else []
     part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("id"))) if cuts else F.lit(0)
     dealt = keys.withColumn("part", part)
@@ -97,18 +99,20 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
 
     In the edited text the last quarter of the characters (rounded down) is replaced by the first as many of the next
     document. Null texts are empty. Rows of one id follow one another by a hash of the text, equal rows share one place
-    and get equal results; rows without id come first. A single document is its own next one. No rows, no result.
+    and get equal results; rows without id come first (the
+    least 64-bit number, which stands for no id, is taken as none). A single document is its own next one. No rows, no result.
     """
     rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST_ID)).alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
     base = written(with_fingerprint(rows.withColumn("n_chars", F.length("text").cast("long")), "text", "print").select("id", "tie", "n_chars", "print"), "fingerprints").dropDuplicates(["id", "tie"])
     order = written(followers(base.select("id", "tie", "n_chars")), "followers")
     give = order.select(F.col("next_id").alias("id"), F.col("next_tie").alias("tie"), F.col("id").alias("to_id"), F.col("tie").alias("to_tie"), F.floor(F.col("n_chars") / 4).cast("int").alias("quarter"))
-    texts = rows.select("doc_id", "id", "tie", "text")
+    texts = rows.select("id", "tie", "text")  # the same columns in both joins, so that texts are shuffled once
     tails = texts.join(give, ["id", "tie"]).select(F.col("to_id").alias("id"), F.col("to_tie").alias("tie"), F.expr("left(text, quarter)").alias("tail")).dropDuplicates(["id", "tie"])
     nexts = base.join(give, ["id", "tie"]).select(F.col("to_id").alias("id"), F.col("to_tie").alias("tie"), F.col("print").alias("next_print"))
     whole = texts.join(tails, ["id", "tie"])
     edited = whole.withColumn("n_chars", F.length("text").cast("long")).withColumn("edited", F.concat(F.expr("left(text, cast(n_chars - n_chars div 4 as int))"), F.col("tail")))
-    done = with_fingerprint(edited.select("doc_id", "id", "tie", "n_chars", "edited"), "edited", "edited_print")
-    done = done.select("doc_id", "id", "tie", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "edited_print")
+    done = with_fingerprint(edited.select("id", "tie", "n_chars", "edited"), "edited", "edited_print")
+    done = done.select("id", "tie", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "edited_print")
     out = done.join(base.select("id", "tie", "print"), ["id", "tie"]).join(nexts, ["id", "tie"])
-    return out.select("doc_id", "n_chars", "edited_sha256", as_text(F.col("print")).alias("fingerprint"), as_text(F.col("edited_print")).alias("edited_fingerprint"), likeness(F.col("print"), F.col("edited_print")).alias("near_edited"), likeness(F.col("print"), F.col("next_print")).alias("near_next"))
+    doc_id = F.when(F.col("id") != LEAST_ID, F.col("id")).cast(dict(docs.dtypes)["doc_id"]).alias("doc_id")
+    return out.select(doc_id, "n_chars", "edited_sha256", as_text(F.col("print")).alias("fingerprint"), as_text(F.col("edited_print")).alias("edited_fingerprint"), likeness(F.col("print"), F.col("edited_print")).alias("near_edited"), likeness(F.col("print"), F.col("next_print")).alias("near_next"))
