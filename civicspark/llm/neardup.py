@@ -6,8 +6,9 @@ two nodes that agree in ``match`` coordinates meet already in the first ``n - ma
 the long lists at the end are not merged but skipped; the collisions there are counted by comparing signatures. Pairs
 above the match threshold are confirmed on the full sets.
 
-Lists are never expanded into all pairs: nodes are first tried against the first node of each list and their neighbour
-in it; only nodes of a list that are still in different components are then compared with each other.
+Lists are never expanded into all pairs: nodes are first tried against the head of each list and their neighbour in it;
+only nodes of a list that are then still in different components are compared with each other, by the size of their
+sets and by their signatures.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import slices, utf8, written
@@ -29,6 +30,7 @@ MATCH = 34
 WIDTH = 5
 PERCENT = 80
 SUBLIST = 1000
+HUB_SIZE = 8
 KNOWN = 500_000
 CELLS = 1 << 13
 
@@ -90,20 +92,25 @@ def signatures(docs: DataFrame, width: int, coordinates: int) -> DataFrame:
 
 
 def prefixes(nodes: DataFrame, match: int) -> DataFrame:
-    """Postings (coordinate, value, df, node) of the rarest values of each node, as many as a match must share one of."""
+    """Postings (coordinate, value, df, node, weight) of the rarest values of each node, as many as a match must share
+    one of. ``weight`` sums how many nodes share each value of the node: the text that others are edits of has most."""
     posts = nodes.select("node", F.posexplode("signature").alias("coordinate", "value"))
     shared = posts.groupBy("coordinate", "value").agg(F.count("*").alias("df")).where("df > 1")
-    own = posts.join(shared, ["coordinate", "value"]).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "coordinate", "value"))).alias("posts"))
-    first = own.where(F.size("posts") >= match).select("node", F.explode(F.slice("posts", F.lit(1), F.size("posts") - (match - 1))).alias("p"))
-    return first.select("p.coordinate", "p.value", "p.df", "node")
+    own = posts.join(shared, ["coordinate", "value"]).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "coordinate", "value"))).alias("posts"), F.sum("df").alias("weight"))
+    first = own.where(F.size("posts") >= match).select("node", "weight", F.explode(F.slice("posts", F.lit(1), F.size("posts") - (match - 1))).alias("p"))
+    return first.select("p.coordinate", "p.value", "p.df", "node", "weight")
+
+
+def agreeing(x: Column, y: Column) -> Column:
+    """In how many coordinates two signatures agree."""
+    return F.aggregate(F.zip_with(x, y, lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, e: s + e)
 
 
 def matches(pairs: DataFrame, nodes: DataFrame, match: int) -> DataFrame:
-    """Pairs (a, b) whose signatures agree in ``match`` coordinates, with that number."""
+    """Pairs (a, b) whose signatures agree in ``match`` coordinates."""
     marks = nodes.select("node", "signature")
     joined = pairs.join(marks.select(F.col("node").alias("a"), F.col("signature").alias("x")), "a").join(marks.select(F.col("node").alias("b"), F.col("signature").alias("y")), "b")
-    same = F.aggregate(F.zip_with("x", "y", lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, e: s + e)
-    return joined.select("a", "b", same.alias("same")).where(F.col("same") >= match)
+    return joined.where(agreeing(F.col("x"), F.col("y")) >= match).select("a", "b")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -135,6 +142,56 @@ def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return texts.join(wanted, "node", "left_semi").mapInArrow(run, "node long, items binary")
 
 
+def apart_pairs(placed: DataFrame, rest: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, match: int) -> DataFrame:
+    """Pairs (a, b) that share a list, lie in different components and may be linked.
+
+    A node x meets a large component through its hub h, the member of most weight: for a member y, the intersection of x
+    and y is at most that of x and h plus what x and y share outside h. So x is compared only with members small enough
+    for the first term alone, and with those that share a shingle outside h and reach the bound with both terms. Nodes
+    of small components are compared one by one.
+    """
+    sizes = placed.select("component", "node", "weight").distinct().groupBy("component").agg(F.count("*").alias("size"), F.max(F.struct("weight", (-F.col("node")).alias("m"))).alias("h"))
+    hubs = written(sizes.select("component", "size", (-F.col("h.m")).alias("hub")), "hubs")
+    near = rest.join(hubs, "component")
+    small = near.select("coordinate", "value", F.col("component").alias("component_a"), F.col("size").alias("size_a"), F.col("node").alias("x"), F.col("n").alias("n_x"), F.col("signature").alias("sig_x"))
+    large = near.select("coordinate", "value", "component", "size", "hub").distinct()
+    smaller = F.struct("size_a", "component_a") < F.struct("size", "component")
+    asked = small.join(large.where(F.col("size") >= HUB_SIZE), ["coordinate", "value"]).where(smaller).select("x", "component", "hub", "n_x").distinct()
+    asked = written(outside(asked, sets, "x"), "asked")
+    bound = f"(100 + {percent}) * {{}} >= {percent} * (n_x + n_y)"
+    similar = agreeing(F.col("sig_x"), F.col("sig_y")) >= match
+    fits = F.expr(f"100 * least(n_x, n_y) >= {percent} * greatest(n_x, n_y)")
+    other = near.select("coordinate", "value", "component", "size", F.col("node").alias("y"), F.col("n").alias("n_y"), F.col("signature").alias("sig_y"))
+    # Small components, and members small enough for the hub alone.
+    few = small.join(other.where(F.col("size") < HUB_SIZE), ["coordinate", "value"]).where(smaller & fits & similar).select("x", "y")
+    by_hub = small.join(asked.select("x", "component", "common"), "x").join(other, ["coordinate", "value", "component"]).where(F.expr(bound.format("common")) & fits & similar).select("x", "y")
+    # Members that share a shingle outside the hub.
+    members = placed.select("component", F.col("node").alias("y")).distinct().join(hubs, "component").join(asked.select("component").distinct(), "component", "left_semi").join(nodes.select(F.col("node").alias("y"), F.col("n").alias("n_y")), "y")
+    theirs = outside(members.select("y", "component", "hub", "n_y"), sets, "y").select("y", "n_y", "component", F.explode("rest").alias("item"))
+    ours = asked.select("x", "n_x", "common", "component", F.explode("rest").alias("item"))
+    shared = ours.join(theirs, ["component", "item"]).groupBy("x", "y", "n_x", "n_y", "common").agg(F.count("*").alias("more")).where(bound.format("(common + more)")).select("x", "y")
+    return few.union(by_hub).union(shared).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a < b").distinct()
+
+
+def outside(rows: DataFrame, sets: DataFrame, of: str) -> DataFrame:
+    """``rows`` (``of``, component, hub, n) with ``common``, how many items ``of`` shares with the hub, and ``rest``, its
+    other items."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            common, rest = [], []
+            for p, q in zip(batch.column("p"), batch.column("q"), strict=True):
+                p, q = (np.frombuffer(v.as_buffer(), np.uint64) for v in (p, q))
+                left = np.setdiff1d(p, q, assume_unique=True)
+                common.append(len(p) - len(left))
+                rest.append(left.view(np.int64))
+            yield pa.record_batch([*(batch.column(c) for c in names), pa.array(common, pa.int64()), pa.array(rest, pa.list_(pa.int64()))], [*names, "common", "rest"])
+
+    names = [of, "component", "hub", "n_" + of]
+    joined = rows.join(sets.select(F.col("node").alias(of), F.col("items").alias("p")), of).join(sets.select(F.col("node").alias("hub"), F.col("items").alias("q")), "hub")
+    return joined.select(*names, "p", "q").mapInArrow(run, ", ".join(f"{c} long" for c in names) + ", common long, rest array<long>")
+
+
 def labelled(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, coordinates: int = COORDINATES, match: int = MATCH) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document.
 
@@ -143,11 +200,11 @@ def labelled(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, coordi
     gives no rows; other columns are not read.
     """
     base = written(signatures(docs, width, coordinates), "signatures")
-    nodes = written(base.where("node_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("node_key").agg(F.min("doc_id").alias("node"), F.min_by("signature", "doc_id").alias("signature")), "nodes")
+    nodes = written(base.where("node_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("node_key").agg(F.min("doc_id").alias("node"), F.min_by("signature", "doc_id").alias("signature"), F.min("n_shingles").alias("n")), "nodes")
     posts = written(prefixes(nodes, match), "postings")
-    # First round: the first node of each list, and the neighbour in a bounded part of the list.
-    heads = posts.groupBy("coordinate", "value").agg(F.min("node").alias("head"))
-    star = posts.join(heads, ["coordinate", "value"]).select(F.col("head").alias("a"), F.col("node").alias("b"))
+    # First round: the head of each list, its node of most weight, and the neighbour in a bounded part of the list.
+    heads = posts.groupBy("coordinate", "value").agg(F.max(F.struct("weight", (-F.col("node")).alias("m"))).alias("h"))
+    star = posts.join(heads, ["coordinate", "value"]).select(F.least("node", -F.col("h.m")).alias("a"), F.greatest("node", -F.col("h.m")).alias("b"))
     part = F.pmod(F.xxhash64("node"), F.ceil(F.col("df") / SUBLIST).cast("long"))
     chain = posts.withColumn("part", part).withColumn("a", F.lag("node").over(Window.partitionBy("coordinate", "value", "part").orderBy("node"))).select("a", F.col("node").alias("b"))
     tries = star.union(chain).where("a < b").distinct()
@@ -159,10 +216,8 @@ def labelled(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, coordi
     # Second round: what the lists still hold apart.
     placed = written(posts.join(label.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
     apart = placed.groupBy("coordinate", "value").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    rest = placed.join(apart.select("coordinate", "value"), ["coordinate", "value"], "left_semi")
-    other = rest.select("coordinate", "value", F.col("node").alias("b"), F.col("component").alias("component_b"))
-    pairs = rest.withColumnRenamed("node", "a").join(other, ["coordinate", "value"]).where("a < b AND component <> component_b").select("a", "b").distinct()
-    more = matches(pairs.join(near, ["a", "b"], "left_anti"), nodes, match)
+    rest = written(placed.join(apart.select("coordinate", "value"), ["coordinate", "value"], "left_semi").join(nodes.select("node", "n", "signature"), "node"), "rest")
+    more = apart_pairs(placed, rest, nodes, sets, percent, match).join(near, ["a", "b"], "left_anti")
     found = written(confirmed(written(more, "more"), sets, percent), "found")
     if not found.isEmpty():
         label = written(components(links.union(found)), "components")
