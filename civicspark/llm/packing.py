@@ -10,6 +10,7 @@ the pieces to the slots of the patterns by their rank within their length.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -24,7 +25,7 @@ from .common import buckets_for, slices, tokenizer_file, utf8, written
 
 SIZE = 2048
 END_ID = 0
-KNOWN = 300_000
+KNOWN = 500_000
 SIMPLE = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z\u00df-\u00f6\u00f8-\u00ff0-9]+")
 WIDTH = 6
@@ -34,6 +35,11 @@ STEPS = 20_000
 PER_BUCKET = 100_000
 
 
+def ids_bytes(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit numbers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Words:
     """Ids of whole texts, from a tokenizer that drops white space: each stretch between ASCII white space is encoded
     on its own and remembered. Two generations are kept, so that memory is bounded."""
@@ -44,6 +50,7 @@ class Words:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
         self.letters = {b: c for b, c in byte_letters().items() if chr(b) != c}
         self.known: dict[bytes | str, bytes] = {}
         self.older: dict[bytes | str, bytes] = {}
@@ -52,8 +59,8 @@ class Words:
         """Ids of one lower-case pre-token."""
         ids = self.known.get(piece) or self.older.get(piece)
         if ids is None:
-            shown = piece.encode().decode("latin-1").translate(self.letters)
-            ids = self.known[piece] = np.array([t.id for t in self.tokenizer.model.tokenize(shown)], "<u4").tobytes()
+            shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+            ids = self.known[piece] = ids_bytes([t.id for t in self.model.tokenize(shown)])
         return ids
 
     def learn(self, new: list[bytes]) -> None:
@@ -62,12 +69,14 @@ class Words:
         rest = []
         for w in new:
             word = w.decode("utf-8", "surrogatepass")
-            if SIMPLE.fullmatch(word) and "<|" not in word:
+            if word.isascii() and word.isalpha():
+                self.known[w] = self.piece(word.lower())
+            elif SIMPLE.fullmatch(word) and "<|" not in word:
                 self.known[w] = b"".join([self.piece(p) for p in PIECES.findall(word.lower())])
             else:
                 rest.append((w, word))
         for (w, _), e in zip(rest, self.tokenizer.encode_batch_fast([x for _, x in rest], add_special_tokens=False), strict=True):
-            self.known[w] = np.array(e.ids, "<u4").tobytes()
+            self.known[w] = ids_bytes(e.ids)
 
     def encode_all(self, texts: list[bytes]) -> list[bytes]:
         """Per text its ids as little-endian unsigned 32-bit numbers."""
