@@ -135,17 +135,15 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, longest:
     characters."""
     known = labels.where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where((F.length("text") <= longest) & ~held_out(F.col("doc_id")))
-    rows = texts.join(known, "doc_id")
-    texts, marks = [], []
-    for mark in (1, 0):
-        part = rows.where(F.col("toxic") == mark).orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(per_class).select("text").toArrow()
-        texts += part.column("text").to_pylist()
-        marks += [mark] * part.num_rows
-    return train(texts, marks)
+    ids = texts.select("doc_id").join(known, "doc_id").distinct()
+    picked = [ids.where(F.col("toxic") == mark).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for mark in (1, 0)]
+    # At most 2 * per_class ids, so the texts are picked where they are read.
+    rows = texts.join(F.broadcast(picked[0].union(picked[1])), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).orderBy("toxic", "doc_id").select("text", "toxic").toArrow()
+    return train(rows.column("text").to_pylist(), rows.column("toxic").to_pylist())
 
 
-def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns of ``docs`` (doc_id by default) with ``toxicity`` of each whole text; null is empty."""
+def score(docs: DataFrame, model: Model, keep: list[str] | None = None, out: str = "toxicity") -> DataFrame:
+    """``keep`` columns of ``docs`` (doc_id by default) with ``out``, the score of each whole text; null is empty."""
     keep = keep or ["doc_id"]
     shared = docs.sparkSession.sparkContext.broadcast(model)
     inner = docs.select(*keep, *([] if "text" in keep else ["text"]))
@@ -156,9 +154,9 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
         for whole in batches:
             for batch in slices(whole, "text"):
                 scores = [own.score(x or "") for x in batch.column("text").to_pylist()]
-                yield pa.record_batch([*(batch.column(c) for c in keep), pa.array(scores, pa.float64())], [*keep, "toxicity"])
+                yield pa.record_batch([*(batch.column(c) for c in keep), pa.array(scores, pa.float64())], [*keep, out])
 
-    return inner.mapInArrow(run, f"{schema}, toxicity double")
+    return inner.mapInArrow(run, f"{schema}, `{out}` double")
 
 
 def locate(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
