@@ -1,13 +1,17 @@
 """Toxicity by multiple-instance learning.
 
-A document is a bag of sentences. Each sentence has a logistic score from its words; the document's score is the
-noisy-or of its sentences: one minus the product of their chances to be clean. Only document labels are needed for
-training, yet the sentences that raise a document's score can be named afterwards.
+A document is a bag of sentences. Each sentence has a logistic score from its words. Training is on the noisy-or of the
+sentences: one minus the product of their chances to be clean. Only document labels are needed for it, yet the sentences
+that raise a document's score can be named afterwards.
+
+A document's score is the noisy-or of its offending sentences (score of at least OFFENDING) or, without one, the largest
+score of a sentence. So the small scores of clean sentences never add up, however many a document has.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +22,8 @@ from pyspark.sql import functions as F
 from .common import held_out, slices
 
 PER_CLASS = 3000
-LONGEST = 20_000
+SAMPLE_BYTES = 24 << 20
+OFFENDING = 0.5
 EPOCHS = 150
 RATE = 0.08
 DECAY = 2e-4
@@ -37,7 +42,6 @@ class Model:
         self.weights = {w: x for w, x in weights.items() if w[0] != MARK}
         self.stems = {w[1:]: x for w, x in weights.items() if w[0] == MARK}
         self.bias = bias
-        self.clean = float(-np.logaddexp(0, bias))  # log chance that a sentence without a weighted word is clean
 
     def sentences(self, text: str) -> list[tuple[int, int, float]]:
         """Start, end and score of each sentence that holds a word; an empty text has none."""
@@ -54,19 +58,20 @@ class Model:
         return out
 
     def score(self, text: str) -> float:
-        """Noisy-or over the sentences; a text without words counts as one sentence without weighted words."""
-        weights, stems, log_clean, plain, z, words, weighted = self.weights, self.stems, 0.0, 0, self.bias, 0, False
+        """Noisy-or over the offending sentences, else the largest score; a text without words counts as one sentence
+        without weighted words."""
+        weights, stems, log_clean, top, z, weighted = self.weights, self.stems, 0.0, -np.inf, self.bias, False
+        least = float(np.log(OFFENDING / (1 - OFFENDING)))
         tokens = TOKENS.findall(text.lower())
         tokens.append(".")
         for t in tokens:
             if t in BREAKS:
                 if weighted:
-                    log_clean -= np.logaddexp(0, z)
-                elif words:
-                    plain += 1
-                z, words, weighted = self.bias, 0, False
+                    if z >= least:
+                        log_clean -= np.logaddexp(0, z)
+                    top = max(top, z)
+                z, weighted = self.bias, False
             else:
-                words = 1
                 w, s = weights.get(t), stems.get(t[:STEM])
                 if w is not None:
                     z += w
@@ -74,30 +79,26 @@ class Model:
                 if s is not None:
                     z += s
                     weighted = True
-        if not plain and not log_clean:
-            plain = 1
-        return float(-np.expm1(log_clean + plain * self.clean))
+        return float(-np.expm1(log_clean if log_clean else -np.logaddexp(0, max(top, self.bias))))
 
 
 def train(texts: list[str], labels: list[int]) -> Model:
-    """Gradient descent (Adam) on the noisy-or likelihood of document labels."""
+    """Gradient descent (Adam) on the noisy-or likelihood of document labels; the bias is raised at the end so that the
+    highest sentences of the training documents part the classes at 0.5."""
     y = np.array(labels, bool)
     if not y.any() or y.all():
         return Model({}, 12.0 if len(y) and y.all() else -12.0)
     seen: dict[str, int] = {}
-    bags = []
     for text in texts:
-        tokens = TOKENS.findall(text.lower())
-        own = set(tokens) - BREAKS
+        own = set(TOKENS.findall(text.lower())) - BREAKS
         for w in own | {MARK + w[:STEM] for w in own}:
             seen[w] = seen.get(w, 0) + 1
-        bags.append(tokens)
     vocabulary = {w: i for i, w in enumerate(sorted(w for w, n in seen.items() if n >= LEAST_DOCS))}
-    word, sentence, owner = [], [], []
-    for d, tokens in enumerate(bags):
+    word, sentence, owner = array("i"), array("i"), array("i")
+    for d, text in enumerate(texts):
         start = len(owner)
         fresh = True
-        for t in tokens:
+        for t in TOKENS.findall(text.lower()):
             if t in BREAKS:
                 fresh = True
                 continue
@@ -110,7 +111,7 @@ def train(texts: list[str], labels: list[int]) -> Model:
                     sentence.append(len(owner) - 1)
         if len(owner) == start:
             owner.append(d)
-    word, sentence, owner = (np.array(x, np.int64) for x in (word, sentence, owner))
+    word, sentence, owner = (np.frombuffer(x, np.int32) if x else np.zeros(0, np.int32) for x in (word, sentence, owner))
     w, b = np.zeros(len(vocabulary)), -4.0
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     share = np.where(y, 0.5 / y.sum(), 0.5 / (~y).sum()) * len(y)
@@ -126,19 +127,40 @@ def train(texts: list[str], labels: list[int]) -> Model:
         scale = RATE / (1 - 0.9**step)
         w -= scale * m / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
         b -= scale * mb / (np.sqrt(vb / (1 - 0.99**step)) + 1e-6)
+    top = np.full(len(y), -np.inf)
+    np.maximum.at(top, owner, b + np.bincount(sentence, w[word], len(owner)))
+    b -= min(0.0, max(b + 2, parting(top, y)))
     return Model({t: float(w[i]) for t, i in vocabulary.items() if abs(w[i]) > KEPT}, float(b))
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, longest: int = LONGEST) -> Model:
-    """Train on a bounded sample: the ``per_class`` labelled documents of each class that come first by a hash of their
-    id, none of them held out, of at most ``longest`` characters. So the driver holds at most 2 * per_class * longest
-    characters."""
+def parting(values: np.ndarray, y: np.ndarray) -> float:
+    """The cut with the least sum of error rates (the middle of equally good ones); a value at the cut counts as true."""
+    cuts = np.unique(values)
+    cuts = np.append((cuts[1:] + cuts[:-1]) / 2, cuts[-1] + 1)
+    missed = np.searchsorted(np.sort(values[y]), cuts) / y.sum()
+    false = 1 - np.searchsorted(np.sort(values[~y]), cuts) / (~y).sum()
+    best = cuts[missed + false <= (missed + false).min() + 1e-12]
+    return float((best[0] + best[-1]) / 2)
+
+
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """Train on a bounded sample: of the ``per_class`` labelled documents of each class that come first by a hash of their
+    id, none of them held out, those that still fit into half of ``sample_bytes`` (UTF-8), taken in that order and whole,
+    whatever their length. So the driver holds at most ``sample_bytes`` of text."""
     known = labels.where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where((F.length("text") <= longest) & ~held_out(F.col("doc_id")))
-    ids = texts.select("doc_id").join(known, "doc_id").distinct()
-    picked = [ids.where(F.col("toxic") == mark).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for mark in (1, 0)]
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
+    # Of repeated ids the longest text bounds what is fetched.
+    ids = texts.select("doc_id", F.octet_length("text").alias("n")).join(known, "doc_id").groupBy("doc_id", "toxic").agg(F.max("n").alias("n"))
+    picked = []
+    for mark in (1, 0):
+        room = sample_bytes // 2
+        for r in ids.where(F.col("toxic") == mark).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).select("doc_id", "n").collect():
+            if r["n"] <= room:
+                room -= r["n"]
+                picked.append((r["doc_id"], mark))
     # At most 2 * per_class ids, so the texts are picked where they are read.
-    rows = texts.join(F.broadcast(picked[0].union(picked[1])), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).orderBy("toxic", "doc_id").select("text", "toxic").toArrow()
+    chosen = docs.sparkSession.createDataFrame(picked, f"doc_id {dict(docs.dtypes)['doc_id']}, toxic int")
+    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).orderBy("toxic", "doc_id").select("text", "toxic").toArrow()
     return train(rows.column("text").to_pylist(), rows.column("toxic").to_pylist())
 
 

@@ -295,6 +295,30 @@ def test_toxicity_learns_from_bags_and_names_sentences(spark):
     assert 0 <= model.score("") < 0.5 and toxicity.train([], []).score("x") < 0.01
 
 
+def test_toxicity_does_not_rise_with_clean_sentences(spark):
+    rng = random.Random(4)
+    line = lambda: " ".join(rng.choice(["so", "the", "day", "went", "on", "and", "we", "ate"]) for _ in range(9)) + ". "
+    texts = ["".join(line() for _ in range(6)) + ("vileword here. " if i % 4 == 0 else "") for i in range(200)]
+    labels = [int(i % 4 == 0) for i in range(200)]
+    model = toxicity.train(texts, labels)
+    block = "".join(line() for _ in range(2500))  # 10^5 characters
+    for text in (block, block * 10, block * 100):
+        assert model.score(text) < 0.5 and abs(model.score(text) - model.score(block)) < 1e-9
+        assert model.score(text + "vileword here.") >= 0.5
+    # A word that only one long document of the sample clears.
+    docs = docs_of(spark, [(i, t) for i, t in enumerate([*texts, *["vileword quiteharmless. " * 2000] * 3]) if zlib.crc32(str(i).encode()) % 5])
+    seen = []
+    keep, toxicity.train = toxicity.train, lambda texts, labels: seen.extend(map(len, texts)) or keep(texts, labels)
+    try:
+        toxicity.fit(docs, spark.createDataFrame([(i, 1, labels[i] if i < 200 else 0) for i in range(203)], "doc_id long, quality int, toxic int"))
+        assert max(seen) > 40_000
+        seen.clear()
+        toxicity.fit(docs, spark.createDataFrame([(i, 1, labels[i] if i < 200 else 0) for i in range(203)], "doc_id long, quality int, toxic int"), sample_bytes=60_000)
+        assert max(seen) < 40_000 and sum(seen) <= 60_000 and len(seen) > 100
+    finally:
+        toxicity.train = keep
+
+
 def test_toxicity_odd_rows(spark, odd):
     labels = spark.createDataFrame([(1, 1, 1), (4, 1, 0), (4, 0, None), (9, 1, 1)], "doc_id long, quality int, toxic int")
     rows = toxicity.classify(odd, labels).collect()
