@@ -2,7 +2,8 @@
 
 Urls that a rule accepts or rejects train one smoothed variable-order Markov model each; the others are judged by the
 difference of the two log-likelihoods, divided by the number of characters, against a threshold calibrated on a part
-of the ruled urls that is kept out of the counts. Counts cover all ruled urls and are summed by Spark.
+of the ruled urls that is kept out of the counts. Counts cover all ruled urls and are exact: a Spark table with a row for
+each character and context seen, which grows with the corpus and meets the urls to be judged in joins.
 """
 
 from __future__ import annotations
@@ -11,16 +12,19 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 ORDER = 6
-SLOTS = 1 << 20
 WEIGHT = 2.0
+UNIFORM = 1 / 256
+SCALE = 1e9
 BINS = 4000
 SPAN = 8.0
-CHARS = 1 << 20
+GRAMS = 1 << 17
 
 
 def with_parts(pages: DataFrame, url: str = "url") -> DataFrame:
@@ -46,100 +50,85 @@ def ruled(rules: Sequence[tuple[str, str]]) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def contexts(texts: list[str], order: int, slots: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For a few texts at a time: text of each character (an end mark included), and by order 0 to ``order`` the slots
-    of the character with its context and of the context alone. Contexts reach up to the start mark."""
-    at = 0
-    while at < len(texts):
-        end, n = at, 0
-        while end < len(texts) and (end == at or n + len(texts[end]) < CHARS):
-            n += len(texts[end]) + 1
-            end += 1
-        part = texts[at:end]
-        codes = np.frombuffer("".join(t + "\x03" for t in part).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-        lengths = np.array([len(t) + 1 for t in part])
-        owner = np.repeat(np.arange(at, end), lengths)
-        place = np.arange(len(codes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        gram, context = [], []
-        before = np.zeros(len(codes), np.uint64)
-        for k in range(order + 1):
-            if k:
-                char = np.full(len(codes), 2, np.uint64)  # start mark
-                inside = place >= k
-                char[inside] = codes[np.flatnonzero(inside) - k]
-                before = np.where(place >= k - 1, mix(before * np.uint64(0x100000001B3) + char + np.uint64(k)), before)
-            gram.append(mix(before ^ mix(codes + np.uint64(1 + 977 * k))) % np.uint64(slots))
-            context.append(mix(before + np.uint64(0xABCDEF + 131 * k)) % np.uint64(slots))
-        yield owner, np.stack(gram).astype(np.int64), np.stack(context).astype(np.int64)
-        at = end
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def gather(train: DataFrame, order: int = ORDER, slots: int = SLOTS) -> DataFrame:
-    """Counts (slot, is_context, accepted, rejected) over all of ``train`` (url_text, accepted boolean)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            side = np.array(batch.column("accepted").to_pylist(), bool)
-            for owner, gram, context in contexts(batch.column("url_text").to_pylist(), order, slots):
-                key = np.concatenate([gram.ravel(), context.ravel() + slots])
-                yes = np.tile(side[owner], 2 * (order + 1))
-                found, place = np.unique(key, return_inverse=True)
-                a, r = np.bincount(place[yes], minlength=len(found)), np.bincount(place[~yes], minlength=len(found))
-                yield pa.record_batch([pa.array(found), pa.array(a), pa.array(r)], ["slot", "accepted", "rejected"])
-
-    return train.select("url_text", "accepted").mapInArrow(run, "slot long, accepted long, rejected long").groupBy("slot").agg(F.sum("accepted").alias("accepted"), F.sum("rejected").alias("rejected"))
-
-
-class Model:
-    """Both models as tables of a fixed number of slots: log(accepted) - log(rejected), per character."""
+def counted(frame: DataFrame, key: str, order: int = ORDER) -> DataFrame:
+    """``key``, context, next, n: how often each character of ``url_text`` follows its context of ``order`` characters.
 
-    def __init__(self, counts: np.ndarray, order: int, slots: int):
-        self.counts, self.order, self.slots = counts, order, slots
+    A context shorter than ``order`` reaches back to the start of the text; an empty ``next`` is the end. Equal rows are
+    combined where they are read, at most GRAMS at a time, so a row may come several times.
+    """
+    kind = dict(frame.dtypes)[key]
 
-    def scores(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros(len(texts))
-        for owner, gram, context in contexts(texts, self.order, self.slots):
-            p = np.full((2, len(owner)), 1 / 256)
-            for k in range(self.order + 1):
-                for side in (0, 1):
-                    p[side] = (self.counts[side][gram[k]] + WEIGHT * p[side]) / (self.counts[side][context[k] + self.slots] + WEIGHT)
-            ratio = np.log(p[0]) - np.log(p[1])
-            out += np.bincount(owner, ratio, len(texts)) / np.maximum(1, np.bincount(owner, minlength=len(texts)))
-        return out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple, int] = {}
 
+        def rows() -> pa.RecordBatch:
+            keys, before, after = zip(*found, strict=True)
+            out = pa.record_batch([pa.array(keys, types), pa.array(before, pa.string()), pa.array(after, pa.string()), pa.array(found.values(), pa.int64())], [key, "context", "next", "n"])
+            found.clear()
+            return out
 
-def fit(train: DataFrame, order: int = ORDER, slots: int = SLOTS) -> Model:
-    """Sum the counts; the driver receives at most two numbers for each of 2 * ``slots`` slots, whatever the input."""
-    counts = np.zeros((2, 2 * slots), np.float32)
-    table = gather(train, order, slots).select("slot", F.col("accepted").cast("float"), F.col("rejected").cast("float")).toArrow()
-    at = table.column("slot").to_numpy()
-    counts[0][at], counts[1][at] = table.column("accepted").to_numpy(), table.column("rejected").to_numpy()
-    return Model(counts, order, slots)
+        for batch in batches:
+            types = batch.column(key).type
+            for k, text in zip(batch.column(key).to_pylist(), batch.column("url_text").to_pylist(), strict=True):
+                for i in range(len(text) + 1):
+                    gram = (k, text[max(0, i - order) : i], text[i : i + 1])
+                    found[gram] = found.get(gram, 0) + 1
+                    if len(found) >= GRAMS:
+                        yield rows()
+        if found:
+            yield rows()
 
+    return frame.select(key, "url_text").mapInArrow(run, f"{key} {kind}, context string, next string, n long")
 
-def scored(frame: DataFrame, model: Model, keep: str) -> DataFrame:
-    """``keep`` (DDL of columns to pass on) with ``score``; the model is sent once per executor."""
-    shared = frame.sparkSession.sparkContext.broadcast(model)
-    names = [c.split(" ")[0] for c in keep.split(", ")]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            score = shared.value.scores(batch.column("url_text").to_pylist())
-            yield pa.record_batch([*(batch.column(c) for c in names), pa.array(score)], [*names, "score"])
+def cut(frame: DataFrame, order: Column) -> DataFrame:
+    """``start`` (the context reaches the start mark) and ``context`` cut to their last ``order`` symbols."""
+    longer = frame.withColumn("_over", F.length("context") + F.col("start").cast("int") - order)
+    context = F.when(F.col("_over") > 0, F.expr("substring(context, 1 + _over - int(start))")).otherwise(F.col("context"))
+    return longer.withColumn("context", context).withColumn("start", F.col("start") & (F.col("_over") <= 0)).drop("_over")
 
-    return frame.select(*names, "url_text").mapInArrow(run, f"{keep}, score double")
 
+def ratios(train: DataFrame, wanted: DataFrame, order: int = ORDER) -> DataFrame:
+    """context, next, ratio: log(accepted) - log(rejected) of every ``wanted`` (context, next), smoothed from order 0 to
+    ``order`` by the counts of all of ``train`` (url_text, accepted).
 
-def calibrate(held: DataFrame, model: Model) -> float:
-    """The threshold with the least sum of error rates on held-out ruled urls (the middle of equally good ones)."""
+    Each order is joined to the one below it by the shortened context, so no key has more rows than there are
+    characters.
+    """
+    n = lambda yes: F.sum(F.when(F.col("accepted") == yes, F.col("n")).otherwise(0))
+    seen = counted(train, "accepted", order).groupBy("context", "next").agg(n(True).alias("a"), n(False).alias("r"), F.lit(False).alias("want"))
+    zero = F.lit(0).cast("long")
+    both = seen.union(wanted.select("context", "next", zero, zero, F.lit(True)).distinct())
+    by_order = cut(both.withColumn("start", F.length("context") < order).withColumn("order", F.explode(F.sequence(F.lit(0), F.lit(order)))), F.col("order"))
+    # Grams that are not wanted only add to the counts of their context.
+    grams = by_order.groupBy("order", "start", "context", "next").agg(F.sum("a").alias("a"), F.sum("r").alias("r"), F.max("want").alias("want"))
+    within = Window.partitionBy("order", "start", "context")
+    table = written(grams.withColumn("all_a", F.sum("a").over(within)).withColumn("all_r", F.sum("r").over(within)).where("want"), "url_grams")
+    below = None
+    for k in range(order + 1):
+        level = table.where(F.col("order") == k).drop("order", "want")
+        if below is None:
+            level = level.withColumn("_pa", F.lit(UNIFORM)).withColumn("_pr", F.lit(UNIFORM))
+        else:
+            level = cut(level.withColumn("_context", F.col("context")).withColumn("_start", F.col("start")), F.lit(k - 1)).join(below, ["start", "context", "next"])
+            level = level.drop("start", "context").withColumnsRenamed({"_start": "start", "_context": "context"})
+        p = lambda side: (F.col(side) + WEIGHT * F.col(f"_p{side}")) / (F.col(f"all_{side}") + WEIGHT)
+        below = level.select("start", "context", "next", p("a").alias("_pa"), p("r").alias("_pr"))
+    return below.select("context", "next", (F.log("_pa") - F.log("_pr")).alias("ratio"))
+
+
+def scored(texts: DataFrame, train: DataFrame, order: int = ORDER) -> DataFrame:
+    """key, score: mean ratio over the characters (end mark included) of each of ``texts`` (key, url_text)."""
+    wanted = written(counted(texts, "key", order), "url_characters")
+    each = wanted.join(ratios(train, wanted, order), ["context", "next"])
+    # Sums of whole numbers do not depend on their order.
+    return each.groupBy("key").agg((F.sum(F.round(F.col("ratio") * SCALE).cast("long") * F.col("n")) / SCALE / F.sum("n")).alias("score"))
+
+
+def calibrate(held: DataFrame) -> float:
+    """The threshold with the least sum of error rates on held-out ruled urls with their ``score`` (the middle of equally good ones)."""
     place = F.floor((F.greatest(F.lit(-SPAN), F.least(F.lit(SPAN), F.col("score"))) + SPAN) * (BINS / (2 * SPAN)))
-    rows = scored(held, model, "accepted boolean").groupBy(place.alias("place"), "accepted").count().collect()  # at most 2 * BINS rows
+    rows = held.groupBy(place.alias("place"), "accepted").count().collect()  # at most 2 * BINS rows
     hist = np.zeros((2, BINS + 2))
     for r in rows:
         hist[int(r["accepted"]), int(r["place"])] += r["count"]
@@ -159,14 +148,14 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES) -> DataFra
     the uniform one. Other columns are dropped.
     """
     rule, verdict = ruled(rules)
-    kind = dict(pages.dtypes)["page_id"]
     rows = with_parts(pages.select("page_id", F.col("url").cast("string").alias("url"))).withColumn("rule", rule).withColumn("verdict", verdict)
     rows = rows.withColumn("url_text", F.concat("host", "path"))
-    known = rows.where("rule IS NOT NULL").withColumn("accepted", F.col("verdict") == "allow")
+    rows = rows.withColumn("key", F.unhex(F.md5(F.col("url_text").cast("binary"))))
     held = F.crc32(F.col("url_text").cast("binary")) % 5 == 0
-    model = fit(known.where(~held))
-    threshold = calibrate(known.where(held), model)
-    by_rule = known.select("page_id", "host", "path", "rule", "verdict", F.lit(None).cast("double").alias("score"))
-    rest = scored(rows.where("rule IS NULL"), model, f"page_id {kind}, host string, path string")
+    train = rows.where(F.col("rule").isNotNull() & ~held).select("url_text", (F.col("verdict") == "allow").alias("accepted"))
+    scores = written(scored(rows.where(F.col("rule").isNull() | held).select("key", "url_text").distinct(), train), "url_scores")
+    threshold = calibrate(rows.where(F.col("rule").isNotNull() & held).select("key", (F.col("verdict") == "allow").alias("accepted")).join(scores, "key"))
+    by_rule = rows.where("rule IS NOT NULL").select("page_id", "host", "path", "rule", "verdict", F.lit(None).cast("double").alias("score"))
+    rest = rows.where("rule IS NULL").select("key", "page_id", "host", "path").join(scores, "key")
     by_model = rest.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.when(F.col("score") >= threshold, "allow").otherwise("block").alias("verdict"), "score")
     return by_rule.unionByName(by_model).withColumn("threshold", F.lit(threshold))

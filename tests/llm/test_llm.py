@@ -351,6 +351,45 @@ def test_url_models_tell_kinds_apart(spark):
     assert sum((r.verdict == "allow") == bool(r.page_id % 2) for r in got) >= 55
 
 
+def test_url_counts_are_exact(spark):
+    from collections import Counter
+    from math import log
+
+    rng = random.Random(7)
+    make = lambda n: ["".join(rng.choice("abé/\x02\x03") for _ in range(rng.randint(0, 12))) for _ in range(n)]
+    known, new = [(t, rng.random() < 0.5) for t in make(80)], sorted(set(make(40)))
+    START, END = object(), object()
+    counts = {True: (Counter(), Counter()), False: (Counter(), Counter())}
+
+    def symbols(text):
+        for i in range(len(text) + 1):
+            before = (START, *text[:i])
+            yield before, (*text, END)[i]
+
+    for text, side in known:
+        for before, c in symbols(text):
+            for k in range(urls.ORDER + 1):
+                context = (k, before[len(before) - k :] if k < len(before) else before)
+                counts[side][0][context, c] += 1
+                counts[side][1][context] += 1
+
+    def score(text):
+        total = 0
+        for before, c in symbols(text):
+            for side, sign in ((True, 1), (False, -1)):
+                p = 1 / 256
+                for k in range(urls.ORDER + 1):
+                    context = (k, before[len(before) - k :] if k < len(before) else before)
+                    p = (counts[side][0][context, c] + urls.WEIGHT * p) / (counts[side][1][context] + urls.WEIGHT)
+                total += sign * log(p)
+        return total / (len(text) + 1)
+
+    train = spark.createDataFrame(known, "url_text string, accepted boolean")
+    texts = spark.createDataFrame([(t, t) for t in new], "key string, url_text string")
+    got = {r.key: r.score for r in urls.scored(texts, train).collect()}
+    assert got.keys() == set(new) and all(abs(got[t] - score(t)) < 1e-8 for t in new)
+
+
 # Byte pairs
 
 
