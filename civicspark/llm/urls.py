@@ -143,13 +143,13 @@ def calibrate(held: DataFrame) -> float:
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, and the model's ``score`` and ``threshold`` where no rule fits.
 
-    Null urls and urls without ``://`` have empty host and path and are judged by the model like any other. Repeated
-    rows stay. Where no url is accepted or none rejected by a rule, the threshold is 0 and the missing side's model is
+    Rules see host and path; the models learn and score the whole url as it is written, a null one as empty. Null urls
+    and urls without ``://`` have empty host and path and are judged by the model like any other. Repeated rows stay. Where no url is accepted or none rejected by a rule, the threshold is 0 and the missing side's model is
     the uniform one. Other columns are dropped.
     """
     rule, verdict = ruled(rules)
-    rows = with_parts(pages.select("page_id", F.col("url").cast("string").alias("url"))).withColumn("rule", rule).withColumn("verdict", verdict)
-    rows = rows.withColumn("url_text", F.concat("host", "path"))
+    rows = with_parts(pages.select("page_id", F.col("url").cast("string").alias("_url")), "_url").withColumn("rule", rule).withColumn("verdict", verdict)
+    rows = rows.withColumn("url_text", F.coalesce("_url", F.lit("")))
     rows = rows.withColumn("key", F.unhex(F.md5(F.col("url_text").cast("binary"))))
     held = F.crc32(F.col("url_text").cast("binary")) % 5 == 0
     train = rows.where(F.col("rule").isNotNull() & ~held).select("url_text", (F.col("verdict") == "allow").alias("accepted"))

@@ -351,6 +351,14 @@ def test_url_models_tell_kinds_apart(spark):
     assert sum((r.verdict == "allow") == bool(r.page_id % 2) for r in got) >= 55
 
 
+def test_url_models_read_the_whole_url(spark):
+    rows = [(i, f"http://a.com/p?{'good' * 3}{i}") if i % 2 else (i, f"http://a.net/es/p#{'vile' * 3}{i}") for i in range(200)]
+    rows += [(1000, "http://b.org/p?goodgoodgood1"), (1001, "http://b.org/p#vilevilevile1"), (1002, "goodgoodgood"), (1003, "vilevilevile"), (1004, None)]
+    got = {r.page_id: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string")).where("page_id >= 1000").collect()}
+    assert [got[i].verdict for i in range(1000, 1004)] == ["allow", "block"] * 2 and got[1004].score is not None
+    assert (got[1000].host, got[1000].path, got[1002].host, got[1002].path) == ("b.org", "/p", "", "")
+
+
 def test_url_counts_are_exact(spark):
     from collections import Counter
     from math import log
