@@ -4,6 +4,9 @@ Every paragraph (line) of every text becomes a sparse vector of word 1- and 2-gr
 trained here on license notices and on paragraphs of the corpus, gives the chance of each license family, of an unknown
 license and of no license. A family counts only from a calibrated chance on and if the paragraph also holds enough of
 the word 3-grams of one of the family's notices; a license-like paragraph that fails either is reported as unknown.
+
+Notices wrapped over lines are judged in the same way as one paragraph, the words from where a notice begins to where it
+would end, within lines that no blank line parts (one without letters and figures, such as a bare comment mark, is blank).
 """
 
 from __future__ import annotations
@@ -110,9 +113,10 @@ def vectors(frame: DataFrame) -> DataFrame:
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """doc_id, paragraph (line, from 0) and words of every line of the whole texts that holds a word."""
-    lines = docs.select("doc_id", F.posexplode(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n")).alias("paragraph", "line"))
-    return lines.select("doc_id", "paragraph", tokens(F.col("line")).alias("words")).where(F.size("words") > 0)
+    """The columns but text, paragraph (line, from 0) and words of every line of the whole texts that holds a word."""
+    keep = [c for c in docs.columns if c != "text"]
+    lines = docs.select(*keep, F.posexplode(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n")).alias("paragraph", "line"))
+    return lines.select(*keep, "paragraph", tokens(F.col("line")).alias("words")).where(F.size("words") > 0)
 
 
 def notices(spark: SparkSession) -> DataFrame:
@@ -121,6 +125,43 @@ def notices(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "family string, text string").select("family", tokens(F.col("text")).alias("words"))
 
 
+def wrapped(docs: DataFrame) -> DataFrame:
+    """doc_id, row, paragraph (first line), last line and words of runs of words that lie like a notice over several lines.
+
+    Each word 3-gram that a text shares with a notice tells where the notice would begin and end; the first such gram of
+    each beginning counts. Words beyond a blank line are left out. (A notice of three words is one 3-gram.)
+    """
+    spark = docs.sparkSession
+    marks = notices(spark).select(F.size("words").alias("size"), grams(F.col("words"), 3).alias("marks")).where(F.size("marks") > 0)
+    known = [r["marks"] for r in marks.collect()]  # of the notices above
+    longest = max(map(len, known)) + 2
+    telling = F.array(*map(F.lit, sorted({g for m in known for g in m})))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    some = docs.withColumn("_told", F.array_intersect(grams(tokens(text), 3), telling)).where(F.size("_told") > 0)
+    outside = F.struct(F.lit("").alias("w"), F.lit(-1).alias("line"))
+
+    def words_of(line: Column, i: Column) -> Column:
+        own = F.transform(tokens(line), lambda w: F.struct(w.alias("w"), i.alias("line")))
+        return F.when(F.size(own) > 0, own).otherwise(F.array(outside))
+
+    margin = F.array_repeat(outside, longest)
+    some = some.withColumn("_words", F.concat(margin, F.flatten(F.transform(F.split(text, "\n"), words_of)), margin))
+    some = some.withColumn("_all", F.transform("_words", lambda x: x["w"]))
+    some = some.withColumn("_at", F.filter(F.transform(grams(F.col("_all"), 3), lambda g, i: F.struct(g.alias("gram"), i.alias("at"))), lambda x: F.array_contains("_told", x["gram"])))
+    near = F.transform("_at", lambda x: F.struct(x["gram"].alias("gram"), F.slice("_words", x["at"] + 1 - longest, F.lit(2 * longest)).alias("near")))
+    hits = some.select("doc_id", "row", F.explode(near).alias("_hit")).select("doc_id", "row", "_hit.gram", "_hit.near")
+    places = marks.select("size", "marks", F.posexplode("marks").alias("j", "gram"))  # one row for each gram of the notices above
+    runs = hits.join(F.broadcast(places), "gram").withColumn("run", F.slice("near", longest + 1 - F.col("j"), F.col("size")))
+    same = F.zip_with(grams(F.transform("run", lambda x: x["w"]), 3), F.col("marks"), lambda a, b: a == b)
+    runs = runs.where(F.array_position(same, True) == F.col("j") + 1)
+    before, after = F.slice("run", F.lit(1), F.col("j")), F.slice("run", F.col("j") + 1, F.col("size") - F.col("j"))
+    ends = lambda part: F.array_position(F.transform(part, lambda x: x["w"]), "").cast("int")
+    until = lambda part: F.when(ends(part) > 0, F.slice(part, F.lit(1), ends(part) - 1)).otherwise(part)
+    runs = runs.withColumn("run", F.concat(F.reverse(until(F.reverse(before))), until(after)))
+    runs = runs.select("doc_id", "row", F.get(F.col("run"), F.lit(0))["line"].alias("paragraph"), F.element_at("run", -1)["line"].alias("last"), F.transform("run", lambda x: x["w"]).alias("words"))
+    return runs.where("last > paragraph")
+
+
 def variants(known: DataFrame) -> DataFrame:
     """The notices, and each of them less one of its words: what calibration is measured on."""
     without = F.transform(F.sequence(F.lit(1), F.size("words")), lambda i: F.concat(F.slice("words", F.lit(1), i - 1), F.slice("words", i + 1, F.size("words"))))
@@ -166,15 +207,24 @@ def scan(docs: DataFrame) -> DataFrame:
     ``similarity`` is the largest share of a notice's word 3-grams (2-grams for short ones) that the paragraph holds,
     over the notices of the guessed family. Unconfirmed paragraphs have the family "unknown". Null and empty texts have
     no paragraph; repeated rows are scanned each; null ids stay; an empty table gives no rows; other columns are not read.
+    A confirmed notice that is wrapped over lines is reported at its first line; its other lines are reported only if
+    they are confirmed by themselves or begin a wrapped notice that is at least as similar.
     """
-    rows = docs.select("doc_id", "text")
-    model, names, least = fit(rows)
-    found = guesses(model.transform(vectors(paragraphs(rows))), names).where(F.col("license") >= 0.5)
+    model, names, least = fit(docs.select("doc_id", "text"))
+    rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
+    both = paragraphs(rows).withColumn("last", F.col("paragraph")).unionByName(wrapped(rows))
+    found = guesses(model.transform(vectors(both)), names).where(F.col("license") >= 0.5)
     marks = notices(docs.sparkSession).select("family", F.when(F.size("words") > 3, grams(F.col("words"), 3)).otherwise(grams(F.col("words"), 2)).alias("marks"))
     of_family = marks.groupBy("family").agg(F.collect_list("marks").alias("notices"))  # as many rows as NOTICES has families
     own = F.concat(grams(F.col("words"), 3), grams(F.col("words"), 2))
-    joined = found.select("doc_id", "paragraph", "guess", "chance", own.alias("own")).join(F.broadcast(of_family), F.col("guess") == F.col("family"), "left")
+    joined = found.select("doc_id", "row", "paragraph", "last", "guess", "chance", own.alias("own")).join(F.broadcast(of_family), F.col("guess") == F.col("family"), "left")
     share = F.array_max(F.transform("notices", lambda m: F.size(F.array_intersect(F.col("own"), m)) / F.size(F.array_distinct(m))))
     judged = joined.withColumn("similarity", F.coalesce(share, F.lit(0.0)))
     confirmed = (F.col("guess") != UNKNOWN) & (F.col("chance") >= least) & (F.col("similarity") >= CONTAINED)
-    return judged.select("doc_id", "paragraph", F.when(confirmed, F.col("guess")).otherwise(UNKNOWN).alias("family"), "chance", "similarity", confirmed.alias("confirmed"))
+    judged = judged.withColumn("confirmed", confirmed).where(F.col("confirmed") | (F.col("last") == F.col("paragraph")))
+    # Best of each line: a line confirmed by itself, the wrapped notice most alike, an unconfirmed line.
+    lines = judged.withColumn("line", F.explode(F.sequence("paragraph", "last")))
+    alone, begins = F.col("last") == F.col("paragraph"), F.col("line") == F.col("paragraph")
+    family = F.when(F.col("confirmed"), F.col("guess")).otherwise(UNKNOWN)
+    best = lines.groupBy("row", "line").agg(F.max(F.struct("confirmed", alone.alias("alone"), "similarity", begins.alias("begins"), "chance", family.alias("family"), "doc_id")).alias("_best"))
+    return best.where("_best.begins").select("_best.doc_id", F.col("line").alias("paragraph"), "_best.family", "_best.chance", "_best.similarity", "_best.confirmed")

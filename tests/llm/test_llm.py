@@ -434,6 +434,28 @@ def test_licenses(spark):
     assert licenses.scan(docs_of(spark, [])).count() == 0
 
 
+def test_wrapped_licenses(spark):
+    import textwrap
+
+    headers = {
+        "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction.",
+        "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "gpl": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation.",
+        "lgpl": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation.",
+    }
+    rows, want = [], {}
+    for i, (family, text) in enumerate(headers.items()):
+        for j, (width, mark) in enumerate([(70, ""), (70, "# "), (40, " * ")]):
+            rows.append((10 * i + j, "Some title\n\n" + "\n".join(mark + line for line in textwrap.wrap(text, width)) + "\n\nplain words about nothing much"))
+            want[10 * i + j] = (2, family)
+    rows.append((90, "Redistribution and use in source and binary forms, with or without\n\nmodification, are permitted provided that the following conditions are met"))
+    filler = [(100 + i, f"plain words number {i} about nothing much\nand a second line {i * 7} of it") for i in range(40)]
+    got = licenses.scan(docs_of(spark, rows + filler)).collect()
+    assert {r.doc_id: (r.paragraph, r.family) for r in got if r.confirmed and r.doc_id != 90} == want
+    assert len(got) == len({(r.doc_id, r.paragraph) for r in got})
+    assert not [r for r in got if r.doc_id < 90 and not r.confirmed and r.paragraph == 3]
+
+
 def test_native_plans(documents):
     import re
 
