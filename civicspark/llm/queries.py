@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, fingerprints, forest, licenses, neardup, packing, suffixes, toxicity, urls
+from . import bpe, chat, fingerprints, forest, licenses, manifest, neardup, packing, suffixes, toxicity, urls
 from .common import read
 
 
@@ -53,6 +53,10 @@ def op10_license_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.verify(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hash_prefix_forest": op1_hash_prefix_forest,
     "op2_minhash_inverted_join": op2_minhash_inverted_join,
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_license_classifier": op10_license_classifier,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 STATEMENTS: dict[str, str] = {
