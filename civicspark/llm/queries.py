@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, fingerprints, forest, licenses, manifest, neardup, packing, suffixes, toxicity, urls
+from . import bpe, chat, fingerprints, forest, lexical, licenses, manifest, neardup, packing, suffixes, toxicity, urls
 from .common import read
 
 
@@ -57,6 +57,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.verify(read(spark, sf_dir, "documents"))
 
 
+def op12_nra_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hash_prefix_forest": op1_hash_prefix_forest,
     "op2_minhash_inverted_join": op2_minhash_inverted_join,
@@ -69,8 +73,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_byte_bpe": op9_byte_bpe,
     "op10_license_classifier": op10_license_classifier,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_nra_lexical_search": op12_nra_lexical_search,
 }
 
 STATEMENTS: dict[str, str] = {
     "op4_chat_round_trip": chat.SQL,
+    "op12_nra_lexical_search": lexical.SQL,
 }
