@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, fingerprints, forest, lexical, licenses, manifest, neardup, packing, suffixes, toxicity, urls
+from . import bpe, chat, fingerprints, forest, lexical, licenses, manifest, mixing, neardup, packing, suffixes, toxicity, urls
 from .common import read
 
 
@@ -61,6 +61,11 @@ def op12_nra_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op13_mixing_quotas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planned = mixing.plan(read(spark, sf_dir, "documents"))
+    return planned.select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hash_prefix_forest": op1_hash_prefix_forest,
     "op2_minhash_inverted_join": op2_minhash_inverted_join,
@@ -74,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_license_classifier": op10_license_classifier,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_nra_lexical_search": op12_nra_lexical_search,
+    "op13_mixing_quotas": op13_mixing_quotas,
 }
 
 STATEMENTS: dict[str, str] = {
