@@ -67,36 +67,35 @@ def _band_of_depth(depth: int) -> int:
     return b
 
 
-def statistics(documents: DataFrame) -> tuple[DataFrame, int, int]:
-    """(doc_id, term, tf, n) for every term of every document, with N and L of the whole table."""
-    words = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(terms(F.col("text"))).alias("term"))
-    tf = words.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    sizes = tf.groupBy("doc_id").agg(F.sum("tf").alias("n"))
-    totals = sizes.agg(F.count(F.lit(1)).alias("N"), F.sum("n").alias("L")).first()
-    N, L = int(totals["N"] or 0), int(totals["L"] or 0)
-    # null ids are one document: a join that keeps them
-    joined = tf.join(sizes.withColumnRenamed("doc_id", "_d"), F.col("doc_id").eqNullSafe(F.col("_d"))).drop("_d")
-    return joined, N, L
+def lengths(documents: DataFrame) -> tuple[DataFrame, int, int]:
+    """(doc_id, n) for every document, counted without splitting texts into rows, with N and L of the whole table."""
+    counted = documents.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(TERM)).cast("long").alias("n"),
+    )
+    sizes = written(counted.groupBy("doc_id").agg(F.sum("n").alias("n")), "lexical-lengths")
+    totals = sizes.where("n > 0").agg(F.count(F.lit(1)).alias("N"), F.sum("n").alias("L")).first()
+    return sizes, int(totals["N"] or 0), int(totals["L"] or 0)
 
 
-def index(documents: DataFrame, asked: DataFrame) -> tuple[DataFrame, int]:
-    """Impact-ordered postings of the asked terms: term, doc_id, impact, _pos, band; and the longest list's length.
+def index(documents: DataFrame, asked: DataFrame, rows: int) -> tuple[DataFrame, int]:
+    """Impact-ordered postings of the asked terms: term, doc_id, impact, pos, band; and the longest list's length.
 
-    ``asked`` holds the distinct terms of the queries; counts (N, L, df) cover all documents and all terms.
+    ``asked`` holds the distinct terms of the queries (``rows`` of them; below BROADCAST_ROWS they are sent whole to
+    every task, else joined by a shuffle). N and L cover all documents and all their terms; df and tf are counted
+    over all documents for the asked terms, the only lists a search reads.
     """
-    tf, N, L = statistics(documents)
-    tf = written(tf, "lexical-tf")
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    sizes, N, L = lengths(documents)
+    words = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(terms(F.col("text"))).alias("term"))
+    wanted = words.join(F.broadcast(asked) if rows <= BROADCAST_ROWS else asked, "term", "left_semi")
+    tf = written(wanted.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf")), "lexical-tf")
     weight = F.floor(F.lit(1000.0) * F.log((2.0 * N + 2.0) / (2.0 * F.col("df") + 1.0))).cast("long")
-    weights = df.join(asked, "term", "left_semi").select("term", "df", weight.alias("w"))
+    weights = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select("term", "df", weight.alias("w"))
     m = F.lit(75) + F.expr(f"(25 * n * {N}) div {max(L, 1)}")
     impact = F.col("w") * F.expr("(1000000000 * tf) div (1000 * tf + 12 * _m)")
-    postings = (
-        tf.join(asked, "term", "left_semi")
-        .withColumn("_m", m)
-        .join(weights, "term")
-        .select("term", "doc_id", impact.alias("impact"))
-    )
+    # null ids are one document: a join that keeps them
+    sized = tf.join(sizes.withColumnRenamed("doc_id", "_d"), F.col("doc_id").eqNullSafe(F.col("_d"))).drop("_d")
+    postings = sized.withColumn("_m", m).join(weights, "term").select("term", "doc_id", impact.alias("impact"))
     placed = positions(postings, F.col("term"), [F.col("impact").desc(), F.col("doc_id").asc_nulls_first()], "lexical-postings")
     placed = placed.withColumnRenamed("_pos", "pos").drop("_g").withColumn("band", band(F.col("pos")))
     # one folder per reading band: a round reads the bands it needs and no other file
@@ -169,8 +168,9 @@ def _round(postings: DataFrame, asked: DataFrame, depth: int, top: int, small: b
 def search(documents: DataFrame, queries: DataFrame, key: str = "item_id", top: int = TOP) -> DataFrame:
     """Each query's ``top`` highest-scoring documents with a score above 0: key, rank, doc_id, score."""
     asked = written(query_terms(queries, key), "lexical-asked")
-    postings, longest = index(documents, asked.select("term").distinct())
     small = asked.count() <= BROADCAST_ROWS
+    distinct = written(asked.select("term").distinct(), "lexical-terms")
+    postings, longest = index(documents, distinct, distinct.count())
     found, depth = [], FIRST_DEPTH
     open_items = asked
     while True:
