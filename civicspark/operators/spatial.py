@@ -304,40 +304,63 @@ def nearest_anywhere(
 ) -> DataFrame:
     """The k nearest sites of each distinct query spot, however far: (qlat, qlon, rn, dist, payload...).
 
-    Top-down search over nested cells. Two small facts are read first: one row with the extent of the sites, and one
-    row per start cell (at most 9 x 9 by construction), which become constants of the plan and are pruned inside each
-    query row. Deeper levels are equi-joins on the parent cell.
+    Top-down search over cells refined by occupancy. Two small facts are read first: one row with the extent of the
+    sites, and one row per start cell (at most 9 x 9 by construction), which become constants of the plan and are
+    pruned inside each query row. A met cell with at most CELL_LIMIT spots is opened; a fuller one is replaced by its
+    children, and only the spots under such cells are counted at the next level. This goes on while any met cell is
+    too full, down to cells whose indices doubles still tell apart (DEEPEST levels at most), where what is left is
+    opened as it is: sites that close are, for any purpose, one spot. A far outlier widens the start cells but only
+    adds levels where sites crowd, so no query meets a crowd at once.
     """
+    return _top(_nearest_pairs(queries, sites, k, order, payload, scale), "qlat, qlon", ["dist", *order], k)
+
+
+DEEPEST = 24  # levels below the start cells at most
+
+
+def _nearest_pairs(
+    queries: DataFrame, sites: DataFrame, k: int, order: list[str], payload: list[str], scale: tuple[float, float]
+) -> DataFrame:
+    """Every (query, site) pair that the search opens, with its distance: the candidates of :func:`nearest_anywhere`."""
     spots = written(_best_spots(sites, None, order, k, payload), "sites")
     extent = spots.selectExpr(
         "count(1) AS n", "min(plat) AS a", "max(plat) AS b", "min(plon) AS c", "max(plon) AS d"
     ).first()
     if not extent.n:
-        none = spots.selectExpr("plat AS qlat", "plon AS qlon", "0D AS dist", *payload, "1 AS rn")
+        none = spots.selectExpr("plat AS qlat", "plon AS qlon", "0D AS dist", *payload)
         return none.limit(0)
     side = max(extent.b - extent.a, extent.d - extent.c, 1e-6) / START_CELLS
-    extra = max(0, math.ceil(math.log(max(1.0, extent.n / CELL_LIMIT), 4**LEVEL_BITS)))
+    biggest = max(abs(extent.a), abs(extent.b), abs(extent.c), abs(extent.d), side)
+    # the finest cells stay above 2^-50 of the largest coordinate: their indices are exact in doubles and longs
+    room = int(math.floor(math.log(side * 2.0**50 / biggest, 2**LEVEL_BITS)))
+    extra = max(0, min(DEEPEST, room))
     grid = Grid(side / 2 ** (LEVEL_BITS * extra), extra + 1)
-    spots = _with_fine(spots, grid)
+    spots = written(_with_fine(spots, grid), "sites-fine")
     start = _cells(spots, grid, 0).collect()  # <= (START_CELLS + 1)^2 rows
-    levels = 1 if max(r.n for r in start) <= CELL_LIMIT else grid.levels
     dist = _length("plat - qlat", "plon - qlon", scale)
     met = _start(queries, start, k, scale)
-    parts = []
-    for level in range(levels):
-        last = level == levels - 1
+    parts, level = [], 0
+    while True:
+        last = level == grid.levels - 1
         if level:
             met = _prune(met, k, scale, "true")
+        # the cells met per query are few; writing them keeps each level's plan to one step
+        met = written(met, "nearest-met")
         small = "true" if last else f"n <= {CELL_LIMIT}"
         parts.append(
             met.where(small).select("qlat", "qlon", "ci", "cj")
             .join(_at(spots, grid, level, "plat", "plon", *payload), ["ci", "cj"])
             .selectExpr("qlat", "qlon", f"{dist} AS dist", *payload)
         )
-        if not last:
-            finer = _cells(spots, grid, level + 1).selectExpr(
-                "* EXCEPT (w)", f"shiftright(ci, {LEVEL_BITS}) AS pi", f"shiftright(cj, {LEVEL_BITS}) AS pj"
-            )
-            above = met.where(f"NOT ({small})").selectExpr("qlat", "qlon", "bound", "ci AS pi", "cj AS pj")
-            met = above.join(finer, ["pi", "pj"]).drop("pi", "pj")
-    return _top(_union(parts), "qlat, qlon", ["dist", *order], k)
+        crowded = met.where(f"NOT ({small})")
+        if last or crowded.isEmpty():
+            break
+        dense = crowded.select("ci", "cj").distinct()
+        under = _at(spots, grid, level, "fi", "fj", "plat", "plon").join(dense, ["ci", "cj"]).drop("ci", "cj")
+        finer = _cells(under, grid, level + 1).selectExpr(
+            "* EXCEPT (w)", f"shiftright(ci, {LEVEL_BITS}) AS pi", f"shiftright(cj, {LEVEL_BITS}) AS pj"
+        )
+        above = crowded.selectExpr("qlat", "qlon", "bound", "ci AS pi", "cj AS pj")
+        met = above.join(finer, ["pi", "pj"]).drop("pi", "pj")
+        level += 1
+    return _union(parts)

@@ -113,3 +113,20 @@ def test_hot_cell_opens_few_spots(spark):
     query = spark.createDataFrame([(40.7001, -74.0001)], "qlat double, qlon double")
     assert sp.count_within(query, hot, sp.Box(0.0005)).first()["n"] == 10000
     assert math.isclose(0.0005, sp.Box(0.0005).radius)
+
+
+def test_nearest_anywhere_with_far_outlier_opens_few_pairs(spark):
+    """4,000 sites crowd in a few metres and one lies across the globe: refinement follows the crowd."""
+    rnd = random.Random(7)
+    rows = [(i, 40.7 + rnd.random() * 1e-4, -74.0 + rnd.random() * 1e-4) for i in range(4000)] + [(4000, -33.9, 151.2)]
+    sites = spark.createDataFrame(rows, "id int, latitude double, longitude double")
+    asked = [(40.7 + rnd.random() * 1e-4, -74.0 + rnd.random() * 1e-4) for _ in range(50)] + [(-33.0, 150.0), (0.0, 0.0)]
+    spots = spark.createDataFrame(asked, "qlat double, qlon double")
+    k = 3
+    pairs = sp._nearest_pairs(spots, sites, k, ["id"], ["id"], MILES).count()
+    assert pairs <= len(asked) * 40 * sp.CELL_LIMIT // 4
+    got = sp.nearest_anywhere(spots, sites, k, ["id"], ["id"], MILES)
+    theta = spots.crossJoin(sites)
+    dist = planar(F.col("latitude"), F.col("longitude"), F.col("qlat"), F.col("qlon"), MILES)
+    want = sp._top(theta.withColumn("dist", dist), "qlat, qlon", ["dist", "id"], k)
+    assert as_set(got, "qlat", "qlon", "rn", "id", "dist") == as_set(want, "qlat", "qlon", "rn", "id", "dist")
