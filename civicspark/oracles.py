@@ -592,6 +592,28 @@ SQL.update({
             CASE WHEN reply != '' THEN 'VISUAL SCENE ANALYSIS:' || chr(10) || reply END, 'INCIDENT REPORT:' || chr(10) || text,
             chr(10) || 'Analyze this incident. Return ONLY the JSON object with category, severity, agency, summary, and confidence. No other text.') AS prompt
         FROM fx_replies""",
+    "streamed_enrichment": f"""
+        SELECT CAST(r.request_id AS BIGINT) AS request_id, {_triage(1)} AS category, {_triage(2)} AS severity,
+               w.stage, w.bbl, w.borough, h.nearest_hospital, h.nearest_hospital_mi
+        FROM fx_requests r
+        LEFT JOIN (
+            SELECT a.request_id, MIN(a.stage) AS stage, arg_min(f.bbl, a.stage) AS bbl, arg_min(f.borough, a.stage) AS borough
+            FROM (SELECT request_id, 'bbl' AS kind, bbl AS key, 1 AS stage FROM fx_requests
+                  UNION ALL SELECT request_id, 'bin', bin, 2 FROM fx_requests
+                  UNION ALL SELECT request_id, 'addr', UPPER(TRIM(address)), 3 FROM fx_requests) a
+            JOIN (
+                SELECT kind, key, bbl, borough FROM (
+                    SELECT 'bbl' AS kind, bbl AS key, bbl, borough, ROW_NUMBER() OVER (PARTITION BY bbl ORDER BY bin NULLS FIRST) AS rn
+                    FROM px_clean WHERE bbl IS NOT NULL AND bbl != ''
+                    UNION ALL
+                    SELECT 'bin', bin, bbl, borough, ROW_NUMBER() OVER (PARTITION BY bin ORDER BY bbl NULLS FIRST)
+                    FROM px_clean WHERE bin IS NOT NULL AND bin != ''
+                    UNION ALL
+                    SELECT 'addr', UPPER(address), bbl, borough, ROW_NUMBER() OVER (PARTITION BY UPPER(address) ORDER BY bbl NULLS FIRST)
+                    FROM px_clean WHERE address IS NOT NULL AND UPPER(address) != '')
+                WHERE rn = 1) f ON a.kind = f.kind AND a.key = f.key
+            WHERE a.key IS NOT NULL AND a.key != '' GROUP BY a.request_id) w ON r.request_id = w.request_id
+        LEFT JOIN px_hospital h ON w.bbl = h.bbl""",
     "streamed_triage": f"SELECT doc_id, {_triage(1)} AS category, {_triage(2)} AS severity FROM documents",
 })
 

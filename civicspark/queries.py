@@ -30,6 +30,7 @@ from .session import ensure_checkpoint_dir
 from .sources import conform as cf
 from .sources import sinks
 from .sources.coded import load_coded
+from .streaming import lookup as lk
 from .streaming import reports as st
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -731,3 +732,27 @@ def search_prompts(spark, d):
 def streamed_triage(spark, d):
     """All documents as a stream of reports: duplicates dropped, rules applied, written per micro-batch."""
     return st.triage_once(spark, f"{d}/documents*.parquet", "doc_id BIGINT, text STRING").select("doc_id", "category", "severity")
+
+
+@query
+def streamed_enrichment(spark, d):
+    """Requests as a stream of files with resends, one file a micro-batch: resends within an hour of event time are
+    dropped, rules applied, and each batch enriched from the persisted lookup (bbl, bin, exact address; nearest
+    hospital of the building), which is built once before the stream starts."""
+    root = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    reqs = fx.relation(spark, d, "fx_requests").withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("request_id")))
+    schema = "request_id BIGINT, bbl STRING, bin STRING, address STRING, latitude DOUBLE, longitude DOUBLE, text STRING, ts TIMESTAMP"
+    reqs = reqs.selectExpr("CAST(request_id AS BIGINT) AS request_id", "bbl", "bin", "address", "latitude", "longitude", "text", "ts")
+    for part in range(3):
+        reqs.where(f"request_id % 3 = {part}").write.parquet(f"{root}/in/part={part}")
+    # sent again ten minutes later: within the watermark, so dropped
+    again = reqs.where("request_id % 7 = 0").withColumn("ts", F.col("ts") + F.expr("INTERVAL 10 MINUTES"))
+    again.write.parquet(f"{root}/in/part=9")
+    facts = lk.Lookup(spark, f"{root}/lookup")
+    facts.refresh(clean_buildings(spark, d), nearest_hospital(spark, d))
+    stream = st.without_resends(st.read_reports(spark, f"{root}/in/*", schema, files_per_trigger=1), "request_id", "ts", "1 hour")
+    run = st.start(stream, lk.enrich(facts), f"{root}/out", f"{root}/state", once=True)
+    run.awaitTermination()
+    if run.exception() is not None:
+        raise run.exception()
+    return spark.read.parquet(f"{root}/out/result").drop("batch_id")
