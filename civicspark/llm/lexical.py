@@ -101,7 +101,9 @@ def index(documents: DataFrame, asked: DataFrame, rows: int) -> tuple[DataFrame,
     # one folder per reading band: a round reads the bands it needs and no other file
     spark = placed.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/{spark.sparkContext.applicationId}/lexical-index-{uuid.uuid4().hex}"
-    placed.write.partitionBy("band").parquet(path)
+    # files hold the postings of a range of documents: the sums per (query, document) of a round combine within
+    # each scan task before the shuffle, over all terms of the document in that band
+    placed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id").write.partitionBy("band").parquet(path)
     laid = spark.read.schema(placed.schema).parquet(path)
     longest = weights.agg(F.max("df")).first()[0] or 0
     return laid, int(longest)
@@ -125,24 +127,35 @@ def _round(postings: DataFrame, asked: DataFrame, depth: int, top: int, small: b
         F.sum(F.col("q") * F.col("impact")).alias("lb"), F.sum(F.col("q") * F.col("thr")).alias("seen_thr")
     )
     unseen = lists.groupBy("item").agg(F.sum(F.col("q") * F.col("thr")).alias("u0"))
-    bounds = bounds.join(unseen, "item").withColumn("ub", F.col("lb") + F.col("u0") - F.col("seen_thr"))
-    bounds = written(bounds, "lexical-bounds")
+    # not written: only the first rows by lower and by upper bound are used, each cut per task before its shuffle,
+    # and the exchange of the sums is shared by both
+    bounds = bounds.join(F.broadcast(unseen) if small else unseen, "item").withColumn(
+        "ub", F.col("lb") + F.col("u0") - F.col("seen_thr")
+    )
     doc = F.coalesce(F.col("doc_id"), F.lit(SMALLEST))
-    best = (
-        bounds.where("lb > 0")
-        .withColumn("rank", F.row_number().over(Window.partitionBy("item").orderBy(F.col("lb").desc(), doc)))
-        .where(F.col("rank") <= top)
+    by_lower = Window.partitionBy("item").orderBy(F.col("lb").desc(), doc)
+    by_upper = Window.partitionBy("item").orderBy(F.col("ub").desc(), doc)
+    columns = ["item", "doc_id", "lb", "ub"]
+    # one job writes both short lists: the exchange of the sums is planned once and read by both
+    picked = written(
+        bounds.where("lb > 0").withColumn("rank", F.row_number().over(by_lower)).where(F.col("rank") <= top)
+        .select(*columns, "rank", F.lit(0).alias("kind"))
+        .unionByName(
+            bounds.withColumn("rank", F.row_number().over(by_upper)).where(F.col("rank") <= top + 1)
+            .select(*columns, "rank", F.lit(1).alias("kind"))
+        ),
+        "lexical-picked",
     )
+    best = picked.where("kind = 0")
     others = (
-        bounds.withColumn("_r", F.row_number().over(Window.partitionBy("item").orderBy(F.col("ub").desc(), doc)))
-        .where(F.col("_r") <= top + 1)
+        picked.where("kind = 1")
         .alias("o")
         .join(
             best.select("item", "doc_id").alias("b"),
             (F.col("o.item") == F.col("b.item")) & F.col("o.doc_id").eqNullSafe(F.col("b.doc_id")),
             "left_anti",
         )
-        .withColumn("_o", F.row_number().over(Window.partitionBy("item").orderBy(F.col("ub").desc(), doc)))
+        .withColumn("_o", F.row_number().over(by_upper))
         .where("_o = 1")
         .select("item", F.col("ub").alias("o_ub"), F.coalesce(F.col("doc_id"), F.lit(SMALLEST)).alias("o_doc"))
     )
