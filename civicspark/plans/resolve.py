@@ -11,7 +11,7 @@ from ..functions.scalars import FEET
 from ..operators import spatial as sp
 from ..operators.ranking import first_per_key
 from ..operators.staging import together
-from ..operators.substring import containing
+from ..operators.substring import containing, shortest_containing
 
 NEAR_BOX = sp.Box(500 / 364000.0, strict=False)
 STAGES = ["bbl", "bin", "address", "part of address", "nearest"]
@@ -47,7 +47,7 @@ def resolve(requests: DataFrame, buildings: DataFrame, columns: list[str]) -> Da
     placed = req.where("qlat != 0 AND qlon != 0").select("request_id", "qlat", "qlon")
     sites = rows.where("latitude IS NOT NULL AND latitude != 0").select("latitude", "longitude", "b")
     pairs, near = together(
-        lambda: containing(open_patterns, by_address.selectExpr("k AS entry")),
+        lambda: shortest_containing(open_patterns, by_address.selectExpr("k AS entry"), 1),
         lambda: sp.nearest_within(placed.select("qlat", "qlon").distinct(), sites, NEAR_BOX, 1, ["b.bbl"], ["b"], FEET),
     )
     # Equal addresses share their length, so the smallest bbl per address is enough to break ties.
