@@ -115,14 +115,36 @@ def query_terms(queries: DataFrame, key: str) -> DataFrame:
     return words.groupBy("item", "term").agg(F.count(F.lit(1)).alias("q"))
 
 
-def _round(postings: DataFrame, asked: DataFrame, depth: int, top: int, small: bool) -> DataFrame:
-    """Bounds after reading ``depth`` postings of each term: per open query its best ``top`` and whether settled."""
+def _side(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def _round(postings: DataFrame, asked: DataFrame, depth: int, top: int, small: bool, cand: tuple[DataFrame, int] | None):
+    """Bounds after reading ``depth`` postings of each term: per open query its best ``top``, whether settled, and
+    whether closed (no unseen document can reach its ``top``-th score); and the bounds themselves, unwritten.
+
+    ``cand`` holds (item, _d) for closed queries: only these documents are joined for them, as no other can enter.
+    """
     read = postings.where(F.col("band") <= _band_of_depth(depth)).where(F.col("pos") < depth)
+    read = read.select("term", "doc_id", "impact", F.coalesce(F.col("doc_id"), F.lit(SMALLEST)).alias("_d"))
     thresholds = postings.where(F.col("band") <= _band_of_depth(depth)).where(F.col("pos") == depth - 1)
     lists = asked.join(thresholds.select("term", F.col("impact").alias("thr")), "term", "left").fillna(0, ["thr"])
     lists = written(lists, "lexical-lists")
-    side = F.broadcast(lists) if small else lists
-    seen = read.select("term", "doc_id", "impact").join(side, "term")
+    if cand is None:
+        seen = read.join(F.broadcast(lists) if small else lists, "term")
+    else:
+        pairs, rows = cand
+        closed = pairs.select("item").distinct()
+        open_lists = lists.join(F.broadcast(closed), "item", "left_anti")
+        closed_lists = lists.join(F.broadcast(closed), "item", "left_semi")
+        # a closed query meets only its candidates: the postings are cut to their documents before any join
+        docs = pairs.select("_d").distinct()
+        closed_part = (
+            read.join(_side(docs, rows), "_d", "left_semi")
+            .join(F.broadcast(closed_lists) if small else closed_lists, "term")
+            .join(_side(pairs, rows), ["item", "_d"], "left_semi")
+        )
+        seen = read.join(F.broadcast(open_lists) if small else open_lists, "term").unionByName(closed_part)
     bounds = seen.groupBy("item", "doc_id").agg(
         F.sum(F.col("q") * F.col("impact")).alias("lb"), F.sum(F.col("q") * F.col("thr")).alias("seen_thr")
     )
@@ -173,9 +195,15 @@ def _round(postings: DataFrame, asked: DataFrame, depth: int, top: int, small: b
     )
     few = (F.coalesce(F.col("k"), F.lit(0)) < top) & (F.col("u0") == 0) & (F.coalesce(F.col("o_ub"), F.lit(0)) == 0)
     settled = F.coalesce(F.col("exact"), F.lit(True)) & (full | few)
-    states = written(items.select("item", F.coalesce(settled, F.lit(False)).alias("settled")), "lexical-states")
+    closing = (F.col("k") == top) & (F.col("u0") < F.col("lb_k"))
+    states = written(
+        items.select(
+            "item", F.coalesce(settled, F.lit(False)).alias("settled"), F.coalesce(closing, F.lit(False)).alias("closed"), "lb_k"
+        ),
+        "lexical-states",
+    )
     found = best.join(states.where("settled"), "item").select("item", "rank", "doc_id", F.col("lb").alias("score"))
-    return written(found, "lexical-found"), states
+    return written(found, "lexical-found"), states, bounds
 
 
 def search(documents: DataFrame, queries: DataFrame, key: str = "item_id", top: int = TOP) -> DataFrame:
@@ -185,15 +213,31 @@ def search(documents: DataFrame, queries: DataFrame, key: str = "item_id", top:
     distinct = written(asked.select("term").distinct(), "lexical-terms")
     postings, longest = index(documents, distinct, distinct.count())
     found, depth = [], FIRST_DEPTH
-    open_items = asked
+    open_items, cand = asked, None
     while True:
-        got, states = _round(postings, open_items, depth, top, small)
+        got, states, bounds = _round(postings, open_items, depth, top, small, cand)
         found.append(got)
         if depth >= longest:
             break
         still = states.where("not settled").select("item")
         if still.isEmpty():
             break
+        # queries that closed in this round keep, from now on, the documents whose upper bound reaches their
+        # top-th lower bound; bounds only narrow, so no other document can come back
+        known = cand[0].select("item").distinct() if cand else None
+        newly = states.where("closed AND NOT settled").select("item", "lb_k")
+        if known is not None:
+            newly = newly.join(known, "item", "left_anti")
+        newly = written(newly, "lexical-closing")
+        if not newly.isEmpty():
+            picked = bounds.join(F.broadcast(newly), "item").where(F.col("ub") >= F.col("lb_k"))
+            more = picked.select("item", F.coalesce(F.col("doc_id"), F.lit(SMALLEST)).alias("_d"))
+            kept = cand[0].join(still, "item", "left_semi") if cand else None
+            pairs = written(more if kept is None else kept.unionByName(more), "lexical-candidates")
+            cand = (pairs, pairs.count())
+        elif cand:
+            pairs = written(cand[0].join(still, "item", "left_semi"), "lexical-candidates")
+            cand = (pairs, pairs.count())
         open_items = written(asked.join(still, "item", "left_semi"), "lexical-open")
         depth *= GROWTH
     out = found[0]

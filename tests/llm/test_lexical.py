@@ -43,3 +43,13 @@ def test_search_odd_input(spark):
     assert res == want
     assert {r[0] for r in res} == {1, 2, 5, 6}
     assert lexical.search(docs.where("false"), bench).count() == 0
+
+
+def test_search_with_shallow_rounds_and_pruning(spark, monkeypatch):
+    """Depths of 2, 4, 8, ...: queries close early and read only their candidates for many rounds."""
+    monkeypatch.setattr(lexical, "FIRST_DEPTH", 2)
+    monkeypatch.setattr(lexical, "GROWTH", 2)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    want = oracle(docs.toPandas(), bench.toPandas())
+    assert got(lexical.search(docs, bench)) == want
