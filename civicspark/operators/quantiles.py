@@ -3,7 +3,8 @@
 The value at a 0-based rank is found by narrowing: values are counted per distinct value, spread over ``BINS`` equal
 bins between the group's extremes, and only the bin that holds the wanted rank is looked into, again and again until
 it holds at most ``SMALL`` distinct values. So no more than that are ever sorted as a whole, whatever their
-distribution, and copies of a value cost one row. Bins at the limit of the number format hold one value each.
+distribution, and copies of a value cost one row. Infinities and NaN have bins of their own; spans are taken from
+halves of the extremes, so values across the whole double range narrow as well.
 """
 
 from __future__ import annotations
@@ -23,14 +24,32 @@ def weigh(df: DataFrame, groups: list[str], value: str) -> DataFrame:
     return df.where(F.col(value).isNotNull()).groupBy(*groups, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("m"))
 
 
+def _finite(v: Column) -> Column:
+    return ~F.isnan(v) & (v != F.lit(float("inf"))) & (v != F.lit(float("-inf")))
+
+
+def _slot(v: Column, lo: Column, hi: Column) -> Column:
+    """Bin of a value in Spark's order: -inf is bin 0, finite values 1 to BINS (equal widths between the finite
+    extremes, taken from halves so that no span overflows), +inf BINS + 1 and NaN BINS + 2. Each round moves the
+    smallest and the largest finite value apart, so narrowing always ends."""
+    span = hi / 2 - lo / 2
+    inner = F.when(span > 0, F.least(F.floor((v / 2 - lo / 2) / span * F.lit(BINS)), F.lit(BINS - 1))).otherwise(F.lit(0))
+    return (
+        F.when(F.isnan(v), F.lit(BINS + 2))
+        .when(v == F.lit(float("inf")), F.lit(BINS + 1))
+        .when(v == F.lit(float("-inf")), F.lit(0))
+        .otherwise(inner + 1)
+    )
+
+
 def _narrow(values: DataFrame, keys: list[str]) -> DataFrame:
     """Keep, per key, the bin in which the wanted rank falls, and make the rank relative to that bin."""
-    limits = values.groupBy(*keys).agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    width = (F.col("hi") - F.col("lo")) / F.lit(BINS)
-    slot = F.when(width > 0, F.least(F.floor((F.col("v") - F.col("lo")) / width), F.lit(BINS - 1))).otherwise(F.lit(0))
+    finite = F.when(_finite(F.col("v")), F.col("v"))
+    limits = values.groupBy(*keys).agg(F.min(finite).alias("lo"), F.max(finite).alias("hi"))
+    slot = _slot(F.col("v"), F.col("lo"), F.col("hi"))
     binned = join_same(values, limits, keys).withColumn("bin", slot.cast("int")).drop("lo", "hi")
     sums = binned.groupBy(*keys, "rank", "bin").agg(F.sum("m").alias("size"))
-    upto = F.sum("size").over(Window.partitionBy(*keys).orderBy("bin"))  # at most BINS rows per key
+    upto = F.sum("size").over(Window.partitionBy(*keys).orderBy("bin"))  # at most BINS + 3 rows per key
     wanted = (
         sums.withColumn("below", upto - F.col("size"))
         .where((F.col("below") <= F.col("rank")) & (F.col("rank") < F.col("below") + F.col("size")))

@@ -109,3 +109,19 @@ def test_score_steps(spark):
     got = [(r.id, r.score) for r in scored.scored_top_k(df, 10, "id", 2, 3, 40.0, -74.0).collect()]
     assert got == [(1, 6.0), (3, 3.5), (2, 3.0)]
     assert [r.id for r in scored.scored_top_k(df, 10, "id", 2, 0, 0.0, -74.0).collect()] == [1, 2]
+
+
+def test_values_at_ends_on_infinities_nan_and_the_whole_range(spark, monkeypatch):
+    from civicspark.operators import quantiles as qn
+
+    monkeypatch.setattr(qn, "SMALL", 10)
+    base = [float(i) for i in range(50)]
+    for extra in ([float("inf")], [float("nan")], [-1.7e308, 1.7e308], [float("-inf"), float("nan"), float("inf"), 5e-324]):
+        values = base + extra
+        df = spark.createDataFrame([("g", v) for v in values], "g string, x double")
+        ranks = {f"r{i}": F.lit(i) for i in range(0, len(values), 7)}
+        got = {r.pick: r.v for r in qn.values_at(df, ["g"], "x", ranks).collect()}
+        order = sorted(values, key=lambda v: (v != v, v))
+        for name, i in ((n, int(n[1:])) for n in ranks):
+            want = order[i]
+            assert (got[name] != got[name] and want != want) or got[name] == want
