@@ -517,6 +517,13 @@ SQL.update({
             SELECT r.request_id AS search_id, b.bbl, b.address, ROW_NUMBER() OVER (PARTITION BY r.request_id ORDER BY LENGTH(b.address), b.bbl) AS rn
             FROM fx_requests r JOIN px_buildings b ON UPPER(b.address) LIKE '%' || UPPER(r.address) || '%'
             WHERE r.address != '' AND (r.request_id % 2 != 0 OR UPPER(b.borough) = 'QUEENS')) WHERE rn <= 10""",
+    "history_totals": """
+        SELECT l.request_id, (SELECT COUNT(*) FROM px_fire f WHERE l.latitude != 0 AND l.longitude != 0 AND f.latitude IS NOT NULL AND f.latitude != 0 AND f.latitude BETWEEN l.latitude - 0.003e0 AND l.latitude + 0.003e0 AND f.longitude BETWEEN l.longitude - 0.003e0 AND l.longitude + 0.003e0) AS fire_total,
+               (SELECT COUNT(*) FROM fx_ems_incidents f WHERE l.latitude != 0 AND l.longitude != 0 AND f.latitude IS NOT NULL AND f.latitude != 0 AND f.latitude BETWEEN l.latitude - 0.002e0 AND l.latitude + 0.002e0 AND f.longitude BETWEEN l.longitude - 0.002e0 AND l.longitude + 0.002e0) AS ems_total,
+               (SELECT COUNT(*) FROM fx_nypd_complaints f WHERE l.latitude != 0 AND l.longitude != 0 AND f.latitude IS NOT NULL AND f.latitude != 0 AND f.latitude BETWEEN l.latitude - 0.002e0 AND l.latitude + 0.002e0 AND f.longitude BETWEEN l.longitude - 0.002e0 AND l.longitude + 0.002e0) AS nypd_total,
+               (SELECT COUNT(*) FROM fx_hpd_violations f WHERE f.bin = l.bin AND l.bin != '') AS hpd_total,
+               (SELECT COUNT(*) FROM fx_dob_violations f WHERE f.bin = l.bin AND l.bin != '') AS dob_total
+        FROM px_located_keys l""",
     "incident_history": "SELECT * FROM px_history_keys",
     "nearby_resources": " UNION ALL ".join([
         _near("hospitals", "px_hospitals", "facility_name", ("69.0e0", "54.6e0"), None, 3, 2),

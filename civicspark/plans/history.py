@@ -148,6 +148,35 @@ def source_counts(entries: DataFrame) -> DataFrame:
     )
 
 
+TOTALS = ["fire_total", "ems_total", "nypd_total", "hpd_total", "dob_total"]
+
+
+def full_counts(located: DataFrame, t: Tables) -> DataFrame:
+    """Entries per request and kind of source before any cut, beside :func:`source_counts` of the shown history:
+    (request_id, fire_total, ems_total, nypd_total, hpd_total, dob_total).
+
+    Boxes are counted by cell aggregates (:func:`spatial.count_within`: a cell inside a box is counted whole, no pair
+    is made), keys by one count per key; the counts of all sources are stacked and folded in one aggregation.
+    """
+    placed = located.where("latitude != 0 AND longitude != 0").selectExpr("request_id", "latitude AS qlat", "longitude AS qlon")
+    spots = placed.select("qlat", "qlon").distinct()
+    keyed = located.where("bin IS NOT NULL AND bin != ''").select("request_id", "bin")
+    parts = []
+    for name, table, box in (("fire_total", t.fire, FIRE_BOX), ("ems_total", t.ems, EMS_BOX), ("nypd_total", t.nypd, NYPD_BOX)):
+        if table is not None:
+            n = sp.count_within(spots, table.where("latitude IS NOT NULL AND latitude != 0"), box)
+            parts.append(placed.join(n, ["qlat", "qlon"]).selectExpr("request_id", f"'{name}' AS total", "n"))
+    for name, table in (("hpd_total", t.hpd), ("dob_total", t.dob)):
+        if table is not None:
+            n = table.join(keyed.select("bin").distinct(), "bin", "left_semi").groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
+            parts.append(keyed.join(n, "bin").selectExpr("request_id", f"'{name}' AS total", "n"))
+    sums = [F.coalesce(F.sum(F.when(F.col("total") == c, F.col("n"))), F.lit(0)).cast("long").alias(c) for c in TOTALS]
+    if not parts:
+        return located.select("request_id", *[F.lit(0).cast("long").alias(c) for c in TOTALS])
+    folded = reduce(lambda a, b: a.unionByName(b), parts).groupBy("request_id").agg(*sums)
+    return located.select("request_id").join(folded, "request_id", "left").na.fill(0, TOTALS)
+
+
 def _nearest(located: DataFrame, found: DataFrame, kind: str, name: str, decimals: int) -> DataFrame:
     asked = located.where("latitude != 0 AND longitude != 0").selectExpr("request_id", "latitude AS qlat", "longitude AS qlon")
     return asked.join(found, ["qlat", "qlon"]).selectExpr(

@@ -537,6 +537,15 @@ def history_tables(spark, d):
     return hs.Tables(rel["service_requests_311"], rel["hpd_violations"], dob(spark, d), fire(spark, d), rel["ems_incidents"], rel["nypd_complaints"])
 
 
+@query
+def history_totals(spark, d):
+    """Per request, the entries of each source before the history cuts them to its limits."""
+    req = fx.relation(spark, d, "fx_requests")
+    resolved = rs.resolve(req, stored_buildings(spark, d), ["bbl", "bin", "address"])
+    located = written(hs.locate(req, resolved), "located")
+    return hs.full_counts(located, history_tables(spark, d))
+
+
 @query
 def incident_history(spark, d):
     req = fx.relation(spark, d, "fx_requests")
