@@ -42,6 +42,7 @@ TOP = 20
 FIRST_DEPTH = 64
 GROWTH = 4
 BROADCAST_ROWS = 2_000_000  # query terms sent whole to every task only below this count
+CANDIDATE_ROWS = 250_000  # candidate (query, document) pairs sent whole to every task only below this count
 SMALLEST = -(1 << 63)
 
 
@@ -116,7 +117,8 @@ def query_terms(queries: DataFrame, key: str) -> DataFrame:
 
 
 def _side(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+    """Candidate pairs (two longs a row) go whole to each task only up to CANDIDATE_ROWS."""
+    return F.broadcast(df) if rows <= CANDIDATE_ROWS else df
 
 
 def _round(postings: DataFrame, asked: DataFrame, depth: int, top: int, small: bool, cand: tuple[DataFrame, int] | None):
@@ -138,11 +140,8 @@ def _round(postings: DataFrame, asked: DataFrame, depth: int, top: int, small: b
         open_lists = lists.join(F.broadcast(closed), "item", "left_anti")
         closed_lists = lists.join(F.broadcast(closed), "item", "left_semi")
         # a closed query meets only its candidates: the postings are cut to their documents before any join
-        docs = pairs.select("_d").distinct()
-        closed_part = (
-            read.join(_side(docs, rows), "_d", "left_semi")
-            .join(F.broadcast(closed_lists) if small else closed_lists, "term")
-            .join(_side(pairs, rows), ["item", "_d"], "left_semi")
+        closed_part = read.join(_side(pairs, rows), "_d").join(
+            F.broadcast(closed_lists) if small else closed_lists, ["item", "term"]
         )
         seen = read.join(F.broadcast(open_lists) if small else open_lists, "term").unionByName(closed_part)
     bounds = seen.groupBy("item", "doc_id").agg(
@@ -198,7 +197,8 @@ def _round(postings: DataFrame, asked: DataFrame, depth: int, top: int, small: b
     closing = (F.col("k") == top) & (F.col("u0") < F.col("lb_k"))
     states = written(
         items.select(
-            "item", F.coalesce(settled, F.lit(False)).alias("settled"), F.coalesce(closing, F.lit(False)).alias("closed"), "lb_k"
+            "item", F.coalesce(settled, F.lit(False)).alias("settled"), F.coalesce(closing, F.lit(False)).alias("closed"), "lb_k",
+            "doc_k",
         ),
         "lexical-states",
     )
@@ -225,13 +225,17 @@ def search(documents: DataFrame, queries: DataFrame, key: str = "item_id", top:
         # queries that closed in this round keep, from now on, the documents whose upper bound reaches their
         # top-th lower bound; bounds only narrow, so no other document can come back
         known = cand[0].select("item").distinct() if cand else None
-        newly = states.where("closed AND NOT settled").select("item", "lb_k")
+        newly = states.where("closed AND NOT settled").select("item", "lb_k", "doc_k")
         if known is not None:
             newly = newly.join(known, "item", "left_anti")
         newly = written(newly, "lexical-closing")
         if not newly.isEmpty():
-            picked = bounds.join(F.broadcast(newly), "item").where(F.col("ub") >= F.col("lb_k"))
-            more = picked.select("item", F.coalesce(F.col("doc_id"), F.lit(SMALLEST)).alias("_d"))
+            # a document that ranks after the top-th even at its upper bound (lower score, or the same score and a
+            # larger id) can never enter: ties of many copies do not stay candidates
+            d = F.coalesce(F.col("doc_id"), F.lit(SMALLEST))
+            reach = (F.col("ub") > F.col("lb_k")) | ((F.col("ub") == F.col("lb_k")) & (d <= F.col("doc_k")))
+            picked = bounds.join(F.broadcast(newly), "item").where(reach)
+            more = picked.select("item", d.alias("_d"))
             kept = cand[0].join(still, "item", "left_semi") if cand else None
             pairs = written(more if kept is None else kept.unionByName(more), "lexical-candidates")
             cand = (pairs, pairs.count())
