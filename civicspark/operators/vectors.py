@@ -1,13 +1,24 @@
 """Exact cosine top-n between two large vector tables.
 
-Every vector is assigned to one of at most ``PIVOTS`` pivots. By the triangle inequality on angles, a query can skip
-all vectors of a pivot whose best possible cosine is below a cosine that n other vectors are known to reach. What is
-left is compared block against block (at most ``BLOCK`` rows a side) as one matrix product per task; a block hands on
-at most n rows per query. So no pair is ever a row, and no pivot, however crowded, lands in one task.
+About sqrt(rows) corpus vectors are drawn as pivots (at most ``PIVOTS``, and no more than ``PIVOT_BYTES`` of them) and
+every corpus vector is assigned to its nearest pivot; a cell holds the vectors of one pivot and one filter value. A
+query is answered in two passes. The first compares it with the cells of its nearest pivots until they hold n rows,
+which gives a true n-th best cosine; the second compares it only with the other cells whose best possible cosine
+(triangle inequality on angles) reaches that bound. Compared rows go block against block (at most ``BLOCK`` rows a
+side) as one matrix product per task; a block hands on at most n rows per query. So no pair is ever a row, and no
+pivot, however crowded, lands in one task. The table of cells (filter values x pivots rows) reaches the tasks as a
+broadcast when it has at most ``CELL_ROWS`` rows (a checked size), else by a join on the filter value. The pivots
+decide only how much is compared: results are exact either way.
+
+Ties: the cosines handed on are computed again pair by pair with one formula and rounded to ``PLACES`` places, so that
+equal vectors score equally in whichever block they meet; equal scores end by the smaller corpus id. Rows without a
+vector, or whose filter value is null, take no part.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -15,10 +26,15 @@ from pyspark.sql import functions as F
 
 from .staging import written
 
-PIVOTS = 32
+PIVOTS = 1 << 16  # upper bound on the number of pivots; about sqrt(rows) are drawn
+PIVOT_BYTES = 32 << 20  # the pivots, shipped to every task as one broadcast, stay below this
+MIN_CELL = 256  # a cell of fewer rows is not worth a pivot of its own
+CELL_ROWS = 1 << 20  # the table of cells is broadcast up to this many rows, else joined by filter value
 BLOCK = 2048
 SLACK = 1e-6
-PLACES = 12  # products of equal vectors may differ in the last bits from block to block
+TIE = 1e-9  # cosines this close to the n-th of a block are re-scored too
+PLACES = 12
+GATHER_BYTES = 16 << 20  # re-scoring gathers at most this much of vectors at once
 
 
 def _unit(column: pd.Series) -> np.ndarray:
@@ -31,6 +47,59 @@ def _angles(units: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(units @ pivots.T, -1.0, 1.0))
 
 
+def _best_of_block(qs: pd.DataFrame, cs: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k best corpus rows of each query in one block: matrix product to find them, one formula per pair to score."""
+    cs = cs.sort_values("corpus_id", kind="stable")
+    qu, cu = _unit(qs["vector"]), _unit(cs["vector"])
+    sims = qu @ cu.T
+    k = min(k, sims.shape[1])
+    kth = -np.partition(-sims, k - 1, axis=1)[:, k - 1]
+    rows, cols = np.nonzero(sims >= (kth - TIE)[:, None])
+    step = max(1, GATHER_BYTES // (8 * max(1, qu.shape[1])))
+    exact = np.concatenate([
+        np.einsum("ij,ij->i", qu[rows[i:i + step]], cu[cols[i:i + step]]) for i in range(0, len(rows), step)
+    ]) if len(rows) else np.zeros(0)
+    exact = np.round(exact, PLACES)
+    order = np.lexsort((cols, -exact, rows))
+    rows, cols, exact = rows[order], cols[order], exact[order]
+    keep = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left") < k
+    return pd.DataFrame({
+        "query_id": qs["query_id"].to_numpy()[rows[keep]],
+        "corpus_id": cs["corpus_id"].to_numpy()[cols[keep]],
+        "cosine": exact[keep],
+    })
+
+
+def _scan(probes: DataFrame, c: DataFrame, cells: DataFrame, need: int, q_type: str, id_type: str) -> DataFrame:
+    """Compare each probe (query_id, vector, tag, cells array<struct<cell, parts>>) with the rows of its cells."""
+    probes = probes.select("query_id", "vector", "tag", F.explode("cells").alias("x")).select(
+        "query_id", "vector", "tag", "x.cell", F.explode(F.sequence(F.lit(0), F.col("x.parts") - 1)).alias("part")
+    )
+    blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
+    load = probes.groupBy("tag", "cell", "part").agg(F.count(F.lit(1)).alias("asked"))
+    slices = F.ceil(F.col("asked") / F.lit(BLOCK)).cast("int")
+    plan = load.select("tag", "cell", "part", slices.alias("slices"))
+    left = probes.join(plan, ["tag", "cell", "part"]).withColumn(
+        "slice", F.pmod(F.xxhash64("query_id"), F.col("slices")).cast("int")
+    ).drop("slices")
+    right = c.join(cells.select("tag", "cell", blocks.alias("parts")), ["tag", "cell"]).withColumn(
+        "part", F.pmod(F.xxhash64("corpus_id"), F.col("parts")).cast("int")
+    )
+    right = right.join(plan, ["tag", "cell", "part"]).withColumn(
+        "slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))
+    ).select("corpus_id", "vector", "tag", "cell", "part", "slice")
+
+    def compare(qs: pd.DataFrame, cs: pd.DataFrame) -> pd.DataFrame:
+        if qs.empty or cs.empty:
+            return pd.DataFrame({"query_id": [], "corpus_id": [], "cosine": []})
+        return _best_of_block(qs, cs, need)
+
+    group = ["tag", "cell", "part", "slice"]
+    return left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(
+        compare, f"query_id {q_type}, corpus_id {id_type}, cosine double"
+    )
+
+
 def cosine_top_n(
     queries: DataFrame, corpus: DataFrame, n: int, filter_column: str | None = None, id_type: str = "bigint",
     skip_self: bool = False,
@@ -40,97 +109,98 @@ def cosine_top_n(
     ``queries`` has (query_id, vector[, filter]), ``corpus`` has (corpus_id, vector[, filter]). With a filter column
     only rows of equal value are compared.
     """
+    spark = queries.sparkSession
     tag = filter_column or "_all"
-    # Without a filter every row has tag 0, written so that the optimizer cannot fold the join key away.
+    # Without a filter every row has tag 0, written so that the optimizer cannot fold the tag away.
     q = queries if filter_column else queries.withColumn(tag, F.expr("int(isnull(query_id))"))
     c = corpus if filter_column else corpus.withColumn(tag, F.expr("int(isnull(corpus_id))"))
-    q = q.where(F.col("vector").isNotNull()).select("query_id", "vector", F.col(tag).alias("tag"))
-    c = c.where(F.col("vector").isNotNull()).select("corpus_id", "vector", F.col(tag).alias("tag"))
+    q = q.where(F.col("vector").isNotNull() & F.col(tag).isNotNull()).select("query_id", "vector", F.col(tag).alias("tag"))
+    c = c.where(F.col("vector").isNotNull() & F.col(tag).isNotNull()).select("corpus_id", "vector", F.col(tag).alias("tag"))
     tag_type = c.schema["tag"].dataType.simpleString()
     vec_type = c.schema["vector"].dataType.simpleString()
+    q_type = q.schema["query_id"].dataType.simpleString()
+    need = n + 1 if skip_self else n
 
-    # One pivot per block of corpus rows: a corpus of a block or less needs no pruning.
-    wanted = max(1, min(PIVOTS, -(-c.count() // BLOCK)))
-    chosen = c.select("vector").orderBy(F.xxhash64("corpus_id"), "corpus_id").limit(wanted).collect()  # <= PIVOTS rows
+    facts = c.agg(F.count(F.lit(1)).alias("rows"), F.max(F.size("vector")).alias("dim")).first()  # one row
+    rows, dim = facts["rows"], max(1, facts["dim"] or 1)
+    wanted = max(1, min(PIVOTS, math.isqrt(rows) + 1, -(-rows // MIN_CELL), PIVOT_BYTES // (8 * dim)))
+    chosen = c.select("vector").orderBy(F.xxhash64("corpus_id"), "corpus_id").limit(wanted).collect()  # <= wanted rows
     if not chosen:
         return q.limit(0).select(
             "query_id", F.lit(None).cast(id_type).alias("corpus_id"), F.lit(0.0).alias("cosine"), F.lit(1).alias("rn")
         )
-    pivots = _unit(pd.Series([r.vector for r in chosen]))
+    pivots = spark.sparkContext.broadcast(_unit(pd.Series([r.vector for r in chosen])))
 
     def assign(batches):
         for pdf in batches:
-            angle = _angles(_unit(pdf["vector"]), pivots)
+            angle = _angles(_unit(pdf["vector"]), pivots.value)
             best = angle.argmin(axis=1)
             pdf["cell"] = best.astype("int32")
             pdf["angle"] = angle[np.arange(len(best)), best]
             yield pdf
 
-    c = c.mapInPandas(assign, f"corpus_id {id_type}, vector {vec_type}, tag {tag_type}, cell int, angle double")
-    cells = c.groupBy("tag", "cell").agg(F.count(F.lit(1)).alias("size"), F.max("angle").alias("spread"))
-    cells = written(cells, "cells")
-    blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
-    # At most PIVOTS cells per tag value, kept as one array so that a query row can weigh them on the spot.
-    by_tag = cells.groupBy("tag").agg(F.collect_list(F.struct("cell", "size", "spread", blocks.alias("parts"))).alias("cells"))
-
-    need = n + 1 if skip_self else n
-
-    def reachable(batches):
+    c = written(c.mapInPandas(assign, f"corpus_id {id_type}, vector {vec_type}, tag {tag_type}, cell int, angle double"),
+                "assigned")
+    cells = written(c.groupBy("tag", "cell").agg(F.count(F.lit(1)).alias("size"), F.max("angle").alias("spread")), "cells")
+    parts = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int").alias("parts")
+    n_cells = cells.count()
+    if n_cells <= CELL_ROWS:  # checked size: at most CELL_ROWS rows of five numbers
+        table: dict = {}
+        for r in cells.select(F.col("tag").cast("string").alias("tag"), "cell", "size", "spread", parts).collect():
+            table.setdefault(r.tag, []).append((r.cell, r.size, r.spread, r.parts))
+        lookup = spark.sparkContext.broadcast({t: np.array(v, dtype=np.float64) for t, v in table.items()})
+        with_cells = lambda df: df.withColumn("_key", F.col("tag").cast("string"))
+    else:
+        lookup = None
+        by_tag = cells.groupBy("tag").agg(F.collect_list(F.struct("cell", "size", "spread", parts)).alias("_cells"))
+        with_cells = lambda df: df.join(by_tag, "tag")
+
+    def cells_of(pdf: pd.DataFrame, row: int) -> np.ndarray:
+        if lookup is not None:
+            return lookup.value.get(pdf["_key"].iat[row], np.zeros((0, 4)))
+        return np.array([(x["cell"], x["size"], x["spread"], x["parts"]) for x in pdf["_cells"].iat[row]], dtype=np.float64)
+
+    def near(angle_row: np.ndarray, table_row: np.ndarray) -> np.ndarray:
+        """Cells of the nearest pivots until they hold ``need`` rows (all cells if they hold fewer)."""
+        order = np.argsort(angle_row[table_row[:, 0].astype(int)], kind="stable")
+        at = np.searchsorted(np.cumsum(table_row[order, 1]), need)
+        return order[: at + 1]
+
+    def listed(table_row: np.ndarray, picked) -> list:
+        return [{"cell": int(table_row[i, 0]), "parts": int(table_row[i, 3])} for i in picked]
+
+    def first(batches):
         for pdf in batches:
-            angle = _angles(_unit(pdf["vector"]), pivots)
-            keep = []
-            for row, cells_of in enumerate(pdf["cells"]):
-                ids = np.array([x["cell"] for x in cells_of])
-                spread = np.array([x["spread"] for x in cells_of])
-                size = np.array([x["size"] for x in cells_of])
-                worst = np.minimum(np.pi, angle[row, ids] + spread)
-                best = np.maximum(0.0, angle[row, ids] - spread)
-                order = np.argsort(worst)
-                at = np.searchsorted(np.cumsum(size[order]), need)
-                bound = worst[order[at]] if at < len(order) else np.pi
-                keep.append([(int(x["cell"]), int(x["parts"])) for x, b in zip(cells_of, best) if b <= bound + SLACK])
-            pdf["cells"] = [[{"cell": a, "parts": b} for a, b in k] for k in keep]
-            yield pdf
-
-    q_type = q.schema["query_id"].dataType.simpleString()
-    probes = q.join(by_tag, "tag").select("query_id", "vector", "tag", "cells").mapInPandas(
-        reachable, f"query_id {q_type}, vector {vec_type}, tag {tag_type}, cells array<struct<cell:int,parts:int>>"
-    )
-    probes = written(probes, "probes").select("query_id", "vector", "tag", F.explode("cells").alias("x")).select(
-        "query_id", "vector", "tag", "x.cell", F.explode(F.sequence(F.lit(0), F.col("x.parts") - 1)).alias("part")
-    )
-    load = probes.groupBy("tag", "cell", "part").agg(F.count(F.lit(1)).alias("asked"))
-    slices = F.ceil(F.col("asked") / F.lit(BLOCK)).cast("int")
-    plan = load.select("tag", "cell", "part", slices.alias("slices"))
-    left = probes.join(plan, ["tag", "cell", "part"]).withColumn(
-        "slice", F.pmod(F.xxhash64("query_id"), F.col("slices")).cast("int")
-    ).drop("slices")
-    right = c.join(cells.select("tag", "cell", blocks.alias("parts")), ["tag", "cell"]).withColumn(
-        "part", F.pmod(F.xxhash64("corpus_id"), F.col("parts")).cast("int")
-    )
-    right = right.join(plan, ["tag", "cell", "part"]).withColumn(
-        "slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))
-    ).select("corpus_id", "vector", "tag", "cell", "part", "slice")
+            angle = _angles(_unit(pdf["vector"]), pivots.value)
+            pdf["cells"] = [listed(t, near(angle[r], t)) for r, t in ((r, cells_of(pdf, r)) for r in range(len(pdf)))]
+            yield pdf[["query_id", "vector", "tag", "cells"]]
 
-    def compare(qs: pd.DataFrame, cs: pd.DataFrame) -> pd.DataFrame:
-        if qs.empty or cs.empty:
-            return pd.DataFrame({"query_id": [], "corpus_id": [], "cosine": []})
-        cs = cs.sort_values("corpus_id")
-        sims = np.round(_unit(qs["vector"]) @ _unit(cs["vector"]).T, PLACES)
-        k = min(need, sims.shape[1])
-        top = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-        rows = np.arange(sims.shape[0])[:, None]
-        return pd.DataFrame({
-            "query_id": np.repeat(qs["query_id"].to_numpy(), k),
-            "corpus_id": cs["corpus_id"].to_numpy()[top].ravel(),
-            "cosine": sims[rows, top].ravel(),
-        })
-
-    group = ["tag", "cell", "part", "slice"]
-    found = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(
-        compare, f"query_id {q_type}, corpus_id {id_type}, cosine double"
+    def second(batches):
+        for pdf in batches:
+            angle = _angles(_unit(pdf["vector"]), pivots.value)
+            out = []
+            for r in range(len(pdf)):
+                t = cells_of(pdf, r)
+                ids = t[:, 0].astype(int)
+                bound = pdf["bound"].iat[r]
+                reach = np.pi if pd.isna(bound) else math.acos(min(1.0, max(-1.0, bound)))
+                best = np.maximum(0.0, angle[r, ids] - t[:, 2])
+                ok = best <= reach + SLACK
+                ok[near(angle[r], t)] = False
+                out.append(listed(t, np.flatnonzero(ok)))
+            pdf["cells"] = out
+            yield pdf[["query_id", "vector", "tag", "cells"]]
+
+    probe_type = f"query_id {q_type}, vector {vec_type}, tag {tag_type}, cells array<struct<cell:int,parts:int>>"
+    probes = written(with_cells(q).mapInPandas(first, probe_type), "probes")
+    found = written(_scan(probes, c, cells, need, q_type, id_type), "first")
+    nth = Window.partitionBy("query_id").orderBy(F.col("cosine").desc(), F.col("corpus_id"))
+    bounds = found.withColumn("_rn", F.row_number().over(nth)).where(F.col("_rn") == need).select(
+        F.col("query_id").alias("_q"), F.col("cosine").alias("bound")
     )
+    again = probes.drop("cells").join(bounds, probes["query_id"].eqNullSafe(bounds["_q"]), "left").drop("_q")
+    found = found.unionByName(_scan(with_cells(again).mapInPandas(second, probe_type), c, cells, need, q_type, id_type))
     if skip_self:
-        found = found.where(F.col("query_id") != F.col("corpus_id"))
+        found = found.where(~F.col("query_id").eqNullSafe(F.col("corpus_id")))
     window = Window.partitionBy("query_id").orderBy(F.col("cosine").desc(), F.col("corpus_id"))
     return found.withColumn("rn", F.row_number().over(window)).where(F.col("rn") <= n)

@@ -125,3 +125,33 @@ def test_values_at_ends_on_infinities_nan_and_the_whole_range(spark, monkeypatch
         for name, i in ((n, int(n[1:])) for n in ranks):
             want = order[i]
             assert (got[name] != got[name] and want != want) or got[name] == want
+
+
+def test_cosine_top_n_two_passes_many_pivots(spark, monkeypatch):
+    """Clustered vectors over many small cells, copies among them: exact, ties by id, same by broadcast or join."""
+    monkeypatch.setattr(vectors, "BLOCK", 16)
+    monkeypatch.setattr(vectors, "MIN_CELL", 4)
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(12, 6)) * 5
+    data = [(i, (centres[i % 12] + rng.normal(size=6) * 0.2).tolist()) for i in range(300)]
+    data += [(500 + i, data[3][1]) for i in range(25)] + [(900, [0.0] * 6), (901, None)]
+    df = spark.createDataFrame(data, "id bigint, vector array<double>")
+    q, c = df.withColumnRenamed("id", "query_id"), df.withColumnRenamed("id", "corpus_id")
+    got = {(r.query_id, r.rn): (r.corpus_id, r.cosine) for r in vectors.cosine_top_n(q, c, 3, skip_self=True).collect()}
+    monkeypatch.setattr(vectors, "CELL_ROWS", 0)
+    joined = {(r.query_id, r.rn): (r.corpus_id, r.cosine) for r in vectors.cosine_top_n(q, c, 3, skip_self=True).collect()}
+    assert joined == got
+    rows = [(i, np.array(v)) for i, v in data if v is not None]
+    for i, v in rows:
+        want = []
+        for j, w in rows:
+            if j != i:
+                nv, nw = np.linalg.norm(v), np.linalg.norm(w)
+                want.append((-round(float(v @ w / (nv * nw)) if nv and nw else 0.0, 9), j))
+        want.sort()
+        for rn, (score, j) in enumerate(want[:3], 1):
+            corpus_id, cosine = got[(i, rn)]
+            assert abs(cosine + score) < 1e-8
+            if i in (3,) or 500 <= i < 525:  # the copies: equal scores, smaller ids first
+                assert corpus_id == j
+    assert not any(k[0] == 901 for k in got)
