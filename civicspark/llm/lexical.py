@@ -68,28 +68,34 @@ def _band_of_depth(depth: int) -> int:
     return b
 
 
-def lengths(documents: DataFrame) -> tuple[DataFrame, int, int]:
-    """(doc_id, n) for every document, counted without splitting texts into rows, with N and L of the whole table."""
-    counted = documents.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(TERM)).cast("long").alias("n"),
-    )
-    sizes = written(counted.groupBy("doc_id").agg(F.sum("n").alias("n")), "lexical-lengths")
+def counted(documents: DataFrame, asked: DataFrame, rows: int) -> tuple[DataFrame, DataFrame, int, int]:
+    """One read of the texts: (doc_id, n) for every document, (doc_id, term, tf) for the asked terms, N and L.
+
+    Each text is split into terms once; besides its terms a document gives one row without a term that carries its
+    number of terms, so lengths and term counts come from one scan and one aggregation (partial before the shuffle).
+    ``asked`` holds the distinct asked terms (``rows`` of them; up to BROADCAST_ROWS sent whole to every task, else
+    joined by a shuffle).
+    """
+    split = documents.select(F.col("doc_id").cast("long").alias("doc_id"), terms(F.col("text")).alias("_t"))
+    marker = F.struct(F.lit(None).cast("string").alias("term"), F.size("_t").cast("long").alias("n"))
+    each = F.concat(F.transform("_t", lambda t: F.struct(t.alias("term"), F.lit(0).cast("long").alias("n"))), F.array(marker))
+    words = split.select("doc_id", F.inline(each))
+    hits = asked.select("term", F.lit(True).alias("_hit"))
+    hits = F.broadcast(hits) if rows <= BROADCAST_ROWS else hits
+    kept = words.join(hits, "term", "left").where(F.col("_hit") | F.col("term").isNull())
+    both = written(kept.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.sum("n").alias("n")), "lexical-tf")
+    sizes = both.where(F.col("term").isNull()).select("doc_id", "n")
     totals = sizes.where("n > 0").agg(F.count(F.lit(1)).alias("N"), F.sum("n").alias("L")).first()
-    return sizes, int(totals["N"] or 0), int(totals["L"] or 0)
+    return sizes, both.where(F.col("term").isNotNull()).select("doc_id", "term", "tf"), int(totals["N"] or 0), int(totals["L"] or 0)
 
 
 def index(documents: DataFrame, asked: DataFrame, rows: int) -> tuple[DataFrame, int]:
     """Impact-ordered postings of the asked terms: term, doc_id, impact, pos, band; and the longest list's length.
 
-    ``asked`` holds the distinct terms of the queries (``rows`` of them; below BROADCAST_ROWS they are sent whole to
-    every task, else joined by a shuffle). N and L cover all documents and all their terms; df and tf are counted
-    over all documents for the asked terms, the only lists a search reads.
+    ``asked`` holds the distinct terms of the queries (``rows`` of them). N and L cover all documents and all their
+    terms; df and tf are counted over all documents for the asked terms, the only lists a search reads.
     """
-    sizes, N, L = lengths(documents)
-    words = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(terms(F.col("text"))).alias("term"))
-    wanted = words.join(F.broadcast(asked) if rows <= BROADCAST_ROWS else asked, "term", "left_semi")
-    tf = written(wanted.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf")), "lexical-tf")
+    sizes, tf, N, L = counted(documents, asked, rows)
     weight = F.floor(F.lit(1000.0) * F.log((2.0 * N + 2.0) / (2.0 * F.col("df") + 1.0))).cast("long")
     weights = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select("term", "df", weight.alias("w"))
     m = F.lit(75) + F.expr(f"(25 * n * {N}) div {max(L, 1)}")
