@@ -123,14 +123,31 @@ def _cells(spots: DataFrame, grid: Grid, level: int, weight: str = "1") -> DataF
 
 
 def _depth(spots: DataFrame, grid: Grid) -> int:
-    """Levels needed until no cell holds more than CELL_LIMIT rows; one number is read per level."""
+    """Levels needed until no cell holds more than CELL_LIMIT rows.
+
+    All levels are counted in one job from one roll-up of the finest cells: each finest cell stands once per level
+    under its parent there, and the driver reads one maximum per level.
+    """
+    finest = spots.groupBy("fi", "fj").agg(F.expr("count(1) AS n"))
+    shift = f"{LEVEL_BITS} * ({grid.levels - 1} - level)"
+    per_level = finest.selectExpr("fi", "fj", "n", f"explode(sequence(0, {grid.levels - 1})) AS level").selectExpr(
+        "level", f"shiftright(fi, {shift}) AS ci", f"shiftright(fj, {shift}) AS cj", "n"
+    )
+    cells = per_level.groupBy("level", "ci", "cj").agg(F.expr("sum(n) AS n"))
+    fullest = dict(cells.groupBy("level").agg(F.expr("max(n) AS m")).collect())  # one row per level
     for level in range(grid.levels):
-        fullest = _at(spots, grid, level).groupBy("ci", "cj").count().agg(F.max("count")).first()[0]
-        if (fullest or 0) <= CELL_LIMIT:
+        if (fullest.get(level) or 0) <= CELL_LIMIT:
             return level + 1
     return grid.levels
 
 
+def _near_queries(points: DataFrame, queries: DataFrame, grid: Grid, box: Box) -> DataFrame:
+    """Points in a coarsest cell that the box of some query touches: no other point can be in any box."""
+    touched = _touched(queries, grid, box).selectExpr("ci AS _ci", "cj AS _cj").distinct()
+    placed = points.selectExpr("*", f"{grid.cell('latitude', 0)} AS _ci", f"{grid.cell('longitude', 0)} AS _cj")
+    return placed.join(touched, ["_ci", "_cj"], "left_semi").drop("_ci", "_cj")
+
+
 def _touched(queries: DataFrame, grid: Grid, box: Box, *extra: str) -> DataFrame:
     """Level-0 cells that the box of each query may touch (emptiness is sorted out by the join)."""
 
@@ -177,7 +194,7 @@ def count_within(queries: DataFrame, points: DataFrame, box: Box) -> DataFrame:
     """
     grid = Grid.around(box.radius)
     spots = (
-        points.where("latitude IS NOT NULL AND longitude IS NOT NULL")
+        _near_queries(points.where("latitude IS NOT NULL AND longitude IS NOT NULL"), queries, grid, box)
         .selectExpr("latitude AS plat", "longitude AS plon").groupBy("plat", "plon").agg(F.expr("count(1) AS pw"))
     )
     spots = written(_with_fine(spots, grid), "spots")
@@ -200,10 +217,12 @@ def count_within(queries: DataFrame, points: DataFrame, box: Box) -> DataFrame:
 def latest_within(queries: DataFrame, points: DataFrame, box: Box, k: int, order: list[str], payload: list[str]) -> DataFrame:
     """First k points by ``order`` in the box of each distinct query spot: (qlat, qlon, rn, payload...).
 
-    Only k rows per spot and k rows per cell can ever be among the first k, so each is cut to k before any join.
+    Only k rows per spot and k rows per cell can ever be among the first k, so each is cut to k before any join;
+    before that, points outside every cell that some query's box touches are left out by a semi-join.
     """
     grid = Grid.around(box.radius)
-    spots = written(_best_spots(points, grid, order, k, payload), "spots")
+    near = _near_queries(points.where("latitude IS NOT NULL AND longitude IS NOT NULL"), queries, grid, box)
+    spots = written(_best_spots(near, grid, order, k, payload), "spots")
     parts = []
     levels = _depth(spots, grid)
     frontier = _touched(queries, grid, box)
@@ -263,7 +282,8 @@ def nearest_within(
     ``order`` breaks ties of equal distance. Cells are opened only if no k nearer sites are already certain.
     """
     grid = Grid.around(box.radius)
-    spots = written(_best_spots(sites, grid, order, k, payload), "sites")
+    near = _near_queries(sites.where("latitude IS NOT NULL AND longitude IS NOT NULL"), queries, grid, box)
+    spots = written(_best_spots(near, grid, order, k, payload), "sites")
     parts = []
     levels = _depth(spots, grid)
     dist = _length("plat - qlat", "plon - qlon", scale)
