@@ -107,10 +107,12 @@ def search(frame: DataFrame, is_query: Callable[[DataFrame], DataFrame], top: in
     """query_id, rank, vec_id, score of the ``top`` nearest rows found for each query row.
 
     Euclidean distance in double precision, ties to the smaller id. Vectors that are null, empty, zero or not finite
-    take no part; vectors are compared only with those of their length. Rows with one id count once (any of equal
-    vectors; of different ones each is a candidate). Queries and rows meet in blocks of at most about ``shard_rows`` each.
+    take no part, nor do rows without an id (they could be neither named as a result nor asked as a query); vectors
+    are compared only with those of their length. Rows with one id count once (any of equal vectors; of different ones
+    each is a candidate). Queries and rows meet in blocks of at most about ``shard_rows`` each.
     """
-    rows = usable(frame.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v")), "v").withColumn("d", F.size("v"))
+    rows = frame.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v")).where(F.col("vec_id").isNotNull())
+    rows = usable(rows, "v").withColumn("d", F.size("v"))
     queries = is_query(rows.withColumnRenamed("vec_id", key)).withColumnRenamed(key, "query_id")
     shards, groups = buckets_for(rows.count(), shard_rows), buckets_for(queries.count(), shard_rows)
     left = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards))).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))

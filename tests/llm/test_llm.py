@@ -70,6 +70,16 @@ def test_forest_ties_and_bad_vectors(spark):
     assert forest.search(frame.limit(0), lambda f: f).count() == 0
 
 
+def test_forest_rows_without_id(spark):
+    """A row without vec_id is neither a candidate nor a query, and does not end the job."""
+    rows = [(i, [float(i), 1.0]) for i in range(12)] + [(None, [5.0, 1.0]), (None, [0.5, 1.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = forest.search(frame, lambda f: f.where("vec_id = 5 OR vec_id IS NULL")).orderBy("query_id", "rank").collect()
+    assert {r.query_id for r in out} == {5}
+    assert out and all(r.vec_id is not None and r.vec_id != 5 for r in out)
+    assert [r.score for r in out] == sorted(abs(r.vec_id - 5.0) for r in out)
+
+
 # Near-duplicates
 
 
