@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import FEET
 from ..operators import spatial as sp
 from ..operators.ranking import first_per_key
-from ..operators.staging import written
+from ..operators.staging import together, written
 from ..operators.substring import containing, shortest_containing
 
 NEAR_BOX = sp.Box(500 / 364000.0, strict=False)
@@ -21,9 +21,9 @@ def resolve(requests: DataFrame, buildings: DataFrame, columns: list[str]) -> Da
     """(request_id, stage, bbl, columns...) for each request that any stage can answer.
 
     Stages in order: bbl, bin, exact upper-cased address, shortest address that contains the text, nearest building in
-    a 500 ft box. The lowest stage wins; within a stage the smallest bbl. The stages run as a
-    cascade: the three key lookups first, then the address search only for requests they left open, then the nearest
-    building only for requests still open, so the dear stages never see an answered request. Every stage looks up a
+    a 500 ft box. The lowest stage wins; within a stage the smallest bbl. The three key lookups
+    run first; the address search and the nearest building, the dear stages, run side by side and only for the
+    requests the lookups left open. Every stage looks up a
     table reduced to one row per key, so requests never multiply; rows with the same request_id are one request. A
     latitude or longitude of 0 counts as missing. A request's borough cannot change the outcome: a borough-less search
     that found nothing contains every search with a borough. Both frames are read several times: pass tables, or write
@@ -55,24 +55,24 @@ def resolve(requests: DataFrame, buildings: DataFrame, columns: list[str]) -> Da
     exact = [equal(1, "r_bbl", per_key("bbl", ["bin"])), equal(2, "r_bin", per_key("bin", ["bbl"])), equal(3, "r_addr", by_address)]
     answered = [written(lowest(reduce(lambda a, b: a.unionByName(b), exact)), "resolved-keys")]
 
-    # stage 4: addresses that contain the text, for patterns of open requests that are no address themselves
+    # stages 4 and 5, side by side, only for requests the key lookups left open: addresses that contain the text
+    # (for patterns that are no address themselves) and the nearest building
     req = still_open(req, answered[0])
     patterns = req.selectExpr("r_addr AS pattern").where("pattern IS NOT NULL AND pattern != ''").distinct()
     open_patterns = patterns.join(by_address.selectExpr("k AS pattern"), "pattern", "left_anti")
-    pairs = shortest_containing(open_patterns, by_address.selectExpr("k AS entry"), 1)
+    placed = req.where("qlat != 0 AND qlon != 0").select("request_id", "qlat", "qlon")
+    sites = rows.where("latitude IS NOT NULL AND latitude != 0").select("latitude", "longitude", "b")
+    pairs, near = together(
+        lambda: shortest_containing(open_patterns, by_address.selectExpr("k AS entry"), 1),
+        lambda: sp.nearest_within(placed.select("qlat", "qlon").distinct(), sites, NEAR_BOX, 1, ["b.bbl"], ["b"], FEET),
+    )
     # Equal addresses share their length, so the smallest bbl per address is enough to break ties.
     best = pairs.join(by_address, pairs["entry"] == by_address["k"]).selectExpr(
         "pattern", "struct(length(b.address) AS l, b.bbl AS i) AS o", "b"
     )
     by_part = best.groupBy("pattern").agg(F.expr("min_by(b, o) AS b")).selectExpr("pattern AS k", "b")
-    answered.append(written(lowest(equal(4, "r_addr", by_part)), "resolved-parts"))
-
-    # stage 5: the nearest building, for points of requests still open
-    req = still_open(req, answered[1])
-    placed = req.where("qlat != 0 AND qlon != 0").select("request_id", "qlat", "qlon")
-    sites = rows.where("latitude IS NOT NULL AND latitude != 0").select("latitude", "longitude", "b")
-    near = sp.nearest_within(placed.select("qlat", "qlon").distinct(), sites, NEAR_BOX, 1, ["b.bbl"], ["b"], FEET)
-    answered.append(lowest(placed.join(near.select("qlat", "qlon", "b"), ["qlat", "qlon"]).selectExpr("request_id", "5 AS stage", "b")))
+    nearest = placed.join(near.select("qlat", "qlon", "b"), ["qlat", "qlon"]).selectExpr("request_id", "5 AS stage", "b")
+    answered.append(lowest(equal(4, "r_addr", by_part).unionByName(nearest)))
     won = reduce(lambda a, b: a.unionByName(b), answered)
     return won.selectExpr("request_id", "stage", "b.*")
 
