@@ -155,3 +155,31 @@ def test_cosine_top_n_two_passes_many_pivots(spark, monkeypatch):
             if i in (3,) or 500 <= i < 525:  # the copies: equal scores, smaller ids first
                 assert corpus_id == j
     assert not any(k[0] == 901 for k in got)
+
+
+@pytest.mark.parametrize("cell_rows", [1 << 20, 0])
+def test_equal_vectors_are_met_once_and_queries_once_per_block(spark, monkeypatch, cell_rows):
+    monkeypatch.setattr(vectors, "CELL_ROWS", cell_rows)
+    monkeypatch.setattr(vectors, "SPREAD_BLOCK", 64)
+    monkeypatch.setattr(vectors, "BLOCK", 64)
+    monkeypatch.setattr(vectors, "MIN_CELL", 1)
+    monkeypatch.setattr(vectors, "ASKED", 100)
+    seen, scan = [], vectors._scan
+    monkeypatch.setattr(vectors, "_scan", lambda probes, c, *rest: seen.append((probes, c)) or scan(probes, c, *rest))
+    rng = np.random.default_rng(2)
+    data = [(i, rng.normal(size=6).tolist(), i % 2) for i in range(300)]
+    data += [(1000 + i, data[i % 2][1], i % 2) for i in range(400)]  # two vectors, 200 copies each
+    df = spark.createDataFrame(data, "id bigint, vector array<double>, label int")
+    got = vectors.cosine_top_n(df.withColumnRenamed("id", "query_id"), df.withColumnRenamed("id", "corpus_id"), 3, "label", skip_self=True)
+    found = {}
+    for r in got.collect():
+        found.setdefault(r.query_id, []).append((r.rn, r.corpus_id))
+    m = np.array([d[1] for d in data])
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    for row, (i, _, label) in enumerate(data):
+        sims = np.round(np.einsum("ij,j->i", m, m[row]), 9)
+        order = sorted((-sims[k], data[k][0]) for k in range(len(data)) if data[k][2] == label and data[k][0] != i)
+        assert [x for _, x in sorted(found[i])] == [x for _, x in order[:3]]
+    for probes, c in seen:
+        assert c.count() <= 300 + 2 * 3 and probes.count() <= 300
+        assert probes.select(F.max(F.size("blocks"))).first()[0] <= 3
