@@ -14,6 +14,7 @@ from ..operators import quantiles as q
 from ..operators import vectors
 from ..operators.joins import join_same
 from ..operators.ranking import first_per_key
+from ..operators.staging import together
 
 NO_FILTER = ("ALL", "UNKNOWN", "")
 
@@ -87,8 +88,11 @@ def retrieve_similar(queries: DataFrame, corpus: DataFrame, n: int = 5) -> DataF
     body = corpus.selectExpr("doc_id AS corpus_id", "embedding AS vector", "borough")
     id_type = corpus.schema["doc_id"].dataType.simpleString()
     ask = queries.selectExpr("query_id", "embedding AS vector", "upper(borough) AS borough")
-    hits = vectors.cosine_top_n(ask.where(f"NOT ({free})"), body, n, "borough", id_type)
-    hits = hits.unionByName(vectors.cosine_top_n(ask.where(free).drop("borough"), body.drop("borough"), n, None, id_type))
+    inside, anywhere = together(
+        lambda: vectors.cosine_top_n(ask.where(f"NOT ({free})"), body, n, "borough", id_type),
+        lambda: vectors.cosine_top_n(ask.where(free).drop("borough"), body.drop("borough"), n, None, id_type),
+    )
+    hits = inside.unionByName(anywhere)
     meta = corpus.drop("embedding", "document")
     return hits.join(meta, hits["corpus_id"] == meta["doc_id"]).selectExpr(
         "query_id", "rn", "doc_id", "round(cosine, 3) AS similarity", *[c for c in meta.columns if c != "doc_id"]

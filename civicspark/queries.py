@@ -714,7 +714,8 @@ def similar_incidents(spark, d):
     docs = sinks.encode_documents(cp.documents(corpus_rows(spark, d)), cp.bag_of_words())
     asked = fx.relation(spark, d, "fx_requests").selectExpr(
         "request_id AS query_id", "text AS document", "CASE WHEN request_id % 3 = 0 THEN 'Queens' WHEN request_id % 3 = 1 THEN 'All' END AS borough")
-    return cp.retrieve_similar(sinks.encode_documents(asked, cp.bag_of_words()), written(docs, "corpus"), 5).select("query_id", "rn", "doc_id", "similarity")
+    asked = sinks.encode_documents(asked, cp.bag_of_words())
+    return cp.retrieve_similar(written(asked, "asked"), written(docs, "corpus"), 5).select("query_id", "rn", "doc_id", "similarity")
 
 
 @query
