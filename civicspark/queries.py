@@ -746,23 +746,28 @@ def streamed_triage(spark, d):
 
 @query
 def streamed_enrichment(spark, d):
-    """Requests as a stream of files with resends, one file a micro-batch: resends within an hour of event time are
+    """Requests as a stream with resends, one part of them a micro-batch: resends within an hour of event time are
     dropped, rules applied, and each batch enriched from the persisted lookup (bbl, bin, exact address; nearest
-    hospital of the building), which is built once before the stream starts."""
+    hospital of the building), which is built once before the stream starts.
+
+    Parts follow one another in event time, and all files of a part are one micro-batch, so that no report is late
+    however many files a part has or however long the table spans."""
     root = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
     reqs = fx.relation(spark, d, "fx_requests").withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("request_id")))
     schema = "request_id BIGINT, bbl STRING, bin STRING, address STRING, latitude DOUBLE, longitude DOUBLE, text STRING, ts TIMESTAMP"
     reqs = reqs.selectExpr("CAST(request_id AS BIGINT) AS request_id", "bbl", "bin", "address", "latitude", "longitude", "text", "ts")
-    for part in range(3):
-        reqs.where(f"request_id % 3 = {part}").write.parquet(f"{root}/in/part={part}")
+    ends = reqs.agg(F.min("request_id").alias("low"), F.max("request_id").alias("high")).first()  # one row
+    part = F.floor((F.col("request_id") - F.lit(ends["low"])) * 3 / F.lit((ends["high"] or 0) - (ends["low"] or 0) + 1))
     # sent again ten minutes later: within the watermark, so dropped
     again = reqs.where("request_id % 7 = 0").withColumn("ts", F.col("ts") + F.expr("INTERVAL 10 MINUTES"))
-    again.write.parquet(f"{root}/in/part=9")
+    parts = {**{k: reqs.where(part == k) for k in range(3)}, 9: again}
     facts = lk.Lookup(spark, f"{root}/lookup")
     facts.refresh(clean_buildings(spark, d), nearest_hospital(spark, d))
-    stream = st.without_resends(st.read_reports(spark, f"{root}/in/*", schema, files_per_trigger=1), "request_id", "ts", "1 hour")
-    run = st.start(stream, lk.enrich(facts), f"{root}/out", f"{root}/state", once=True)
-    run.awaitTermination()
-    if run.exception() is not None:
-        raise run.exception()
+    stream = st.without_resends(st.read_reports(spark, f"{root}/in/*", schema), "request_id", "ts", "1 hour")
+    for k, rows in parts.items():
+        rows.write.parquet(f"{root}/in/part={k}")
+        run = st.start(stream, lk.enrich(facts), f"{root}/out", f"{root}/state", once=True)
+        run.awaitTermination()
+        if run.exception() is not None:
+            raise run.exception()
     return spark.read.parquet(f"{root}/out/result").drop("batch_id")

@@ -25,7 +25,6 @@ from ..session import ensure_checkpoint_dir
 
 KINDS = {"bbl": ("bbl", ["bin"]), "bin": ("bin", ["bbl"]), "addr": ("upper(address)", ["bbl"])}
 STAGE = {"bbl": 1, "bin": 2, "addr": 3}
-BROADCAST_ROWS = 2_000_000  # facts sent whole to each task of a batch only below this count
 
 
 class Lookup:
@@ -63,15 +62,15 @@ def enrich(lookup: Lookup, text: str = "text") -> Callable[[DataFrame], dict[str
     lookup's facts. Reports need request_id, bbl, bin, address and ``text``; a report no key finds keeps nulls."""
 
     def run(batch: DataFrame) -> dict[str, DataFrame]:
+        # No hint: the facts grow with the buildings, and a broadcast would pass them through the driver in each batch.
         facts = lookup.current()
-        side = F.broadcast(facts) if facts.count() <= BROADCAST_ROWS else facts
         asked = batch.selectExpr(
             "request_id", "explode(array("
             "named_struct('kind', 'bbl', 'key', bbl), named_struct('kind', 'bin', 'key', bin), "
             "named_struct('kind', 'addr', 'key', upper(trim(address))))) AS k",
         ).selectExpr("request_id", "k.kind AS kind", "k.key AS key").where("key IS NOT NULL AND key != ''")
         stage = F.when(F.col("kind") == "bbl", 1).when(F.col("kind") == "bin", 2).otherwise(3)
-        hits = asked.join(side, ["kind", "key"]).withColumn("stage", stage)
+        hits = asked.join(facts, ["kind", "key"]).withColumn("stage", stage)
         won = hits.groupBy("request_id").agg(
             F.min("stage").alias("stage"),
             F.min_by(F.struct("bbl", "borough", "nearest_hospital", "nearest_hospital_mi"), "stage").alias("b"),

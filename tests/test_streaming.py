@@ -22,3 +22,26 @@ def test_lookup_answers_and_refreshes(spark, tmp_path):
     facts.refresh(b2, near)
     again = {r.request_id: r.borough for r in run(batch)["result"].collect()}
     assert again[1] == "MANHATTAN" and again[2] == "QUEENS"
+
+
+def test_facts_are_not_broadcast_by_hint(spark, tmp_path):
+    rows = spark.range(5000).selectExpr("CAST(id AS STRING) AS bbl", "CAST(id AS STRING) AS bin", "concat(id, ' Main St') AS address", "'BRONX' AS borough")
+    facts = lk.Lookup(spark, str(tmp_path / "lookup"))
+    facts.refresh(rows, spark.createDataFrame([("1", "H", 0.5)], NEAREST))
+    batch = spark.range(50).selectExpr("id AS request_id", "CAST(id AS STRING) AS bbl", "CAST(NULL AS STRING) AS bin", "CAST(NULL AS STRING) AS address", "'x' AS text")
+    plan = lk.enrich(facts)(batch)["result"]._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" not in plan.lower()
+
+
+def test_stream_keeps_requests_over_more_than_the_watermark(spark, tmp_path):
+    from civicspark.queries import QUERIES
+
+    source = "/root/testdata/sf0.001"
+    for name in ("customer", "nation", "supplier"):
+        rows = spark.read.parquet(f"{source}/{name}.parquet")
+        if name == "customer":  # two copies, ids four hours of event time apart, dealt over several files
+            rows = rows.union(rows.withColumn("c_custkey", (rows.c_custkey + 14_400).cast(rows.schema["c_custkey"].dataType))).repartition(4)
+        rows.write.parquet(str(tmp_path / f"{name}.parquet"))
+    want = spark.read.parquet(str(tmp_path / "customer.parquet")).count()
+    got = QUERIES["streamed_enrichment"](spark, str(tmp_path))
+    assert got.count() == want and got.select("request_id").distinct().count() == want
