@@ -106,6 +106,19 @@ def agreeing(x: Column, y: Column) -> Column:
     return F.aggregate(F.zip_with(x, y, lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, e: s + e)
 
 
+def listed(posts: DataFrame) -> DataFrame:
+    """(node, lists): the coordinates under which a node is posted."""
+    return posts.groupBy("node").agg(F.sort_array(F.collect_list("coordinate")).alias("lists"))
+
+
+def meets_first(coordinate: Column, x: str, y: str) -> Column:
+    """Is this the first coordinate whose list holds both nodes? So a pair that shares many lists is one row, not one
+    per list."""
+    both = F.array_intersect(F.col("lists_" + x), F.col("lists_" + y))
+    earlier = F.filter(both, lambda c: (c < coordinate) & (F.element_at("sig_" + x, c + 1) == F.element_at("sig_" + y, c + 1)))
+    return F.size(earlier) == 0
+
+
 def matches(pairs: DataFrame, nodes: DataFrame, match: int) -> DataFrame:
     """Pairs (a, b) whose signatures agree in ``match`` coordinates."""
     marks = nodes.select("node", "signature")
@@ -153,15 +166,15 @@ def apart_pairs(placed: DataFrame, rest: DataFrame, nodes: DataFrame, sets: Data
     sizes = placed.select("component", "node", "weight").distinct().groupBy("component").agg(F.count("*").alias("size"), F.max(F.struct("weight", (-F.col("node")).alias("m"))).alias("h"))
     hubs = written(sizes.select("component", "size", (-F.col("h.m")).alias("hub")), "hubs")
     near = rest.join(hubs, "component")
-    small = near.select("coordinate", "value", F.col("component").alias("component_a"), F.col("size").alias("size_a"), F.col("node").alias("x"), F.col("n").alias("n_x"), F.col("signature").alias("sig_x"))
+    small = near.select("coordinate", "value", F.col("component").alias("component_a"), F.col("size").alias("size_a"), F.col("node").alias("x"), F.col("n").alias("n_x"), F.col("signature").alias("sig_x"), F.col("lists").alias("lists_x"))
     large = near.select("coordinate", "value", "component", "size", "hub").distinct()
     smaller = F.struct("size_a", "component_a") < F.struct("size", "component")
     asked = small.join(large.where(F.col("size") >= HUB_SIZE), ["coordinate", "value"]).where(smaller).select("x", "component", "hub", "n_x").distinct()
     asked = written(outside(asked, sets, "x"), "asked")
     bound = f"(100 + {percent}) * {{}} >= {percent} * (n_x + n_y)"
-    similar = agreeing(F.col("sig_x"), F.col("sig_y")) >= match
+    similar = (agreeing(F.col("sig_x"), F.col("sig_y")) >= match) & meets_first(F.col("coordinate"), "x", "y")
     fits = F.expr(f"100 * least(n_x, n_y) >= {percent} * greatest(n_x, n_y)")
-    other = near.select("coordinate", "value", "component", "size", F.col("node").alias("y"), F.col("n").alias("n_y"), F.col("signature").alias("sig_y"))
+    other = near.select("coordinate", "value", "component", "size", F.col("node").alias("y"), F.col("n").alias("n_y"), F.col("signature").alias("sig_y"), F.col("lists").alias("lists_y"))
     # Small components, and members small enough for the hub alone.
     few = small.join(other.where(F.col("size") < HUB_SIZE), ["coordinate", "value"]).where(smaller & fits & similar).select("x", "y")
     by_hub = small.join(asked.select("x", "component", "common"), "x").join(other, ["coordinate", "value", "component"]).where(F.expr(bound.format("common")) & fits & similar).select("x", "y")
@@ -216,7 +229,8 @@ def labelled(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, coordi
     # Second round: what the lists still hold apart.
     placed = written(posts.join(label.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
     apart = placed.groupBy("coordinate", "value").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    rest = written(placed.join(apart.select("coordinate", "value"), ["coordinate", "value"], "left_semi").join(nodes.select("node", "n", "signature"), "node"), "rest")
+    facts = nodes.select("node", "n", "signature").join(listed(posts), "node")
+    rest = written(placed.join(apart.select("coordinate", "value"), ["coordinate", "value"], "left_semi").join(facts, "node"), "rest")
     more = apart_pairs(placed, rest, nodes, sets, percent, match).join(near, ["a", "b"], "left_anti")
     found = written(confirmed(written(more, "more"), sets, percent), "found")
     if not found.isEmpty():

@@ -504,3 +504,12 @@ def test_nothing_else_imports_the_package():
 
     root = pathlib.Path(bpe.__file__).parents[1]
     assert not [p for p in root.rglob("*.py") if "llm" not in p.parts and "llm" in p.read_text()]
+
+
+def test_neardup_pair_is_met_in_one_of_its_lists(spark):
+    rows = [(0, [1, 2, 3, 4], [1, 2, 3]), (1, [1, 2, 9, 4], [0, 1, 3]), (2, [7, 2, 9, 4], [1, 2, 3]), (3, [7, 7, 7, 7], [0])]
+    nodes = spark.createDataFrame(rows, "node long, sig array<int>, lists array<int>")
+    post = nodes.select("*", F.explode("lists").alias("coordinate")).withColumn("value", F.expr("sig[coordinate]"))
+    x, y = (post.select("coordinate", "value", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "sig", "lists"))) for s in "xy")
+    pairs = x.join(y, ["coordinate", "value"]).where("node_x < node_y").where(neardup.meets_first(F.col("coordinate"), "x", "y"))
+    assert sorted((r.node_x, r.node_y) for r in pairs.collect()) == [(0, 1), (0, 2), (1, 2)]
