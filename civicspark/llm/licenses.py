@@ -11,6 +11,8 @@ would end, within lines that no blank line parts (one without letters and figure
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
@@ -93,8 +95,16 @@ NONE, UNKNOWN = "none", "unknown"
 
 
 def tokens(text: Column) -> Column:
-    """Lower-case words and numbers; a final full stop is no part of them."""
-    return F.filter(F.split(F.lower(text), r"[^a-z0-9.]+|\.(?![0-9])"), lambda w: w != "")
+    """Lower-case words and numbers; a full stop counts only before a figure."""
+    lower = F.lower(text)
+    plain = F.when(F.contains(lower, F.lit(".")), F.regexp_replace(lower, r"\.(?![0-9])", " ")).otherwise(lower)
+    return F.regexp_extract_all(plain, F.lit(r"[a-z0-9.]+"), F.lit(0))
+
+
+def once(frame: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a column that is computed once a row. It leaves a generator, so the planner cannot copy its expression into
+    each of the expressions that read it (nor, within one of them, into the function run on each word)."""
+    return frame.select("*", F.explode(F.array(value)).alias(name))
 
 
 def grams(words: Column, n: int) -> Column:
@@ -106,17 +116,41 @@ def grams(words: Column, n: int) -> Column:
     return out
 
 
+def featured(frame: DataFrame) -> DataFrame:
+    """Adds ``_grams``, the words and pairs of neighbouring words of a frame with ``words``.
+
+    Blanks fill each word up to a multiple of four bytes (one at least, so that no two grams become one): for such
+    strings ``hash`` is the hash of HashingTF, and :func:`likely` knows a gram's feature without making a vector.
+    """
+    filled = once(frame, "_filled", F.transform("words", lambda w: F.rpad(w, (F.floor(F.length(w) / 4).cast("int") + 1) * 4, " ")))
+    size = F.size("_filled")
+    pairs = F.zip_with(F.slice("_filled", F.lit(1), F.greatest(size - 1, F.lit(0))), F.slice("_filled", F.lit(2), F.greatest(size - 1, F.lit(0))), lambda a, b: F.concat(a, b))
+    return once(filled, "_grams", F.concat("_filled", pairs)).drop("_filled")
+
+
 def vectors(frame: DataFrame) -> DataFrame:
-    """Adds ``features`` to a frame with ``words``."""
-    hashed = HashingTF(inputCol="_grams", outputCol="features", numFeatures=FEATURES, binary=True)
-    return hashed.transform(frame.withColumn("_grams", F.concat("words", grams(F.col("words"), 2)))).drop("_grams")
+    """Adds ``features`` to a frame with ``_grams``."""
+    return HashingTF(inputCol="_grams", outputCol="features", numFeatures=FEATURES, binary=True).transform(frame).drop("_grams")
+
+
+def likely(model: LogisticRegressionModel) -> Column:
+    """False only where the model gives the grams a chance of license below one half.
+
+    One half needs a license whose margin comes up to that of "none" less the logarithm of the number of licenses, and
+    no license's margin over "none" is above the sum, over the features, of the largest one of any license.
+    """
+    weights, bias = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
+    most = F.split(F.lit(",".join(map(repr, (weights[1:] - weights[0]).max(0).tolist()))), ",").cast("array<double>")
+    least = -math.log(len(bias) - 1) - float((bias[1:] - bias[0]).max()) - 1e-6  # less what sums of doubles may be off
+    held = F.array_distinct(F.transform("_grams", lambda g: F.pmod(F.hash(g), F.lit(FEATURES))))
+    return F.aggregate(held, F.lit(0.0), lambda s, f: s + F.get(most, f)) >= least
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
     """The columns but text, paragraph (line, from 0) and words of every line of the whole texts that holds a word."""
     keep = [c for c in docs.columns if c != "text"]
     lines = docs.select(*keep, F.posexplode(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n")).alias("paragraph", "line"))
-    return lines.select(*keep, "paragraph", tokens(F.col("line")).alias("words")).where(F.size("words") > 0)
+    return once(lines, "words", tokens(F.col("line"))).where(F.size("words") > 0).drop("line")
 
 
 def notices(spark: SparkSession) -> DataFrame:
@@ -137,7 +171,12 @@ def wrapped(docs: DataFrame) -> DataFrame:
     longest = max(map(len, known)) + 2
     telling = F.array(*map(F.lit, sorted({g for m in known for g in m})))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    some = docs.withColumn("_told", F.array_intersect(grams(tokens(text), 3), telling)).where(F.size("_told") > 0)
+    some = once(docs, "_plain", tokens(text))
+    # A gram is put together only where each of its words has that place in some gram of the notices.
+    places = [sorted({g.split(" ")[i] for m in known for g in m}) for i in range(3)]
+    after = lambda i: F.get("_plain", i)
+    gram = lambda w, i: F.when(w.isin(places[0]) & after(i + 1).isin(places[1]) & after(i + 2).isin(places[2]), F.concat_ws(" ", w, after(i + 1), after(i + 2)))
+    some = once(some, "_told", F.array_intersect(F.array_compact(F.transform("_plain", gram)), telling)).where(F.size("_told") > 0).drop("_plain")
     outside = F.struct(F.lit("").alias("w"), F.lit(-1).alias("line"))
 
     def words_of(line: Column, i: Column) -> Column:
@@ -145,13 +184,13 @@ def wrapped(docs: DataFrame) -> DataFrame:
         return F.when(F.size(own) > 0, own).otherwise(F.array(outside))
 
     margin = F.array_repeat(outside, longest)
-    some = some.withColumn("_words", F.concat(margin, F.flatten(F.transform(F.split(text, "\n"), words_of)), margin))
-    some = some.withColumn("_all", F.transform("_words", lambda x: x["w"]))
-    some = some.withColumn("_at", F.filter(F.transform(grams(F.col("_all"), 3), lambda g, i: F.struct(g.alias("gram"), i.alias("at"))), lambda x: F.array_contains("_told", x["gram"])))
+    some = once(some, "_words", F.concat(margin, F.flatten(F.transform(F.split(text, "\n"), words_of)), margin)).drop("text")
+    some = once(some, "_all", F.transform("_words", lambda x: x["w"]))
+    some = once(some, "_at", F.filter(F.transform(grams(F.col("_all"), 3), lambda g, i: F.struct(g.alias("gram"), i.alias("at"))), lambda x: F.array_contains("_told", x["gram"])))
     near = F.transform("_at", lambda x: F.struct(x["gram"].alias("gram"), F.slice("_words", x["at"] + 1 - longest, F.lit(2 * longest)).alias("near")))
     hits = some.select("doc_id", "row", F.explode(near).alias("_hit")).select("doc_id", "row", "_hit.gram", "_hit.near")
-    places = marks.select("size", "marks", F.posexplode("marks").alias("j", "gram"))  # one row for each gram of the notices above
-    runs = hits.join(F.broadcast(places), "gram").withColumn("run", F.slice("near", longest + 1 - F.col("j"), F.col("size")))
+    starts = marks.select("size", "marks", F.posexplode("marks").alias("j", "gram"))  # one row for each gram of the notices above
+    runs = hits.join(F.broadcast(starts), "gram").withColumn("run", F.slice("near", longest + 1 - F.col("j"), F.col("size")))
     same = F.zip_with(grams(F.transform("run", lambda x: x["w"]), 3), F.col("marks"), lambda a, b: a == b)
     runs = runs.where(F.array_position(same, True) == F.col("j") + 1)
     before, after = F.slice("run", F.lit(1), F.col("j")), F.slice("run", F.col("j") + 1, F.col("size") - F.col("j"))
@@ -183,9 +222,9 @@ def fit(docs: DataFrame) -> tuple[LogisticRegressionModel, list[str], float]:
     plain = paragraphs(some).where(~F.arrays_overlap(grams(F.col("words"), 3), F.array(*map(F.lit, telling))))
     plain = plain.orderBy(F.xxhash64("doc_id", "paragraph")).limit(NEGATIVES).select(F.lit(NONE).alias("family"), "words")
     rows = known.withColumn("weight", F.lit(20.0)).union(variants(known).withColumn("weight", F.lit(2.0))).union(plain.withColumn("weight", F.lit(1.0)))
-    train = vectors(rows.withColumn("label", label)).select("label", "weight", "features").coalesce(1)
+    train = vectors(featured(rows.withColumn("label", label))).select("label", "weight", "features").coalesce(1)
     model = LogisticRegression(maxIter=ITERATIONS, regParam=2e-4, weightCol="weight", family="multinomial").fit(train)
-    best = guesses(model.transform(vectors(variants(known))), names)
+    best = guesses(model.transform(vectors(featured(variants(known)))), names)
     sure = [F.sum((F.when(F.col("chance") >= t / STEPS, F.col("guess")).otherwise(UNKNOWN) == F.col("family")).cast("int")).alias(str(t)) for t in range(1, STEPS)]
     right = best.select(*sure).first().asDict()
     top = max(right.values())
@@ -213,7 +252,7 @@ def scan(docs: DataFrame) -> DataFrame:
     model, names, least = fit(docs.select("doc_id", "text"))
     rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
     both = paragraphs(rows).withColumn("last", F.col("paragraph")).unionByName(wrapped(rows))
-    found = guesses(model.transform(vectors(both)), names).where(F.col("license") >= 0.5)
+    found = guesses(model.transform(vectors(featured(both).where(likely(model)))), names).where(F.col("license") >= 0.5)
     marks = notices(docs.sparkSession).select("family", F.when(F.size("words") > 3, grams(F.col("words"), 3)).otherwise(grams(F.col("words"), 2)).alias("marks"))
     of_family = marks.groupBy("family").agg(F.collect_list("marks").alias("notices"))  # as many rows as NOTICES has families
     own = F.concat(grams(F.col("words"), 3), grams(F.col("words"), 2))

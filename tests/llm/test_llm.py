@@ -466,6 +466,25 @@ def test_wrapped_licenses(spark):
     assert not [r for r in got if r.doc_id < 90 and not r.confirmed and r.paragraph == 3]
 
 
+def test_license_words_are_cut_once(spark):
+    """One regular expression a line in the plan (each reader of the words had a copy of it, some within lambdas)."""
+    text = "a.b c3.5 .5x end.\nThe QUICK-fox... v1.0. ünder"
+    frame = licenses.featured(licenses.paragraphs(docs_of(spark, [(1, text)])))
+    assert frame._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") == 1
+    assert [r.words for r in frame.orderBy("paragraph").collect()] == [["a", "b", "c3.5", ".5x", "end"], ["the", "quick", "fox", "v1.0", "nder"]]
+
+
+def test_license_screen_loses_nothing(spark, documents):
+    from pyspark.sql import functions as F
+
+    docs = documents.select("doc_id", "text").unionByName(docs_of(spark, [(-i, t) for i, t in enumerate(t for n in licenses.NOTICES.values() for t in n)]).select("doc_id", "text"))
+    model, names, _ = licenses.fit(docs)
+    lines = licenses.featured(licenses.paragraphs(docs)).withColumn("likely", licenses.likely(model))
+    found = licenses.guesses(model.transform(licenses.vectors(lines)), names).where("license >= 0.5")
+    assert found.count() >= 30 and found.where(~F.col("likely")).count() == 0
+    assert lines.where("not likely").count() > lines.where("likely").count()
+
+
 def test_native_plans(documents):
     import re
 
