@@ -68,10 +68,11 @@ class Words:
         others go through the whole tokenizer."""
         rest = []
         for w in new:
+            if w.isalpha():  # of bytes: ASCII letters only
+                self.known[w] = self.piece(w.lower().decode("ascii"))
+                continue
             word = w.decode("utf-8", "surrogatepass")
-            if word.isascii() and word.isalpha():
-                self.known[w] = self.piece(word.lower())
-            elif SIMPLE.fullmatch(word) and "<|" not in word:
+            if SIMPLE.fullmatch(word) and "<|" not in word:
                 self.known[w] = b"".join([self.piece(p) for p in PIECES.findall(word.lower())])
             else:
                 rest.append((w, word))
@@ -81,7 +82,7 @@ class Words:
     def encode_all(self, texts: list[bytes]) -> list[bytes]:
         """Per text its ids as little-endian unsigned 32-bit numbers."""
         cut = [t.split() for t in texts]
-        missing = {w for words in cut for w in words if w not in self.known}
+        missing = set().union(*cut).difference(self.known)  # each distinct word is looked up once
         if len(self.known) + len(missing) > KNOWN:
             self.older, self.known = self.known, {}
         new = []

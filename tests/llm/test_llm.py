@@ -433,6 +433,24 @@ def test_bpe_frames(odd):
     assert all((r.text or "") == r.decoded for r in out)
 
 
+def test_packing_looks_each_word_up_once():
+    """A lookup for each occurrence was a fifth of the encoding."""
+
+    class Counting(dict):
+        looked = 0
+
+        def __contains__(self, key):
+            Counting.looked += 1
+            return super().__contains__(key)
+
+    own = packing.Words(packing.tokenizer_file("word_bpe_49k.json"))
+    texts = [b"the cat and The dog 12 \xc3\xa9t\xc3\xa9 " * 500, b"the cat again", b""]
+    want = own.encode_all(texts)
+    own.known = Counting(own.known)
+    assert own.encode_all(texts) == want and Counting.looked <= 9
+    assert want == [packing.ids_bytes(own.tokenizer.encode(t.decode(), add_special_tokens=False).ids) for t in texts]
+
+
 # Licenses
 
 
