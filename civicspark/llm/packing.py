@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,9 +26,11 @@ from .common import buckets_for, slices, tokenizer_file, utf8, written
 
 SIZE = 2048
 END_ID = 0
-KNOWN = 500_000
-SIMPLE = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
-PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z\u00df-\u00f6\u00f8-\u00ff0-9]+")
+KNOWN = 120_000
+REMEMBERED = 64
+PART = 1 << 18
+SIMPLE = "^[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*$"
+PIECES = re.compile("\n|'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z\u00df-\u00f6\u00f8-\u00ff0-9\n]+")
 WIDTH = 6
 NODES = 400
 BRANCHES = 3
@@ -40,9 +43,25 @@ def ids_bytes(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
+def gathered(ids: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The runs of ``ids`` that begin at ``start``, one after the other, in parts of bounded size."""
+    out = [ids[:0]]
+    for at in range(0, len(start), PART):
+        first, n = start[at : at + PART], length[at : at + PART]
+        ends = np.cumsum(n)
+        out.append(ids[np.repeat(first - ends + n, n) + np.arange(ends[-1])])
+    return np.concatenate(out)
+
+
+def starts(length: np.ndarray) -> np.ndarray:
+    """Where runs of these lengths begin, and the end of the last."""
+    return np.concatenate([np.zeros(1, np.int64), np.cumsum(length)])
+
+
 class Words:
-    """Ids of whole texts, from a tokenizer that drops white space: each stretch between ASCII white space is encoded
-    on its own and remembered. Two generations are kept, so that memory is bounded."""
+    """Ids of whole texts, from a tokenizer that drops white space. Each distinct stretch between ASCII white space is
+    encoded on its own; simple Latin ones are cut into pre-tokens first. Pre-tokens and the other stretches are
+    remembered in two generations, so that memory is bounded."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -55,51 +74,67 @@ class Words:
         self.known: dict[bytes | str, bytes] = {}
         self.older: dict[bytes | str, bytes] = {}
 
-    def piece(self, piece: str) -> bytes:
-        """Ids of one lower-case pre-token."""
-        ids = self.known.get(piece) or self.older.get(piece)
-        if ids is None:
-            shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
-            ids = self.known[piece] = ids_bytes([t.id for t in self.model.tokenize(shown)])
-        return ids
-
-    def learn(self, new: list[bytes]) -> None:
-        """Simple Latin words are cut by the tokenizer's own rule here, so that their parts are remembered too; all
-        others go through the whole tokenizer."""
-        rest = []
-        for w in new:
-            if w.isalpha():  # of bytes: ASCII letters only
-                self.known[w] = self.piece(w.lower().decode("ascii"))
-                continue
-            word = w.decode("utf-8", "surrogatepass")
-            if SIMPLE.fullmatch(word) and "<|" not in word:
-                self.known[w] = b"".join([self.piece(p) for p in PIECES.findall(word.lower())])
-            else:
-                rest.append((w, word))
-        for (w, _), e in zip(rest, self.tokenizer.encode_batch_fast([x for _, x in rest], add_special_tokens=False), strict=True):
-            self.known[w] = ids_bytes(e.ids)
+    def forget(self) -> None:
+        """The memory of a task does not outlive it: its worker goes on to other steps."""
+        self.known, self.older = {}, {}
+        pa.default_memory_pool().release_unused()
+
+    def tokenize(self, pieces: list[str]) -> list[bytes]:
+        """Ids of lower-case pre-tokens."""
+        shown = [p if p.isascii() else p.encode().decode("latin-1").translate(self.letters) for p in pieces]
+        return [ids_bytes([t.id for t in self.model.tokenize(x)]) for x in shown]
+
+    def encode(self, stretches: list[bytes]) -> list[bytes]:
+        """Ids of any stretches, by the whole tokenizer."""
+        texts = [w.decode("utf-8", "surrogatepass") for w in stretches]
+        return [ids_bytes(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def lookup(self, keys: list, encode) -> tuple[np.ndarray, np.ndarray]:  # noqa: ANN001
+        """Ids of distinct keys, one after the other, and how many each has. Keys of usual length are remembered."""
+        if len(self.known) + len(keys) > KNOWN:
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
+        found, new = list(map(known.get, keys)), []
+        for i, ids in enumerate(found):
+            if ids is None:
+                found[i] = ids = older.get(keys[i])
+                if ids is None:
+                    new.append(i)
+                else:
+                    known[keys[i]] = ids
+        for i, ids in zip(new, encode([keys[i] for i in new]), strict=True):
+            found[i] = ids
+            if len(keys[i]) <= REMEMBERED:
+                known[keys[i]] = ids
+        return np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
+
+    def simple(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of simple Latin stretches, one after the other, and how many each has. The tokenizer's own rule cuts all
+        of them at once."""
+        cut = pa.array(PIECES.findall("\n".join(stretches).lower()), pa.string()).dictionary_encode()
+        pieces, at = cut.dictionary.to_numpy(zero_copy_only=False).tolist(), cut.indices.to_numpy()
+        mark = pieces.index("\n") if "\n" in pieces else -1
+        within = at != mark
+        if mark >= 0:  # no pre-token: it holds the place of one without ids
+            pieces[mark] = ""
+        ids, n = self.lookup(pieces, self.tokenize)
+        at, word = at[within], np.cumsum(~within)[within]
+        return gathered(ids, starts(n)[at], n[at]), np.bincount(word, n[at], len(stretches)).astype(np.int64)
 
     def encode_all(self, texts: list[bytes]) -> list[bytes]:
         """Per text its ids as little-endian unsigned 32-bit numbers."""
-        cut = [t.split() for t in texts]
-        missing = set().union(*cut).difference(self.known)  # each distinct word is looked up once
-        if len(self.known) + len(missing) > KNOWN:
-            self.older, self.known = self.known, {}
-        new = []
-        for w in missing:
-            got = self.older.get(w)
-            if got is None:
-                new.append(w)
-            else:
-                self.known[w] = got
-        self.learn(new)
-        known, older, out = self.known, self.older, []
-        for words in cut:
-            try:
-                out.append(b"".join(map(known.__getitem__, words)))
-            except KeyError:
-                out.append(b"".join([known[w] if w in known else older[w] for w in words]))
-        return out
+        cut = pc.ascii_split_whitespace(pa.array(texts, pa.binary()).view(pa.string()))
+        coded = cut.values.dictionary_encode()  # each distinct stretch is looked up once
+        plain = pc.and_not(pc.match_substring_regex(coded.dictionary, SIMPLE), pc.match_substring(coded.dictionary, "<|"))
+        ids, n = self.simple(coded.dictionary.filter(plain).to_numpy(zero_copy_only=False).tolist())
+        more, m = self.lookup(coded.dictionary.filter(pc.invert(plain)).view(pa.binary()).to_pylist(), self.encode)
+        length, first, where = np.zeros(len(plain), np.int64), np.zeros(len(plain), np.int64), plain.to_numpy(zero_copy_only=False)
+        length[where], first[where] = n, starts(n)[:-1]
+        length[~where], first[~where] = m, starts(m)[:-1] + len(ids)
+        at = coded.indices.to_numpy()
+        out = gathered(np.concatenate([ids, more]), first[at], length[at])
+        ends = starts(length[at])[cut.offsets.to_numpy()]
+        return [out[a:b].tobytes() for a, b in zip(ends, ends[1:])]
 
 
 _words: dict[str, Words] = {}
@@ -120,21 +155,24 @@ def pieces(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", size: int = SI
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         own, end = words(tokenizer_file(tokenizer)), np.array([END_ID], "<u4").tobytes()
-        for whole in batches:
-            for batch in slices(whole, "text"):
-                doc, piece, start, length, crc = [], [], [], [], []
-                for row, ids in enumerate(own.encode_all(utf8(batch.column("text")))):
-                    ids += end
-                    n = len(ids) // 4
-                    for p, at in enumerate(range(0, n, size)):
-                        part = ids[4 * at : 4 * (at + size)]
-                        doc.append(row)
-                        piece.append(p)
-                        start.append(at)
-                        length.append(len(part) // 4)
-                        crc.append(zlib.crc32(part))
-                columns = [batch.column("doc_id").take(pa.array(doc, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
-                yield pa.record_batch(columns, ["doc_id", "piece", "start", "length", "ids_crc32"])
+        try:
+            for whole in batches:
+                for batch in slices(whole, "text"):
+                    doc, piece, start, length, crc = [], [], [], [], []
+                    for row, ids in enumerate(own.encode_all(utf8(batch.column("text")))):
+                        ids += end
+                        n = len(ids) // 4
+                        for p, at in enumerate(range(0, n, size)):
+                            part = ids[4 * at : 4 * (at + size)]
+                            doc.append(row)
+                            piece.append(p)
+                            start.append(at)
+                            length.append(len(part) // 4)
+                            crc.append(zlib.crc32(part))
+                    columns = [batch.column("doc_id").take(pa.array(doc, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
+                    yield pa.record_batch(columns, ["doc_id", "piece", "start", "length", "ids_crc32"])
+        finally:
+            own.forget()
 
     kind = dict(docs.dtypes)["doc_id"]
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")

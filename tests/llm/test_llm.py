@@ -451,6 +451,27 @@ def test_packing_looks_each_word_up_once():
     assert want == [packing.ids_bytes(own.tokenizer.encode(t.decode(), add_special_tokens=False).ids) for t in texts]
 
 
+def test_packing_encodes_odd_words():
+    own = packing.Words(packing.tokenizer_file("word_bpe_49k.json"))
+    odd = ["", " ", "\t a\x0b\x0c b \r\n", "I'll don't 'S 'reX x'", "<|endoftext|> a<|startoftext|>b <|x", "\u00c9T\u00c9 stra\u00dfe \u00ff\u00d7\u00f7 \u00b5", "e\u0301 \ufb01 \u0130I \u4f60\u597d 12\u0663 \u00a0x\u2003y \U0001f600", "a\x00b ~!@#$%^&*()_+ 3.14abc", "w" * 3000]
+    texts = [*odd, " ".join(odd), "\n".join(odd * 3)]
+    want = [packing.ids_bytes(own.tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert own.encode_all([t.encode() for t in texts]) == want and [own.encode_all([t.encode()]) for t in texts] == [[w] for w in want]
+    assert own.encode_all([]) == [] and own.encode_all([b"", b""]) == [b"", b""]
+
+
+def test_packing_memory_is_bounded(monkeypatch):
+    """A worker held up to a million entries of any length, in the steps after its own too."""
+    monkeypatch.setattr(packing, "KNOWN", 1000)
+    own = packing.Words(packing.tokenizer_file("word_bpe_49k.json"))
+    for at in range(0, 6000, 600):
+        texts = [" ".join(f"Word{i}x, w{'o' * (i % 9)}rd{i}" for i in range(at, at + 600)), "y" * 500 + str(at)]
+        assert own.encode_all([t.encode() for t in texts]) == [packing.ids_bytes(own.tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
+        assert len(own.known) <= 1000 and max(map(len, own.known)) <= 64
+    own.forget()
+    assert not own.known and not own.older
+
+
 # Licenses
 
 
