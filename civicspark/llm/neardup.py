@@ -31,30 +31,31 @@ WIDTH = 5
 PERCENT = 80
 SUBLIST = 1000
 HUB_SIZE = 8
-KNOWN = 500_000
+KNOWN = 150_000
+REMEMBERED = 64
 CELLS = 1 << 13
 
 
 class WordHashes(dict):
-    """Hash of each word, remembered up to a bound."""
+    """Hash of each word; up to KNOWN words of usual length are remembered. A task makes its own: what it remembers
+    ends with it and does not stay in its worker."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > KNOWN:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        value = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= REMEMBERED:
+            if len(self) >= KNOWN:
+                self.clear()
+            self[word] = value
         return value
 
 
-_hashes = WordHashes()
-
-
-def shingles(text: bytes, width: int) -> np.ndarray:
+def shingles(text: bytes, width: int, hashes: WordHashes) -> np.ndarray:
     """Sorted distinct hashes of the ``width``-word shingles of a text, A-Z lower-cased, words apart by ASCII white
     space. With fewer words the whole sequence is one shingle; without words there is none."""
     words = text.lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
     n = max(1, len(h) - width + 1)
     out = np.full(n, min(len(h), width), np.uint64)
     for i in range(min(width, len(h))):
@@ -78,11 +79,12 @@ def signatures(docs: DataFrame, width: int, coordinates: int) -> DataFrame:
         rng = np.random.default_rng(7)
         multipliers = rng.integers(0, 1 << 63, coordinates, np.uint64) * np.uint64(2) + np.uint64(1)
         offsets = rng.integers(0, 1 << 63, coordinates, np.uint64)
+        hashes = WordHashes()
         for whole in batches:
             for batch in slices(whole, "text"):
                 n, keys, marks = [], [], []
                 for text in utf8(batch.column("text")):
-                    found = shingles(text, width)
+                    found = shingles(text, width, hashes)
                     n.append(len(found))
                     keys.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
                     marks.append(signature(found, multipliers, offsets) if len(found) else None)
@@ -146,9 +148,10 @@ def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """(node, items): the whole sorted set of the wanted documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
         for whole in batches:
             for batch in slices(whole, "text"):
-                items = [shingles(t, width).tobytes() for t in utf8(batch.column("text"))]
+                items = [shingles(t, width, hashes).tobytes() for t in utf8(batch.column("text"))]
                 yield pa.record_batch([batch.column("node"), pa.array(items, pa.binary())], ["node", "items"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))

@@ -571,3 +571,14 @@ def test_neardup_pair_is_met_in_one_of_its_lists(spark):
     x, y = (post.select("coordinate", "value", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "sig", "lists"))) for s in "xy")
     pairs = x.join(y, ["coordinate", "value"]).where("node_x < node_y").where(neardup.meets_first(F.col("coordinate"), "x", "y"))
     assert sorted((r.node_x, r.node_y) for r in pairs.collect()) == [(0, 1), (0, 2), (1, 2)]
+
+
+def test_neardup_words_do_not_stay_in_the_worker(monkeypatch):
+    """Half a million words of any length stayed with a worker through all later stages of the pipeline."""
+    assert not [x for x in vars(neardup).values() if isinstance(x, neardup.WordHashes)]
+    monkeypatch.setattr(neardup, "KNOWN", 100)
+    text, hashes = " ".join([f"word{i}" for i in range(250)] + ["x" * 1000, "y" * 64]).encode(), neardup.WordHashes()
+    found = neardup.shingles(text, 4, hashes)
+    assert 0 < len(hashes) <= 100 and max(map(len, hashes)) <= 64 and b"y" * 64 in hashes
+    monkeypatch.setattr(neardup, "KNOWN", 10_000)
+    assert np.array_equal(found, neardup.shingles(text, 4, neardup.WordHashes())) and len(found) == 249
