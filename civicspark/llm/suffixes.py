@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import hashlib
 from bisect import bisect_right
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -344,9 +344,9 @@ def sorted_buckets(contexts: DataFrame, length: int) -> DataFrame:
     return placed.groupBy("bucket").applyInArrow(meet, "doc_id long, start long, end long")
 
 
-def removals(docs: DataFrame, length: int, finish: Callable[[bytes, list[int], list[int]], tuple], columns: dict[str, pa.DataType]) -> tuple[DataFrame, DataFrame]:
-    """Rows of ``docs`` (doc_id, n_bytes, sha, copy) and, for those with repeated strings, what to
-    remove: doc_id, sha and the ``columns`` that ``finish`` makes of the bytes and the sorted maximal runs to remove.
+def removals(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows of ``docs`` (doc_id, n_bytes, sha, copy); what to remove of the others with repeated strings (doc_id, sha,
+    places, strings, one row per document, see ``stretches``); and the texts of these (doc_id, sha, packed).
 
     ``copy`` marks later copies of a whole text of at least ``length`` bytes: all of it is to be removed. Ids order the
     documents. Of different texts under one id, the one with the least digest takes part, the others are kept whole;
@@ -368,24 +368,16 @@ def removals(docs: DataFrame, length: int, finish: Callable[[bytes, list[int], l
     compared = sorted_buckets(written(context_rows(texts, found.where("first"), length), "contexts"), length)
     covered = found.where("NOT first").groupBy("doc_id").agg(F.collect_list("place").alias("places"))
     strings = compared.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("strings"))
-    both = covered.join(strings, "doc_id", "full_outer")
+    cuts = covered.join(strings, "doc_id", "full_outer").join(firsts.select(F.col("first").alias("doc_id"), "sha"), "doc_id")
+    return marked, cuts.select("doc_id", "sha", "places", "strings"), texts.select("doc_id", "sha", "packed")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, "packed"):
-                made = []
-                for raw, places, found_ in zip(raw_texts(batch.column("packed")), batch.column("places").to_pylist(), batch.column("strings").to_pylist(), strict=True):
-                    pairs = [(max(0, p - length + K), min(len(raw), p + length)) for p in places or ()] + [(x["start"], x["end"]) for x in found_ or ()]
-                    s, e = np.array([p for p in pairs if p[1] - p[0] >= length], np.int64).reshape(-1, 2).T
-                    _, s, e = spans(np.zeros(len(s), np.int64), s, e)
-                    made.append(finish(raw, s, e))
-                values = list(zip(*made, strict=True)) or [()] * len(columns)
-                arrays = [pa.array(v, t) for v, t in zip(values, columns.values(), strict=True)]
-                yield pa.record_batch([batch.column("doc_id"), batch.column("sha"), *arrays], ["doc_id", "sha", *columns])
 
-    ddl = ", ".join(f"{c} {'long' if t == pa.int64() else 'string'}" for c, t in columns.items())
-    done = texts.select("doc_id", "sha", "packed").join(both, "doc_id").mapInArrow(run, f"doc_id long, sha string, {ddl}")
-    return marked, done.dropDuplicates(["doc_id", "sha"])
+def stretches(size: int, places: list[int] | None, strings: list[dict] | None, length: int) -> tuple[list, list]:
+    """Starts and ends of the maximal runs to remove from a text of ``size`` bytes: the surroundings of covered anchors
+    at ``places``, and ``strings``."""
+    pairs = [(max(0, p - length + K), min(size, p + length)) for p in places or ()] + [(x["start"], x["end"]) for x in strings or ()]
+    s, e = np.array([p for p in pairs if p[1] - p[0] >= length], np.int64).reshape(-1, 2).T
+    return spans(np.zeros(len(s), np.int64), s, e)[1:]
 
 
 def kept_bytes(raw: bytes, starts: list[int], ends: list[int]) -> bytes:
@@ -394,11 +386,20 @@ def kept_bytes(raw: bytes, starts: list[int], ends: list[int]) -> bytes:
 
 def removal_digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """Per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (see ``removals``)."""
-    def finish(raw: bytes, starts: list[int], ends: list[int]) -> tuple:
-        return sum(ends) - sum(starts), len(starts), hashlib.sha256(kept_bytes(raw, starts, ends)).hexdigest()
+    marked, cuts, texts = removals(docs, length)
 
-    marked, done = removals(docs, length, finish, {"n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string()})
-    out = marked.join(done, ["doc_id", "sha"], "left")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "packed"):
+                made = []
+                for raw, places, strings in zip(raw_texts(batch.column("packed")), batch.column("places").to_pylist(), batch.column("strings").to_pylist(), strict=True):
+                    starts, ends = stretches(len(raw), places, strings, length)
+                    made.append((sum(ends) - sum(starts), len(starts), hashlib.sha256(kept_bytes(raw, starts, ends)).hexdigest()))
+                n_removed, n_spans, kept = list(zip(*made, strict=True)) or [()] * 3
+                yield pa.record_batch([batch.column("doc_id"), batch.column("sha"), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "sha", "n_removed", "n_spans", "kept_sha256"])
+
+    done = texts.join(cuts.drop("sha"), "doc_id").mapInArrow(run, "doc_id long, sha string, n_removed long, n_spans long, kept_sha256 string")
+    out = marked.join(done.dropDuplicates(["doc_id", "sha"]), ["doc_id", "sha"], "left")
     return out.select(
         "doc_id", "n_bytes",
         F.when(F.col("copy"), F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
@@ -423,16 +424,30 @@ def whole_characters(raw: bytes, starts: list[int], ends: list[int]) -> tuple[li
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", count: str = "n_chars") -> DataFrame:
     """``docs`` with the repeated strings cut out of ``text`` (whole characters only) and, if there is such a column,
-    ``count`` taken anew. A later copy of a whole text becomes empty; no row is dropped. See ``removals``."""
-    def finish(raw: bytes, starts: list[int], ends: list[int]) -> tuple:
-        return (kept_bytes(raw, *whole_characters(raw, starts, ends)).decode(),)
-
-    marked, changed = removals(docs.select("doc_id", F.col(text).alias("text")), length, finish, {"rest": pa.string()})
-    copies = marked.where("copy").select(F.col("doc_id").alias("_id"), F.col("sha").alias("_sha"), F.lit("").alias("_rest")).distinct()
-    key, digest, rest = (fresh(c, docs.columns) for c in ("_id", "_sha", "_rest"))
-    new = changed.union(copies).toDF(key, digest, rest)
+    ``count`` taken anew. A later copy of a whole text becomes empty; no row is dropped. See ``removals``.
+
+    What meets ``docs`` are the places to cut, not the texts left: a text is exchanged once here, and cut where it is.
+    """
+
+    @F.arrow_udf("string")
+    def left_of(texts: pa.Array, places: pa.Array, strings: pa.Array) -> pa.Array:
+        out: list[bytes | None] = []
+        for raw, p, s in zip(texts.cast(pa.binary()), places, strings, strict=True):
+            if not raw.is_valid:
+                out.append(None)
+                continue
+            raw = raw.as_py()
+            out.append(kept_bytes(raw, *whole_characters(raw, *stretches(len(raw), p.as_py(), s.as_py(), length))))
+        return pa.array(out, pa.binary()).cast(pa.string())
+
+    marked, cuts, _ = removals(docs.select("doc_id", F.col(text).alias("text")), length)
+    copies = marked.where("copy").select("doc_id", "sha").distinct()
+    key, digest, places, strings, whole, rest = (fresh(c, docs.columns) for c in ("_id", "_sha", "_places", "_strings", "_whole", "_rest"))
+    new = cuts.withColumn("whole", F.lit(False)).unionByName(copies.withColumn("whole", F.lit(True)), allowMissingColumns=True).toDF(key, digest, places, strings, whole)
     own = (F.col("doc_id").cast("long") == F.col(key)) & (F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary"), 256) == F.col(digest))
-    out = docs.join(new, own, "left").withColumn(text, F.coalesce(rest, F.col(text)))
+    cut = left_of(F.when(~F.col(whole), F.col(text).cast("string")), F.col(places), F.col(strings))
+    out = docs.join(new, own, "left").withColumn(rest, cut).withColumn(rest, F.when(F.col(whole), F.lit("")).otherwise(F.col(rest)))
+    out = out.withColumn(text, F.coalesce(rest, F.col(text)))
     if count in docs.columns:
         out = out.withColumn(count, F.when(F.col(rest).isNull(), F.col(count)).otherwise(F.length(rest)).cast(dict(docs.dtypes)[count]))
     return out.select(*docs.columns)

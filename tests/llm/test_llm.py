@@ -250,6 +250,31 @@ def test_suffixes_odd_rows(spark, odd):
     assert suffixes.removal_digests(odd.limit(0)).count() == 0
 
 
+def test_repeats_are_cut_where_the_text_is(spark, documents):
+    """No text left over meets the rows: places do. The result is the removal of the whole characters."""
+    rng = random.Random(8)
+    passage = "".join(rng.choices("abcé☃ ", k=260))
+    texts = texts_of(documents.limit(40)) | {20_000: passage, 20_001: "x" + passage, 20_002: passage[7:200] + "yz", 20_003: passage, 20_004: "é" * 130}
+    rows = docs_of(spark, [*texts.items(), (20_001, "x" + passage), (None, passage)])
+    cut = suffixes.without_repeats(rows)
+    plan = cut._jdf.queryExecution().optimizedPlan().toString()
+    assert "packed" not in plan
+    seen, want = set(), {}
+    for d in sorted(texts):
+        raw = texts[d].encode()
+        cover = np.zeros(len(raw) + 1, bool)
+        for s in range(len(raw) - 99):
+            if raw[s : s + 100] in seen:
+                cover[s : s + 100] = True
+            seen.add(raw[s : s + 100])
+        edges = np.flatnonzero(np.diff(cover.astype(int), prepend=0)).tolist()
+        want[d] = suffixes.kept_bytes(raw, *suffixes.whole_characters(raw, edges[::2], edges[1::2])).decode()
+    got = cut.collect()
+    assert len(got) == len(texts) + 2
+    assert {(r.doc_id, r.text, r.n_chars) for r in got if r.doc_id is not None} == {(d, t, len(t)) for d, t in want.items()}
+    assert [r.text for r in got if r.doc_id is None] == [passage]
+
+
 def test_cuts_at_characters():
     raw = "aéb".encode()
     assert suffixes.whole_characters(raw, [0], [2]) == ([0], [1]) and suffixes.whole_characters(raw, [2], [3]) == ([], [])
