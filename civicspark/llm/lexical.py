@@ -24,13 +24,17 @@ whole, however long. Extra input columns are not read.
 from __future__ import annotations
 
 import uuid
+from collections import Counter
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import ensure_checkpoint_dir
-from .common import written
+from .common import slices, utf8, written
 from .ranks import positions
 
 # Fixed values of the contract: the term pattern and the letters that are lower-cased.
@@ -44,6 +48,9 @@ GROWTH = 4
 BROADCAST_ROWS = 2_000_000  # query terms sent whole to every task only below this count
 CANDIDATE_ROWS = 250_000  # candidate (query, document) pairs sent whole to every task only below this count
 SMALLEST = -(1 << 63)
+# TERM and the lower-casing for UTF-8 bytes: what stands in no term becomes a blank, bytes of other characters stay.
+FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
+LENGTH = ""  # stands for a term in the row that carries a document's number of terms; no term is empty
 
 
 def terms(text: Column) -> Column:
@@ -68,31 +75,48 @@ def _band_of_depth(depth: int) -> int:
     return b
 
 
+def document_terms(documents: DataFrame) -> DataFrame:
+    """(doc_id, term, c): each distinct term of a text with its number, and a row ``LENGTH`` with the number of all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                sizes, found, numbers = [], [], []
+                for text in utf8(batch.column("text")):
+                    words = text.translate(FOLD).split()
+                    counts = Counter(words)
+                    counts[LENGTH.encode()] = len(words)
+                    sizes.append(len(counts))
+                    found.extend(counts)
+                    numbers.extend(counts.values())
+                ids = batch.column("doc_id").take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
+                yield pa.record_batch([ids, pa.array(found, pa.string()), pa.array(numbers, pa.int64())], ["doc_id", "term", "c"])
+
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return texts.mapInArrow(run, "doc_id long, term string, c long")
+
+
 def counted(documents: DataFrame, asked: DataFrame, rows: int) -> tuple[DataFrame, DataFrame, int, int]:
     """One read of the texts: (doc_id, n) for every document, (doc_id, term, tf) for the asked terms, N and L.
 
-    Each text is split into terms once; besides its terms a document gives one row without a term that carries its
-    number of terms, so lengths and term counts come from one scan and one aggregation (partial before the shuffle).
-    ``asked`` holds the distinct asked terms (``rows`` of them; up to BROADCAST_ROWS sent whole to every task, else
-    joined by a shuffle).
+    Each text is split into terms once; besides its terms a document gives one row that carries its number of terms,
+    so lengths and term counts come from one scan and one aggregation (partial before the shuffle). ``asked`` holds
+    the distinct asked ``word``s with their number ``term`` (``rows`` of them; up to BROADCAST_ROWS sent whole to every
+    task, else joined by a shuffle); from here on a term is its number.
     """
-    split = documents.select(F.col("doc_id").cast("long").alias("doc_id"), terms(F.col("text")).alias("_t"))
-    marker = F.struct(F.lit(None).cast("string").alias("term"), F.size("_t").cast("long").alias("n"))
-    each = F.concat(F.transform("_t", lambda t: F.struct(t.alias("term"), F.lit(0).cast("long").alias("n"))), F.array(marker))
-    words = split.select("doc_id", F.inline(each))
-    hits = asked.select("term", F.lit(True).alias("_hit"))
-    hits = F.broadcast(hits) if rows <= BROADCAST_ROWS else hits
-    kept = words.join(hits, "term", "left").where(F.col("_hit") | F.col("term").isNull())
-    both = written(kept.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.sum("n").alias("n")), "lexical-tf")
-    sizes = both.where(F.col("term").isNull()).select("doc_id", "n")
+    words = document_terms(documents).withColumnRenamed("term", "word")
+    hits = asked.select("word", "term").unionByName(asked.sparkSession.range(1).select(F.lit(LENGTH).alias("word"), F.lit(-1).cast("long").alias("term")))
+    kept = words.join(F.broadcast(hits) if rows <= BROADCAST_ROWS else hits, "word")
+    both = written(kept.groupBy("doc_id", "term").agg(F.sum("c").alias("tf")), "lexical-tf")
+    sizes = both.where("term = -1").select("doc_id", F.col("tf").alias("n"))
     totals = sizes.where("n > 0").agg(F.count(F.lit(1)).alias("N"), F.sum("n").alias("L")).first()
-    return sizes, both.where(F.col("term").isNotNull()).select("doc_id", "term", "tf"), int(totals["N"] or 0), int(totals["L"] or 0)
+    return sizes, both.where("term >= 0"), int(totals["N"] or 0), int(totals["L"] or 0)
 
 
 def index(documents: DataFrame, asked: DataFrame, rows: int) -> tuple[DataFrame, int]:
     """Impact-ordered postings of the asked terms: term, doc_id, impact, pos, band; and the longest list's length.
 
-    ``asked`` holds the distinct terms of the queries (``rows`` of them). N and L cover all documents and all their
+    ``asked`` holds the distinct words of the queries (``rows`` of them) and the numbers that stand for them. N and L cover all documents and all their
     terms; df and tf are counted over all documents for the asked terms, the only lists a search reads.
     """
     sizes, tf, N, L = counted(documents, asked, rows)
@@ -216,7 +240,9 @@ def search(documents: DataFrame, queries: DataFrame, key: str = "item_id", top:
     """Each query's ``top`` highest-scoring documents with a score above 0: key, rank, doc_id, score."""
     asked = written(query_terms(queries, key), "lexical-asked")
     small = asked.count() <= BROADCAST_ROWS
-    distinct = written(asked.select("term").distinct(), "lexical-terms")
+    distinct = asked.select(F.col("term").alias("word")).distinct()
+    distinct = written(distinct.withColumn("term", F.monotonically_increasing_id()), "lexical-terms")
+    asked = written(asked.withColumnRenamed("term", "word").join(distinct, "word").drop("word"), "lexical-asked")
     postings, longest = index(documents, distinct, distinct.count())
     found, depth = [], FIRST_DEPTH
     open_items, cand = asked, None

@@ -53,3 +53,18 @@ def test_search_with_shallow_rounds_and_pruning(spark, monkeypatch):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     want = oracle(docs.toPandas(), bench.toPandas())
     assert got(lexical.search(docs, bench)) == want
+
+
+def test_texts_are_cut_into_terms_once_and_terms_travel_as_numbers(spark):
+    """The terms of a text are those of the pattern; behind the scan a term is a number, not a string."""
+    from pyspark.sql import functions as F
+
+    texts = [(1, "A-b_c9 ÄÖ\u00a0x\u2028y\x00z\x1fÀ\x7fq 日本 aB ab"), (2, None), (3, " ,;"), (1, "AB")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {(r.doc_id, r.term): r.c for r in lexical.document_terms(docs).groupBy("doc_id", "term").agg(F.sum("c").alias("c")).collect()}
+    words = docs.select("doc_id", F.explode(lexical.terms(F.col("text"))).alias("term"))
+    want = {(r.doc_id, r.term): r["count"] for r in words.groupBy("doc_id", "term").count().collect()}
+    assert got == want | {(1, ""): sum(v for (d, _), v in want.items() if d == 1), (2, ""): 0, (3, ""): 0}
+    asked = spark.createDataFrame([("ab", 0), ("y", 1)], "word string, term long")
+    postings, _ = lexical.index(docs, asked, 2)
+    assert dict(postings.dtypes)["term"] == "bigint" and postings.count() == 1
